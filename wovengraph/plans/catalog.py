@@ -1,6 +1,8 @@
 """All named queries."""
 
 from wovengraph.plans import (  # noqa: F401
+    q_functions,
     q_patterns,
+    q_search,
 )
 from wovengraph.plans.registry import ORACLES, QUERIES  # noqa: F401
