@@ -1,7 +1,9 @@
 """All named queries."""
 
 from wovengraph.plans import (  # noqa: F401
+    q_access,
     q_functions,
+    q_hierarchy,
     q_patterns,
     q_search,
 )

@@ -127,6 +127,7 @@ FIXTURES: dict[str, str] = {
         _link("order_parts", "order", "l_orderkey", "hasPart", "'part/' || " + _text("l_partkey"), "n", 0),
         _link("customer", "customer", "c_custkey", "locatedIn", "'nation/' || " + _text("c_nationkey"), "1", 0),
         _link("supplier", "supplier", "s_suppkey", "locatedIn", "'nation/' || " + _text("s_nationkey"), "1", 0),
+        _link("documents WHERE doc_id > 0", "text", "doc_id", "cites", "'text/' || CAST(CAST((doc_id - doc_id % 2) / 2 AS BIGINT) AS STRING)", "1 + doc_id % 3", 1, "doc_id % 23 = 0"),
         _link("nation", "nation", "n_nationkey", "inRegion", "'region/' || " + _text("n_regionkey"), "1", 0),
     ),
     "class_edges": _union(
@@ -140,12 +141,12 @@ FIXTURES: dict[str, str] = {
         "SELECT DISTINCT 'Text/' || lang, 'Text' FROM documents",
         "SELECT DISTINCT 'Page/' || split_part(url, '/', 3), 'Page' FROM pages",
     ),
-    "prop_edges": "SELECT * FROM (VALUES ('placedBy','hasLinkTo'),('hasPart','hasLinkTo'),('locatedIn','isPartOf'),"
+    "prop_edges": "SELECT * FROM (VALUES ('placedBy','hasLinkTo'),('cites','hasLinkTo'),('hasPart','hasLinkTo'),('locatedIn','isPartOf'),"
     "('inRegion','isPartOf'),('isPartOf','hasLinkTo'),('hasLinkTo','resourceProperty'),('hasValue','resourceProperty'),"
     "('hasTotal','hasAmount'),('hasBalance','hasAmount'),('hasPrice','hasAmount'),('hasAmount','hasValue'),"
     "('hasDate','hasValue'),('isFulfilled','hasValue'),('hasPlace','hasValue'),('hasName','hasText'),('hasBrand','hasText'),"
     "('hasSource','hasText'),('hasText','hasValue'),('hasSize','hasValue'),('hasUrl','hasValue')) AS e(child, parent)",
-    "prop_constraints": "SELECT * FROM (VALUES ('placedBy','Order','Customer'),('hasPart','Order','Part'),"
+    "prop_constraints": "SELECT * FROM (VALUES ('placedBy','Order','Customer'),('hasPart','Order','Part'),('cites','Text','Text'),"
     "('locatedIn','Agent','Place'),('inRegion','Place','Place'),('hasLinkTo','Resource','Resource'),"
     "('isPartOf','Resource','Resource'),('hasTotal','Order','DecimalValue'),('hasBalance','Customer','DecimalValue'),"
     "('hasPrice','Part','DecimalValue'),('hasAmount','Resource','DecimalValue'),('hasDate','Order','DateValue'),"
@@ -156,7 +157,7 @@ FIXTURES: dict[str, str] = {
     "('Order','hasTotal','1',1),('Order','hasDate','0-1',2),('Order','isFulfilled','1',3),('Order','placedBy','1',4),"
     "('Order','hasPart','0-1',5),('Customer','hasBalance','0-1',1),('Customer','hasName','1',2),('Customer','hasPlace','1',3),"
     "('Agent','locatedIn','1',4),('Part','hasName','1-n',1),('Part','hasSize','1',2),('Part','hasPrice','0-1',3),"
-    "('Text','hasText','1',1),('Text','hasSource','0-n',2),('Text','hasDate','0-n',3),('Page','hasUrl','1',1),"
+    "('Text','hasText','1',1),('Text','hasSource','0-n',2),('Text','hasDate','0-n',3),('Text','cites','0-n',4),('Page','hasUrl','1',1),"
     "('Page','hasText','0-1',2),('Place','inRegion','0-1',1)) AS c(cls, prop, card, gui_order)",
     "list_nodes": _union(
         "SELECT 'world' AS node, CAST(NULL AS STRING) AS parent, 0 AS position, 'World' AS name",
