@@ -122,14 +122,14 @@ def value_projects(values: DataFrame, resources: DataFrame) -> DataFrame:
     return rows.select("iri", F.col("_project").alias("project"), problem.alias("problem"))
 
 
-def only_fully_visible(matches: DataFrame, hidden: DataFrame) -> DataFrame:
-    """Keep resources none of whose matched parts is hidden.
+def only_fully_visible(parts: DataFrame) -> DataFrame:
+    """Keep resources all of whose matched parts are visible.
 
-    matches: (resource, part) - every value and dependent resource of the
-    match; hidden: (part).
+    parts: (resource, code) - one row for every value and dependent resource of
+    the match. One aggregation with map-side partial results.
     """
-    spoiled = matches.join(hidden.select("part"), "part", "left_semi").select("resource")
-    return matches.select("resource").distinct().join(spoiled, "resource", "left_anti")
+    shown = parts.groupBy("resource").agg(F.bool_and(F.col("code").isNotNull()).alias("_shown"))
+    return shown.where("_shown").select("resource")
 
 
 def hide_links_to(values: DataFrame, visible_targets: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ FIXTURES: dict[str, str] = {
     "('hasTotal','hasAmount'),('hasBalance','hasAmount'),('hasPrice','hasAmount'),('hasAmount','hasValue'),"
     "('hasDate','hasValue'),('isFulfilled','hasValue'),('hasPlace','hasValue'),('hasName','hasText'),('hasBrand','hasText'),"
     "('hasSource','hasText'),('hasText','hasValue'),('hasSize','hasValue'),('hasUrl','hasValue')) AS e(child, parent)",
-    "prop_constraints": "SELECT * FROM (VALUES ('placedBy','Order','Customer'),('hasPart','Order','Part'),('cites','Text','Text'),"
+    "prop_constraints": "SELECT * FROM (VALUES ('placedBy','Order','Customer'),('hasPart','Order','Part'),('cites','Text','Text/en'),"
     "('locatedIn','Agent','Place'),('inRegion','Place','Place'),('hasLinkTo','Resource','Resource'),"
     "('isPartOf','Resource','Resource'),('hasTotal','Order','DecimalValue'),('hasBalance','Customer','DecimalValue'),"
     "('hasPrice','Part','DecimalValue'),('hasAmount','Resource','DecimalValue'),('hasDate','Order','DateValue'),"
@@ -157,7 +157,7 @@ FIXTURES: dict[str, str] = {
     "('Order','hasTotal','1',1),('Order','hasDate','0-1',2),('Order','isFulfilled','1',3),('Order','placedBy','1',4),"
     "('Order','hasPart','0-1',5),('Customer','hasBalance','0-1',1),('Customer','hasName','1',2),('Customer','hasPlace','1',3),"
     "('Agent','locatedIn','1',4),('Part','hasName','1-n',1),('Part','hasSize','1',2),('Part','hasPrice','0-1',3),"
-    "('Text','hasText','1',1),('Text','hasSource','0-n',2),('Text','hasDate','0-n',3),('Text','cites','0-n',4),('Page','hasUrl','1',1),"
+    "('Text','hasText','1',1),('Text','hasSource','0-n',2),('Text','hasDate','0-n',3),('Text','cites','1-n',4),('Supplier','hasName','1',5),('Part','hasBrand','0-n',4),('Page','hasUrl','1',1),"
     "('Page','hasText','0-1',2),('Place','inRegion','0-1',1)) AS c(cls, prop, card, gui_order)",
     "list_nodes": _union(
         "SELECT 'world' AS node, CAST(NULL AS STRING) AS parent, 0 AS position, 'World' AS name",
@@ -192,6 +192,11 @@ FIXTURES: dict[str, str] = {
     "'v/' || CAST(lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS STRING) AS prev_value, "
     "event_id % 7 = 3 AS is_deleted, event_type AS body, 'user/' || CAST(event_id % 10 AS STRING) AS creator, "
     "'project/' || CAST(event_id % 4 AS STRING) AS project, " + _perm("event_id") + " AS permissions FROM events",
+    "tags": "SELECT 't/' || CAST(event_id AS STRING) AS tag, 'text/' || CAST(user_id AS STRING) AS txt, event_type AS cls, "
+    "CAST(event_id % 1000 AS INT) AS start_pos, CAST(event_id % 1000 + event_id % 7 AS INT) AS end_pos, CAST(event_id AS INT) AS start_index, "
+    "CASE WHEN event_id % 5 <> 0 THEN 't/' || CAST(event_id - event_id % 5 AS STRING) END AS parent, "
+    "md5(event_type || CAST(event_id AS STRING)) AS uuid, "
+    "CASE WHEN event_type = 'click' THEN 'order/' || CAST(event_id % 2000 AS STRING) END AS link_target FROM events",
     "map_entries": "SELECT 'user/' || CAST(user_id AS STRING) AS map, 'k' || split_part(split_part(props, ': ', 2), '}', 1) AS key, "
     "event_id, event_type AS value FROM events",
 }

@@ -115,8 +115,7 @@ def _(g):
     AND s.user_id = 'user/3' AND s.code IS NULL WHERE w.resource = v.resource)""",
 )
 def _(g):
-    hidden = access.with_code(g.vals, _profiles(g), "user/3").where("code IS NULL").select(c("iri").alias("part"))
-    return access.only_fully_visible(g.vals.select("resource", c("iri").alias("part")), hidden)
+    return access.only_fully_visible(access.with_code(g.vals, _profiles(g), "user/3"))
 
 
 @query(
