@@ -8,5 +8,6 @@ from wovengraph.plans import (  # noqa: F401
     q_patterns,
     q_rules,
     q_search,
+    q_views,
 )
 from wovengraph.plans.registry import ORACLES, QUERIES  # noqa: F401
