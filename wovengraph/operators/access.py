@@ -27,25 +27,16 @@ def parse_permissions(df: DataFrame, column: str = "permissions") -> DataFrame:
     return rows.withColumn("code", permission_code(F.col("permission")))
 
 
-def grants(column: str | Column) -> Column:
-    """The string as a map group -> highest code, without exploding rows."""
-    parts = F.split(column, "\\|")
-    entries = F.flatten(
-        F.transform(
-            parts,
-            lambda p: F.transform(
-                F.split(F.split_part(p, F.lit(" "), F.lit(2)), ","),
-                lambda g: F.struct(g.alias("grp"), permission_code(F.split_part(p, F.lit(" "), F.lit(1))).alias("code")),
-            ),
-        )
+def _best(permissions: Column, groups: Column) -> Column:
+    """Highest code the string grants to any of the groups (null without one)."""
+    codes = F.transform(
+        F.split(permissions, "\\|"),
+        lambda part: F.when(
+            F.arrays_overlap(F.split(F.split_part(part, F.lit(" "), F.lit(2)), ","), groups),
+            permission_code(F.split_part(part, F.lit(" "), F.lit(1))),
+        ),
     )
-    return entries
-
-
-def highest_code(subject_grants: Column, groups: Column) -> Column:
-    """Highest code granted to any of the groups; null without a grant."""
-    mine = F.filter(subject_grants, lambda e: F.array_contains(groups, e["grp"]))
-    return F.array_max(F.transform(mine, lambda e: e["code"]))
+    return F.array_max(codes)
 
 
 def user_profiles(users: DataFrame, memberships: DataFrame, admin_rights: DataFrame) -> DataFrame:
@@ -64,8 +55,7 @@ def code_for(user: Column | str, subject: dict[str, Column] | None = None) -> Co
     creator = F.when(s["creator"] == u["user_id"], F.array(F.lit("Creator"))).otherwise(F.array().cast("array<string>"))
     known = F.concat(F.array(F.lit("KnownUser")), member, creator)
     unknown = F.array(F.lit("UnknownUser"))
-    held = grants(s["permissions"])
-    granted = F.coalesce(highest_code(held, F.when(u["is_known"], known).otherwise(unknown)), highest_code(held, unknown))
+    granted = F.coalesce(_best(s["permissions"], F.when(u["is_known"], known).otherwise(unknown)), _best(s["permissions"], unknown))
     admin = u["is_system_admin"] | F.coalesce(F.array_contains(u["admin_of"], s["project"]), F.lit(False))
     return F.when(admin, F.lit(HIGHEST)).otherwise(granted)
 

@@ -285,7 +285,10 @@ def text_diffs(pairs: DataFrame) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=columns)
 
-    return pairs.select(F.col("pair").cast("string").alias("pair"), "base", "derived").mapInPandas(compare, DIFFS)
+    # Comparing costs far more than its input weighs, so rows are spread by number, not by size.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.select(F.col("pair").cast("string").alias("pair"), "base", "derived").repartition(tasks)
+    return rows.mapInPandas(compare, DIFFS)
 
 
 def xml_escape(text: Column) -> Column:
