@@ -355,3 +355,16 @@ def test_subject_view_parts(spark):
     df = spark.createDataFrame([("s", f"p{i}", "o") for i in range(25)], "s string, p string, o string")
     got = sinks.subject_view(df, part_rows=10).collect()
     assert sorted(len(r["statements"]) for r in got) == [5, 10, 10]
+
+
+def test_visible_agrees_with_codes(spark, profiles):
+    strings = ["CR Creator|V ProjectMember", "RV ProjectMember|V UnknownUser", "D OtherMember", "M KnownUser|CR UnknownUser", "V XProjectMember,ProjectMember"]
+    data = [(f"{i}{cr}{p}", cr, p, s) for i, s in enumerate(strings) for cr in ("m", "x") for p in ("p1", "p2")]
+    df = spark.createDataFrame(data, "iri string, creator string, project string, permissions string")
+    people = profiles.select("user_id", F.struct(*profiles.columns).alias("_u"))
+    for user in ("root", "padmin", "m", "none"):
+        by_row = df.withColumn("user_id", F.lit(user)).join(people, "user_id").select("iri", access.code_for("_u").alias("code"))
+        assert rows(access.with_code(df, profiles, user).select("iri", F.coalesce("code", F.lit(0)))) == rows(by_row.select("iri", F.coalesce("code", F.lit(0))))
+        for needed, least in access.CODES.items():
+            want = rows(by_row.where(c("code") >= least).select("iri"))
+            assert rows(access.visible(df, profiles, user, needed).select("iri")) == want, (user, needed)

@@ -7,7 +7,9 @@ admin_rights: (user_id, project).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 # The code of each permission.
@@ -60,14 +62,6 @@ def code_for(user: Column | str, subject: dict[str, Column] | None = None) -> Co
     return F.when(admin, F.lit(HIGHEST)).otherwise(granted)
 
 
-def _literal(value) -> Column:
-    if isinstance(value, dict):
-        return F.map_from_arrays(F.array(*[F.lit(k) for k in value]), F.array(*[_literal(v) for v in value.values()]))
-    if isinstance(value, (list, tuple)):
-        return F.array(*[F.lit(v) for v in value])
-    return F.lit(value)
-
-
 def codes_for_requests(requests: DataFrame, subjects: DataFrame, profiles: DataFrame) -> DataFrame:
     """Codes for given (user_id, iri) requests, however many users there are."""
     people = profiles.select("user_id", F.struct(*profiles.columns).alias("_user"))
@@ -75,18 +69,48 @@ def codes_for_requests(requests: DataFrame, subjects: DataFrame, profiles: DataF
     return found.select("user_id", "iri", code_for("_user").alias("code"))
 
 
-def profile_of(profiles: DataFrame, user_id: str) -> Column:
-    """One user's profile as a literal struct."""
+def profile_of(profiles: DataFrame, user_id: str) -> Row:
     rows = profiles.where(F.col("user_id") == user_id).limit(1).collect()
     if not rows:
         raise ValueError(f"unknown user: {user_id}")
-    fields = profiles.schema.fields
-    return F.struct(*[_literal(rows[0][f.name]).cast(f.dataType).alias(f.name) for f in fields])
+    return rows[0]
+
+
+def _granted(permissions: list[str], groups: list[str]) -> Column:
+    """Does the string grant one of the permissions to one of the groups? One search, inside generated code."""
+    names = "|".join(re.escape(g) for g in groups)
+    return F.rlike("permissions", F.lit(rf"(?:^|\|)(?:{'|'.join(permissions)}) (?:[^|]*,)?(?:{names})(?:,|\||$)"))
+
+
+def _by_project(user: Row, test) -> Column:
+    """A test on the groups the user has in the project of the row; ``test`` maps groups to a column."""
+    base = ["KnownUser"] if user["is_known"] else ["UnknownUser"]
+    out = test(base)
+    for project, groups in sorted((user["project_groups"] or {}).items()) if user["is_known"] else []:
+        out = F.when(F.col("project") == project, test(base + sorted(groups))).otherwise(out)
+    return out
+
+
+def _known_grant(user: Row, permissions: list[str]) -> Column:
+    own = (F.col("creator") == user["user_id"]) & _granted(permissions, ["Creator"])
+    by_group = _by_project(user, lambda groups: _granted(permissions, groups))
+    return by_group | own if user["is_known"] else by_group
+
+
+def _is_admin(user: Row) -> Column:
+    return F.lit(bool(user["is_system_admin"])) | F.coalesce(F.col("project").isin(user["admin_of"] or []), F.lit(False))
 
 
 def with_code(subjects: DataFrame, profiles: DataFrame, user_id: str, name: str = "code") -> DataFrame:
     """Add one user's code: a column expression, no join."""
-    return subjects.withColumn("_user", profile_of(profiles, user_id)).withColumn(name, code_for("_user")).drop("_user")
+    user = profile_of(profiles, user_id)
+    from_high = sorted(CODES.items(), key=lambda pair: -pair[1])
+    code = F.when(_is_admin(user), HIGHEST)
+    for permission, value in from_high:
+        code = code.when(_known_grant(user, [permission]), value)
+    for permission, value in from_high:
+        code = code.when(_granted([permission], ["UnknownUser"]), value)
+    return subjects.withColumn(name, code)
 
 
 def has_at_least(code: Column, needed: str) -> Column:
@@ -94,7 +118,13 @@ def has_at_least(code: Column, needed: str) -> Column:
 
 
 def visible(subjects: DataFrame, profiles: DataFrame, user_id: str, needed: str = "RV") -> DataFrame:
-    return with_code(subjects, profiles, user_id, "_code").where(has_at_least(F.col("_code"), needed)).drop("_code")
+    """Rows on which the user has at least the permission. An unknown user's grants count where the user has none."""
+    user = profile_of(profiles, user_id)
+    enough = [p for p, code in CODES.items() if code >= CODES[needed]]
+    fallback = _granted(enough, ["UnknownUser"])
+    if len(enough) < len(CODES):
+        fallback = fallback & ~_known_grant(user, list(CODES))
+    return subjects.where(_is_admin(user) | _known_grant(user, enough) | fallback)
 
 
 def least_code(a: Column, b: Column) -> Column:

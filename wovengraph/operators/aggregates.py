@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wovengraph.operators.ordering import listed
+from wovengraph.session import settle
 
 
 def count_values(df: DataFrame, keys: list[str], var: str) -> DataFrame:
@@ -14,7 +15,7 @@ def count_values(df: DataFrame, keys: list[str], var: str) -> DataFrame:
 
 def concat_group(df: DataFrame, keys: list[str], var: str, separator: str = ",", part_rows: int = 10_000) -> DataFrame:
     """The distinct values of a group as sorted text, in parts of bounded length."""
-    distinct = df.select(*keys, var).where(F.col(var).isNotNull()).distinct()
+    distinct = settle(df.select(*keys, var).where(F.col(var).isNotNull()).distinct())
     parts = listed(distinct, keys, [var], F.col(var), "_items", part_rows)
     return parts.select(*keys, "part", F.array_join("_items", separator).alias("items"))
 

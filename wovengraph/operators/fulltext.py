@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wovengraph.operators.ordering import listed
+from wovengraph.session import settle
 
 # Fixed value: what separates tokens.
 SEPARATOR = r"[^\p{L}\p{N}]+"
@@ -122,7 +123,7 @@ def hits(resources: DataFrame, values: DataFrame, test) -> DataFrame:
 
 def grouped_hits(found: DataFrame) -> DataFrame:
     """One row per resource with its matching values (in parts, should they be very many)."""
-    rows = found.select("resource", F.coalesce("value", F.lit("")).alias("value")).distinct()
+    rows = settle(found.select("resource", F.coalesce("value", F.lit("")).alias("value")).distinct())
     parts = listed(rows, ["resource"], ["value"], F.col("value"), "_all")
     return parts.select("resource", "part", F.array_remove("_all", "").alias("matches"))
 
@@ -142,7 +143,7 @@ def result_rows(found: DataFrame, resources: DataFrame, values: DataFrame) -> Da
     rows = found.join(texts, "value", "left").select(
         "resource", F.coalesce("prop", F.lit("")).alias("prop"), F.coalesce("value", F.lit("")).alias("value"), "literal"
     )
-    parts = listed(rows, ["resource"], ["prop", "value"], F.struct("prop", "value", "literal"), "_all")
+    parts = listed(settle(rows), ["resource"], ["prop", "value"], F.struct("prop", "value", "literal"), "_all")
     matches = F.filter("_all", lambda m: m["value"] != "").alias("matches")
     labelled = parts.join(resources.select(F.col("iri").alias("resource"), "label"), "resource")
     return labelled.select("resource", "label", "part", matches)
@@ -153,4 +154,4 @@ def suggestions(found: DataFrame, values: DataFrame, gui_orders: DataFrame) -> D
     texts = values.where((F.col("vtype") == "TextValue") & ~F.col("is_deleted"))
     texts = texts.join(found.select("resource").distinct(), "resource", "left_semi").join(gui_orders, "prop", "left")
     rows = texts.select("resource", F.coalesce("gui_order", F.lit(0)).alias("gui_order"), "vorder", "iri", "as_string")
-    return listed(rows, ["resource"], ["gui_order", "vorder", "iri"], F.col("as_string"), "texts")
+    return listed(settle(rows), ["resource"], ["gui_order", "vorder", "iri"], F.col("as_string"), "texts")

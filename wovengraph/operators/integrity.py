@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wovengraph.operators import aggregates
+from wovengraph.session import settle
 
 COLUMNS = ["rule", "subject", "property", "detail"]
 
@@ -133,12 +134,13 @@ def ingest_problems(
     aimed = targets.where("target_cls IS NOT NULL").join(wanted, "prop")
     wrong_target = _report(_outside(aimed, class_closure, "target_cls", "object_class"), "target_class", "client_id", "prop", "target_cls")
     submitted = values.select("client_id", "prop").union(links.select("client_id", "prop"))
-    counted = submitted.groupBy("client_id", "prop").agg(F.count(F.lit(1)).alias("n")).join(of, "client_id")
+    # Three rules look at the counts, which are far fewer than the rows.
+    counted = settle(submitted.groupBy("client_id", "prop").agg(F.count(F.lit(1)).alias("n")).join(of, "client_id"))
     cards = inherited.select("cls", "prop", "card")
     placed = counted.join(cards, ["cls", "prop"], "left")
     no_card = _report(placed.where("card IS NULL"), "no_cardinality", "client_id", "prop", "cls")
     many = _report(placed.where(F.col("card").isin("1", "0-1") & (F.col("n") > 1)), "too_many", "client_id", "prop", "n")
-    required = of.join(cards.where(F.col("card").isin("1", "1-n")), "cls").join(submitted, ["client_id", "prop"], "left_anti")
+    required = of.join(cards.where(F.col("card").isin("1", "1-n")), "cls").join(counted, ["client_id", "prop"], "left_anti")
     lacking = _report(required, "missing", "client_id", "prop", "card")
     return reduce(DataFrame.union, [wrong_type, unknown, wrong_target, no_card, many, lacking])
 

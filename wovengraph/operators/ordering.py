@@ -154,8 +154,10 @@ def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def first_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """At most ``n`` rows per group in a total order.
 
-    Spark limits each group before the shuffle, so a hot group costs n rows per
-    map task.
+    Up to 1000 rows, Spark limits each group before the shuffle, so a hot group
+    costs n rows per map task. Longer lists are numbered.
     """
+    if n > 1000:
+        return numbered(df, keys, order, "_rn").where(F.col("_rn") <= n).drop("_rn")
     window = Window.partitionBy(*keys).orderBy(*_order_columns(order))
     return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")

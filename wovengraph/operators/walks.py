@@ -27,7 +27,7 @@ def link_kind(links: DataFrame, prop_closure: DataFrame, base: str, but_not: str
 
 def visible_edges(links: DataFrame, resources: DataFrame, profiles: DataFrame, user_id: str) -> tuple[DataFrame, DataFrame]:
     """Live nodes and links that the user may see; a link needs itself and both ends visible."""
-    nodes = access.visible(resources.where(~F.col("is_deleted")), profiles, user_id)
+    nodes = settle(access.visible(resources.where(~F.col("is_deleted")), profiles, user_id))
     shown = access.visible(links.where(~F.col("is_deleted")), profiles, user_id)
     ends = nodes.select("iri")
     edges = shown.join(ends.withColumnRenamed("iri", "src"), "src", "left_semi").join(
