@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only after it was counted and found to be no larger.
 BROADCAST_ROWS = 100_000
+# Folders of local sessions; Python removes them when it ends.
+_LOCAL_DIRS: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(app: str = "wovengraph", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,13 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session without the setting gets a temporary folder: on a
     cluster such a folder would be lost with its machine.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_wg_shared_dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    spark._wg_shared_dir = tempfile.mkdtemp(prefix="wovengraph-")
-    return spark._wg_shared_dir
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.TemporaryDirectory(prefix="wovengraph-", ignore_cleanup_errors=True)
+    return _LOCAL_DIRS[app].name
 
 
 def settle(df: DataFrame) -> DataFrame:
