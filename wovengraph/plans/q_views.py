@@ -15,9 +15,10 @@ from wovengraph.sources import ingest, ntriples, sinks
 
 c = F.col
 FIX = fixture.FIXTURES
-FIX["files"] = (
-    "SELECT 'page/' || CAST(page_id AS STRING) AS resource, q AS quality, 'f/' || CAST(page_id AS STRING) || '/' || q AS file, page_id % 10 = 3 AS is_deleted "
-    "FROM pages CROSS JOIN (VALUES ('full'), ('thumb')) AS z(q)"
+FIX["files"] = " UNION ALL ".join(
+    f"SELECT 'page/' || CAST(page_id AS STRING) AS resource, '{q}' AS quality, 'f/' || CAST(page_id AS STRING) || '/{q}' AS file, "
+    "page_id % 10 = 3 AS is_deleted FROM pages"
+    for q in ("full", "thumb")
 )
 
 
