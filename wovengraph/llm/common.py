@@ -50,21 +50,20 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rank
     No group meets in one task: rows are cut into ranges of (keys, order) over
     all partitions and written once, the rows of each (keys, range) are
     counted, and a running sum of these counts is what precedes a range.
+    Without ``order`` any gapless numbering does, and rows stay where they are.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id())
-    cut = settle(cut)
+    cut = df
+    if order:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cut = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    cut = settle(cut.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sizes = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")
-    offsets = sizes.withColumn("_before", before).drop("_n")
-    if keys:
-        on = [cut["_range"] == offsets["_range"], *(cut[k].eqNullSafe(offsets[k]) for k in keys)]
-    else:
-        on = [cut["_range"] == offsets["_range"]]
-    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) - 1
+    offsets = sizes.withColumn("_before", before)
+    on = [cut["_range"] == offsets["_range"], *(cut[k].eqNullSafe(offsets[k]) for k in keys)]
     joined = cut.join(offsets, on).select(*(cut[c] for c in cut.columns), offsets["_before"])
-    return joined.withColumn(name, (F.col("_before") + local).cast("long")).drop("_range", "_before")
+    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_at")) - 1
+    return joined.withColumn(name, (F.col("_before") + local).cast("long")).drop("_range", "_before", "_at")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
