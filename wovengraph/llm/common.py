@@ -59,9 +59,10 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rank
     cut = settle(cut.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sizes = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")
-    offsets = sizes.withColumn("_before", before)
-    on = [cut["_range"] == offsets["_range"], *(cut[k].eqNullSafe(offsets[k]) for k in keys)]
-    joined = cut.join(offsets, on).select(*(cut[c] for c in cut.columns), offsets["_before"])
+    names = [f"_key{i}" for i in range(len(keys))]
+    offsets = sizes.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("_range").alias("_own"), before.alias("_before"))
+    on = [F.col("_range") == F.col("_own"), *(F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True))]
+    joined = cut.join(offsets, on).drop("_own", *names)
     local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_at")) - 1
     return joined.withColumn(name, (F.col("_before") + local).cast("long")).drop("_range", "_before", "_at")
 

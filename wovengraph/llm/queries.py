@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wovengraph.llm import exact_dedup, hyperplanes
+from wovengraph.llm import exact_dedup, hyperplanes, packing, resharding
 from wovengraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,26 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_embedding_near_dedup")
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperplanes.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_resharding")
+def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six shards filled by source, one of them hot, become eight."""
+    documents = table(spark, sf_dir, "documents")
+    old = resharding.lay_out(documents, F.pmod(F.xxhash64("source"), F.lit(6)))
+    placed = resharding.slots(resharding.reshard(old, 8))
+    crc = F.crc32(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"))
+    return placed.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "size",
+        crc.alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
