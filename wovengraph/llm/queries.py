@@ -46,17 +46,10 @@ def op4_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six shards filled by source, one of them hot, become eight."""
     documents = table(spark, sf_dir, "documents")
     old = resharding.lay_out(documents, F.pmod(F.xxhash64("source"), F.lit(6)))
-    placed = resharding.slots(resharding.reshard(old, 8))
     crc = F.crc32(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"))
-    return placed.select(
-        F.col("row.doc_id").alias("doc_id"),
-        "size",
-        crc.alias("text_crc32"),
-        F.lit("rows").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    placed = resharding.slots(resharding.reshard(old, 8), F.col("row.doc_id").alias("doc_id"), F.col("size"), crc.alias("text_crc32"))
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
 @query("op10_best_fit_packing")

@@ -185,9 +185,12 @@ def reshard(layout: Layout, new_shards: int, id_col: str = "doc_id") -> Layout:
     return Layout(layout.spark, layout.schema, [*stay, (path, None)])
 
 
-def slots(layout: Layout) -> DataFrame:
-    """Rows of a layout with ``slot``: gapless from 0 in each shard, in the order of files and of rows in them."""
-    rows = layout.rows()
+def slots(layout: Layout, *columns: Column) -> DataFrame:
+    """``columns`` of each row, shard and slot: gapless from 0 in each shard, in the order of files and of rows in them.
+
+    The columns (of ``row`` and ``size``) are computed as files are read; texts they don't return aren't shuffled.
+    """
+    rows = layout.rows().select("shard", "part", "file", "at", *columns)
     files = rows.groupBy("shard", "part", "file").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part", "file")) - F.col("n")
     files = files.withColumn("before", before).drop("n")
