@@ -28,16 +28,20 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
-def clashes(texts: DataFrame) -> DataFrame:
+def clashes(texts: DataFrame) -> DataFrame | None:
     """(hash, chunk, rank >= 1) of chunks that share a 64-bit hash with a smaller, different chunk.
 
-    ``texts`` has the column ``_text``. Empty for nearly every corpus.
+    ``texts`` has the column ``_text``. None if there is no clash, as in nearly
+    every corpus; only otherwise are chunks read again, those with the hashes concerned.
     """
     found = texts.select(F.explode(F.array_distinct(chunks(F.col("_text")))).alias("chunk"))
-    found = found.select(F.xxhash64("chunk").alias("hash"), "chunk").distinct()
-    shared = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    found = found.select(F.xxhash64("chunk").alias("hash"), "chunk")
+    shared = found.distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    shared = settle(shared)
+    if shared.isEmpty():
+        return None
     rank = F.row_number().over(Window.partitionBy("hash").orderBy("chunk")) - 1
-    return found.join(shared, "hash", "left_semi").withColumn("rank", rank).where("rank > 0")
+    return settle(found.join(shared, "hash", "left_semi").distinct().withColumn("rank", rank).where("rank > 0"))
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,8 +53,8 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = docs.select(F.col(id_col).alias("_id"), fold(F.col(text_col)).alias("_text"))
     plain = F.transform(chunks(F.col("_text")), lambda c: F.xxhash64(c))
     own = settle(texts.select("_id", plain.alias("recipe"), F.sha2("_text", 256).alias("text_sha256")))
-    odd = settle(clashes(texts))
-    if not odd.isEmpty():
+    odd = clashes(texts)
+    if odd is not None:
         own = _settle_clashes(own, texts, odd)
     return own.withColumnRenamed("_id", id_col)
 
