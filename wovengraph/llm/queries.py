@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wovengraph.llm import exact_dedup, hyperplanes, language, packing, quality, resharding
+from wovengraph.llm import bpe, exact_dedup, hyperplanes, language, packing, quality, resharding
 from wovengraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file on this machine; every executor has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = fn
@@ -65,3 +72,8 @@ def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_language_mixture")
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op3_bpe_round_trip")
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
