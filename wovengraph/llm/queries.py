@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wovengraph.llm import bpe, exact_dedup, hyperplanes, jaccard, language, packing, quality, resharding
+from wovengraph.llm import bpe, exact_dedup, hyperplanes, jaccard, language, packing, quality, rans, resharding
 from wovengraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,9 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_jaccard_join")
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op8_token_files")
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = rans.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return written.checksums().withColumnRenamed("id", "doc_id")
