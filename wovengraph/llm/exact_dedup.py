@@ -84,3 +84,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = own.join(groups, "recipe")
     kept = F.col(id_col).eqNullSafe(F.col("keep_id"))
     return joined.select(id_col, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each text, with its columns as they are: the one with the largest id."""
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    own = docs.withColumn("_text_sha", F.sha2(fold(F.col(f"`{text_col}`")), 256))
+    same = (F.col("_text_sha") == F.col("_sha")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))
+    return own.join(kept, same, "left_semi").dropDuplicates([id_col, "_text_sha"]).drop("_text_sha")

@@ -175,3 +175,11 @@ def jaccard_components(
     rows = found.select("id", *alike).join(of, alike, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component, with its columns as they are: the smallest id. Rows without an id stay."""
+    found = jaccard_components(docs, width, percent, id_col, text_col)
+    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
+    gone = settle(gone)
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")

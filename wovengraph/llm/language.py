@@ -171,3 +171,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     out = F.coalesce(held_out(id_col), F.lit(False))
     model = fit(training_rows(docs, out, id_col, text_col, lang_col))
     return identified(docs, model, id_col, text_col).select(id_col, out.alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` with a language that has the proportion ``least``, with their columns as they are."""
+    out = F.coalesce(held_out(id_col), F.lit(False))
+    model = fit(training_rows(docs, out, id_col, text_col, lang_col))
+    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.table))
+
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Languages(*shared.value)
+        for texts in batches:
+            found = [own.mixture(t) for t in texts]
+            yield pd.Series([name != NONE and share >= least for name, share in found], dtype=bool)
+
+    return docs.where(F.pandas_udf(known, "boolean")(F.col(f"`{text_col}`")))
