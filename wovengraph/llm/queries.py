@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wovengraph.llm import bpe, exact_dedup, hyperplanes, jaccard, language, packing, quality, rans, resharding
+from wovengraph.llm import bpe, exact_dedup, hyperplanes, jaccard, language, licences, packing, quality, rans, resharding
 from wovengraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,47 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = rans.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return written.checksums().withColumnRenamed("id", "doc_id")
+
+
+def _licence_sql() -> str:
+    fold = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    notices = ", ".join(f"('{n}', '{t}')" for n, t in licences.TEMPLATES)
+    return f"""
+    WITH given AS (SELECT * FROM (VALUES {notices}) v(licence, notice)),
+    files AS (SELECT doc_id, text, CASE WHEN doc_id % 20 = 0 THEN concat_ws('/', source, doc_id // 1000) ELSE concat_ws('/', source, doc_id // 1000, doc_id // 100) END AS folder,
+        CASE WHEN doc_id % 20 = 0 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS name FROM documents),
+    gt AS (SELECT licence, unnest(regexp_extract_all({fold.format("notice")}, '[a-z0-9]+')) AS term FROM given),
+    gtf AS (SELECT licence, term, count(*) AS tf FROM gt GROUP BY ALL),
+    vocab AS (SELECT DISTINCT term FROM gtf),
+    n AS (SELECT count(*) AS total FROM files),
+    held AS (SELECT term, count(*) AS held FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all({fold.format("text")}, '[a-z0-9]+')) AS term FROM files) JOIN vocab USING (term) GROUP BY term),
+    idf AS (SELECT term, coalesce(held, 0) AS held, ln((total + 1) / (coalesce(held, 0) + 1)) + 1 AS idf FROM vocab LEFT JOIN held USING (term), n),
+    lines AS (SELECT doc_id, unnest(string_split({fold.format("text")}, chr(10))) AS unit, generate_subscripts(string_split({fold.format("text")}, chr(10)), 1) AS line FROM files),
+    words AS (SELECT doc_id, line, unnest(regexp_extract_all(unit, '[a-z0-9]+')) AS term FROM lines),
+    tf AS (SELECT doc_id, line, term, count(*) AS tf FROM words GROUP BY ALL),
+    cand AS (SELECT DISTINCT doc_id, line FROM tf JOIN idf USING (term), n WHERE held <= {licences.COMMON} * total),
+    w AS (SELECT doc_id, line, term, tf * coalesce(idf, ln(total + 1) + 1) AS weight FROM tf SEMI JOIN cand USING (doc_id, line) LEFT JOIN idf USING (term), n),
+    norms AS (SELECT doc_id, line, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY ALL),
+    gw AS (SELECT licence, term, tf * idf AS g FROM gtf JOIN idf USING (term)),
+    sizes AS (SELECT licence, sqrt(sum(g * g)) AS size FROM gw GROUP BY licence),
+    scores AS (SELECT doc_id, line, licence, round(sum(weight * g) / (any_value(norm) * any_value(size)), 6) AS score
+        FROM w JOIN gw USING (term) JOIN norms USING (doc_id, line) JOIN sizes USING (licence) GROUP BY doc_id, line, licence),
+    own AS (SELECT doc_id, arg_max(licence, (score, licence)) AS own, max(score) AS score FROM scores WHERE score >= {licences.LEAST} GROUP BY doc_id),
+    declared AS (SELECT folder AS above, arg_max(own, (score, own)) AS given FROM own JOIN files USING (doc_id) WHERE name LIKE 'LICENSE%' GROUP BY folder),
+    nearest AS (SELECT f.folder, arg_max(above, length(above)) AS above, arg_max(given, length(above)) AS given
+        FROM (SELECT DISTINCT folder FROM files) f JOIN declared d ON f.folder = d.above OR starts_with(f.folder, d.above || '/') GROUP BY f.folder)
+    SELECT folder || '/' || name AS path, doc_id, own, score, coalesce(own, given) AS licence,
+        CASE WHEN own IS NULL AND given IS NOT NULL THEN above END AS inherited_from
+    FROM files LEFT JOIN own USING (doc_id) LEFT JOIN nearest USING (folder)
+    """
+
+
+@query("op7_licence_scan", _licence_sql())
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a tree of files: source, thousands, hundreds; every twentieth is a LICENSE file one folder up."""
+    docs = table(spark, sf_dir, "documents")
+    thousands, hundreds = F.expr("doc_id div 1000"), F.expr("doc_id div 100")
+    licence = F.col("doc_id") % 20 == 0
+    name = F.when(licence, F.concat(F.lit("LICENSE."), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    path = F.concat_ws("/", "source", thousands, F.when(~licence, hundreds), name)
+    return licences.scan(docs.select(path.alias("path"), "doc_id", "text"))
