@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from wovengraph.llm.common import components, settle
 from wovengraph.llm.shingles import mixed, shingle_set
 
-LARGE = 64
-PIVOTS = 32
+LARGE = 8
+PIVOTS = 8
 COMMON = 16
 ORDERED = 200_000
 
