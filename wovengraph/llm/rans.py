@@ -17,6 +17,7 @@ the words (32 bits each), and the CRC-32 of all that.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,8 +37,11 @@ CHECKPOINT = 128
 BITS = 18
 LOW = np.uint64(1 << 31)
 MAGIC = 0x31534E52
-WORDS = 250_000
+WORDS = 350_000
 
+# Below U+0250, and without the figures that aren't decimal, the standard library's classes say the same.
+_RARE = re.compile("[\xb2\xb3\xb9\xbc-\xbe\x1c-\x1f\u0250-\U0010ffff]")
+_COMMON = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
@@ -134,6 +138,8 @@ class Tokens(dict):
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        self.model = self.library.model
+        self.id_bytes = [i.to_bytes(2, "little") for i in range(self.library.get_vocab_size())]
         self.spell = str.maketrans(dict(enumerate(byte_symbols())))
         self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
@@ -143,7 +149,7 @@ class Tokens(dict):
         ids = self.older.get(word)
         if ids is None:
             spelt = word.encode("utf-8").decode("latin-1").translate(self.spell)
-            ids = np.array([t.id for t in self.library.model.tokenize(spelt)], dtype="<u2").tobytes()
+            ids = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(spelt)])
         if len(self) >= WORDS:
             self.older = dict(self)
             self.clear()
@@ -154,7 +160,11 @@ class Tokens(dict):
         parts = self.cut.split(text) if self.cut and "<" in text else [text]
         out = []
         for k, part in enumerate(parts):
-            out.append(np.array([self.added[part]], dtype="<u2").tobytes() if k % 2 else b"".join([self[w] for w in _WORD.findall(part)]))
+            if k % 2:
+                out.append(self.id_bytes[self.added[part]])
+            else:
+                words = (_WORD if _RARE.search(part) else _COMMON).findall(part)
+                out.append(b"".join([self[w] for w in words]))
         return b"".join(out)
 
 
