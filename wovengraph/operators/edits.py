@@ -57,30 +57,37 @@ def new_versions(values: DataFrame, edits: DataFrame, literal: str) -> tuple[Dat
 
 
 def soft_delete(rows: DataFrame, deletions: DataFrame, key: str = "iri") -> DataFrame:
-    """Mark rows deleted, with date and comment: deletions (key, delete_date, delete_comment)."""
-    marks = deletions.select(key, F.col("delete_date").alias("_date"), F.col("delete_comment").alias("_comment"), F.lit(True).alias("_hit"))
-    joined = rows.join(marks, key, "left")
-    return joined.withColumns(
+    """Mark rows deleted, with date and comment: deletions (key, delete_date, delete_comment).
+
+    A key given several times takes the earliest date. Rows that were deleted
+    before keep their date and comment, so the result can be fed on.
+    """
+    added = [c for c in ("delete_date", "delete_comment") if c not in rows.columns]
+    mark = F.min(F.struct(F.col("delete_date").alias("_date"), F.col("delete_comment").alias("_comment")))
+    marks = deletions.groupBy(key).agg(mark.alias("_mark"))
+    rows_then = rows.withColumns({c: F.lit(None).cast(deletions.schema[c].dataType) for c in added}) if added else rows
+    hit = F.col("_mark").isNotNull() & ~F.col("is_deleted")
+    return rows_then.join(marks, key, "left").withColumns(
         {
-            "is_deleted": F.col("is_deleted") | F.coalesce("_hit", F.lit(False)),
-            "delete_date": F.coalesce("_date", F.lit(None)),
-            "delete_comment": F.coalesce("_comment", F.lit(None)),
+            "delete_date": F.when(hit, F.col("_mark._date")).otherwise(F.col("delete_date")),
+            "delete_comment": F.when(hit, F.col("_mark._comment")).otherwise(F.col("delete_comment")),
+            "is_deleted": F.col("is_deleted") | F.col("_mark").isNotNull(),
         }
-    ).select(*rows.columns, "delete_date", "delete_comment")
+    ).select(*rows.columns, *added)
 
 
 def create_links(links: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add links (link_value, src, prop, dst, ...) with count 1; links that exist are rejected."""
     live = links.where(~F.col("is_deleted"))
     keys = ["src", "prop", "dst"]
-    fresh = _anti(new, live, keys).withColumns({"ref_count": F.lit(1).cast("long"), "is_deleted": F.lit(False)})
+    fresh = _anti(new, live, keys).dropDuplicates(keys).withColumns({"ref_count": F.lit(1).cast("long"), "is_deleted": F.lit(False)})
     return links.unionByName(fresh, allowMissingColumns=True), new.join(live.select(*keys), keys, "left_semi")
 
 
 def delete_links(links: DataFrame, gone: DataFrame) -> DataFrame:
     """The link value stays, with count 0, marked deleted; gone: (link_value)."""
     hit = F.coalesce("_hit", F.lit(False))
-    joined = links.join(gone.select("link_value", F.lit(True).alias("_hit")), "link_value", "left")
+    joined = links.join(gone.select("link_value", F.lit(True).alias("_hit")).distinct(), "link_value", "left")
     return joined.withColumns(
         {"ref_count": F.when(hit, F.lit(0)).otherwise(F.col("ref_count")).cast("long"), "is_deleted": F.col("is_deleted") | hit}
     ).select(*links.columns)
@@ -91,6 +98,7 @@ def change_links(links: DataFrame, changes: DataFrame) -> DataFrame:
 
     changes: (link_value, new_link_value, new_dst).
     """
+    changes = changes.groupBy("link_value").agg(F.min(F.struct("new_link_value", "new_dst")).alias("_new")).select("link_value", "_new.*")
     moved = links.where(~F.col("is_deleted")).join(changes, "link_value")
     fresh = moved.withColumns(
         {"link_value": F.col("new_link_value"), "dst": F.col("new_dst"), "ref_count": F.lit(1).cast("long")}
@@ -118,8 +126,9 @@ def apply_reference_counts(counts: DataFrame, deltas: DataFrame) -> DataFrame:
 
 
 def change_labels(resources: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits: (iri, label, modified)."""
-    new = edits.select("iri", F.col("label").alias("_label"), F.col("modified").alias("_modified"))
+    """edits: (iri, label, modified); of several for a resource the last counts."""
+    last = F.max(F.struct(F.col("modified").alias("_modified"), F.col("label").alias("_label")))
+    new = edits.groupBy("iri").agg(last.alias("_new")).select("iri", "_new.*")
     joined = resources.join(new, "iri", "left")
     return joined.withColumns(
         {"label": F.coalesce("_label", "label"), "modified": F.coalesce("_modified", "modified")}

@@ -25,7 +25,8 @@ def tokens(text: Column) -> Column:
 
 
 def terms_of(search: str) -> list[str]:
-    return [t for t in search.lower().split() if t]
+    """The tokens of typed text, cut like those of the texts."""
+    return [t for t in re.split(r"[\W_]+", search.lower()) if t]
 
 
 def has_terms(text: Column, terms: list[str], mode: str = "and") -> Column:
@@ -51,8 +52,8 @@ def has_phrase_typing(text: Column, search: str) -> Column:
 
 def boolean_terms(search: str) -> tuple[list[str], list[str], list[str]]:
     """(required, excluded, optional) terms of ``+a -b c``."""
-    found = [(t[0], t[1:]) if t[0] in "+-" else ("", t) for t in terms_of(search)]
-    return tuple([t for sign, t in found if sign == s and t] for s in ("+", "-", ""))
+    found = [(w[0] if w[0] in "+-" else "", w) for w in search.split()]
+    return tuple([t for sign, w in found if sign == s for t in terms_of(w)] for s in ("+", "-", ""))
 
 
 def has_boolean(text: Column, search: str, negatives: str = "all") -> Column:

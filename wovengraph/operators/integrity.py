@@ -145,15 +145,15 @@ def ingest_problems(
     return reduce(DataFrame.union, [wrong_type, unknown, wrong_target, no_card, many, lacking])
 
 
+def _bounds(card: Column) -> tuple[Column, Column]:
+    """Least and most values that a cardinality allows; most is null if it has no limit."""
+    return F.left(card, F.lit(1)).cast("int"), F.when(~F.endswith(card, F.lit("n")), F.right(card, F.lit(1)).cast("int"))
+
+
 def compatible(direct: Column, base: Column) -> Column:
-    """A class's own cardinality must be at least as strict as the one it would inherit."""
-    return (
-        F.when(direct == base, True)
-        .when(base == "0-1", direct == "1")
-        .when(base == "0-n", True)
-        .when(base == "1", False)
-        .otherwise(direct == "1")
-    )
+    """Every number of values that the class itself allows must be allowed by its base."""
+    (least, most), (base_least, base_most) = _bounds(direct), _bounds(base)
+    return (least >= base_least) & (base_most.isNull() | F.coalesce(most <= base_most, F.lit(False)))
 
 
 def incompatible_overrides(cardinalities: DataFrame, class_edges: DataFrame, inherited: DataFrame, prop_closure: DataFrame) -> DataFrame:

@@ -132,18 +132,35 @@ def label_regions(triples: DataFrame, region_class: str = "Region") -> DataFrame
 
 
 # Mark-up classes that moved to another vocabulary under the same name.
-MARKUP_CLASSES = (
-    "Root Paragraph Italic Bold Underline Strikethrough Header1 Header2 Header3 Header4 Header5 Header6 "
-    "Superscript Subscript OrderedList UnorderedList ListElement StyleElement"
-).split()
+MARKUP_CLASSES = [
+    "StandoffRootTag",
+    "StandoffParagraphTag",
+    "StandoffItalicTag",
+    "StandoffBoldTag",
+    "StandoffUnderlineTag",
+    "StandoffStrikethroughTag",
+    "StandoffHeader1Tag",
+    "StandoffHeader2Tag",
+    "StandoffHeader3Tag",
+    "StandoffHeader4Tag",
+    "StandoffHeader5Tag",
+    "StandoffHeader6Tag",
+    "StandoffSuperscriptTag",
+    "StandoffSubscriptTag",
+    "StandoffOrderedListTag",
+    "StandoffUnorderedListTag",
+    "StandoffListElementTag",
+]
+# The one that got a new name, and that name.
+STYLE_CLASS, NEW_STYLE_CLASS = "StandoffStyleTag", "StandoffStyleElementTag"
 
 
 def rename_markup_classes(triples: DataFrame, old_base: str, new_base: str) -> DataFrame:
     """Mark-up classes under their new names; the old style tag has a longer name now."""
     name = F.substr("o", F.lit(len(old_base) + 1))
-    name = F.when(name == "StandoffStyleTag", "StandoffStyleElementTag").otherwise(name)
-    known = [f"Standoff{n}Tag" for n in MARKUP_CLASSES]
+    known = [*MARKUP_CLASSES, STYLE_CLASS]
     moved = (F.col("p") == "type") & F.startswith("o", F.lit(old_base)) & name.isin(known)
+    name = F.when(name == STYLE_CLASS, NEW_STYLE_CLASS).otherwise(name)
     return triples.withColumn("o", F.when(moved, F.concat(F.lit(new_base), name)).otherwise(F.col("o")))
 
 
