@@ -16,10 +16,16 @@ everything on a border. Regions are therefore made in two levels:
    each pivot's ball becomes one set of the component; only documents outside
    the largest set of their region are then compared with the others.
 
-Pairs are kept only if the common part of their windows still allows the
-threshold, which also bounds sizes by the triangle inequality. What remains
-is compared with whole sets. Identical sets are one class from the start.
-Sets are compared by 64-bit hashes of their shingles.
+A pair is taken up where its first common pivot stands early enough in both sets
+for the threshold, which also bounds sizes by the triangle inequality. Regions it
+shares later are passed over if the few pivots just before are common already, so
+rows carry a bounded list and never their whole window. What remains is compared
+with whole sets. Identical sets are one class from the start. Sets are compared by
+64-bit hashes of their shingles.
+
+Most shingles open a region for one document only. A bit table of fixed size
+(``BITS``) over the shingles of shared regions keeps the others from being shuffled
+once more; what it lets through by chance is dropped by the exact join after it.
 """
 
 from __future__ import annotations
@@ -38,6 +44,8 @@ LARGE = 8
 PIVOTS = 8
 COMMON = 16
 ORDERED = 200_000
+BITS = 27
+BEFORE = 8
 
 
 def window(size: int, percent: int) -> int:
@@ -91,12 +99,53 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInPandas(run, f"id {kind}, elements array<long>")
 
 
-def _possible(a: str, b: str, common: Column, percent: int) -> Column:
-    """The sizes of two sets and the common part of their windows allow the threshold."""
+def _places(keys: pd.Series) -> np.ndarray:
+    """The place of each key in the bit table."""
+    return (mixed(np.asarray(keys).view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def bit_table(crowds: DataFrame) -> np.ndarray:
+    """2 ** BITS bits as 64-bit words: those of the keys in ``crowds`` are set."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = _places(pdf["key"])
+            yield pd.DataFrame({"word": at >> 6, "bits": np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64)})
+
+    words = crowds.select("key").mapInPandas(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << (BITS - 6), dtype=np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def members(own: DataFrame, table: np.ndarray) -> DataFrame:
+    """id, n, key, at (the key's position in its window), before (the few keys ahead of it) of keys set in the table."""
+    kind = own.schema["id"].dataType.simpleString()
+    shared = own.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
+        for pdf in batches:
+            keys = [np.asarray(k) for k in pdf["keys"]]
+            places = [_places(k) for k in keys]
+            at = [np.flatnonzero(bits[x >> 6] >> (x & 63).astype(np.uint64) & np.uint64(1)) for x in places]
+            rows = pdf[["id", "n"]].loc[pdf.index.repeat([len(x) for x in at])].reset_index(drop=True)
+            if len(rows):
+                before = [k[max(0, i - BEFORE) : i] for k, own_at in zip(keys, at, strict=True) for i in own_at]
+                yield rows.assign(key=np.concatenate([k[x] for k, x in zip(keys, at, strict=True)]), at=np.concatenate(at), before=before)
+
+    return own.select("id", "n", "keys").mapInPandas(run, f"id {kind}, n long, key long, at long, before array<long>")
+
+
+def _meeting(a: str, b: str, percent: int) -> Column:
+    """Two rows of one region allow the threshold if this is the first common key, and the keys just before don't deny that.
+
+    No more than what follows the first common key can be common. Linked pairs pass at their first common key at least.
+    """
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    most = common + F.greatest(f"{a}.rest", f"{b}.rest")
-    return sizes & ((100 + percent) * most >= percent * (na + nb))
+    most = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
+    fresh = ~F.arrays_overlap(f"{a}.before", f"{b}.before")
+    return (F.col(f"{a}.key") == F.col(f"{b}.key")) & ((100 + percent) * most >= percent * (na + nb)) & fresh
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -129,26 +178,17 @@ def jaccard_components(
 
     alike = ["n", "d1", "d2"]
     classes = settle(found.where("id IS NOT NULL AND n > 0").groupBy(*alike).agg(F.min("id").alias("first")))
-    short = F.transform("keys", lambda k: F.shiftright(k, 48).cast("smallint"))
-    rest = F.col("n") - F.size("keys")
     own = found.join(classes.select(F.col("first").alias("id"), *alike), ["id", *alike], "left_semi")
-    own = own.dropDuplicates(["id", *alike]).select("id", "n", "keys", F.array_distinct(short).alias("short"), rest.alias("rest"))
-    own = settle(own.withColumn("lost", F.size("keys") - F.size("short")))
-
-    held = own.select("id", F.explode("keys").alias("key"))
-    crowds = settle(held.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    held = settle(held.join(crowds, "key"))
-    small = held.where(F.col("m") <= LARGE).drop("m").join(own.select("id", "n", "short", "lost", "rest"), "id")
-    large = settle(held.where(F.col("m") > LARGE).drop("m").join(own.select("id", "n", "keys", "rest"), "id"))
-
-    same = F.col("x.key") == F.col("y.key")
-    shared = F.size(F.array_intersect("x.short", "y.short")) + F.greatest("x.lost", "y.lost")
-    near = same & (F.col("x.id") < F.col("y.id")) & _possible("x", "y", shared, percent)
-    near = _pairs(small.alias("x").join(small.alias("y"), near), "x.id", "y.id")
-
-    overlap = F.array_intersect("x.keys", "y.keys")
-    here = F.element_at(overlap, 1) == F.col("x.key")  # each pair in the region of its first common pivot
-    reach = same & here & _possible("x", "y", F.size(overlap), percent)
+    own = settle(own.dropDuplicates(["id", *alike]).select("id", "n", "keys"))
+
+    crowds = own.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    crowds = settle(crowds)
+    held = settle(members(own, bit_table(crowds)).join(crowds, "key"))
+    small, large = held.where(F.col("m") <= LARGE).drop("m"), held.where(F.col("m") > LARGE).drop("m")
+
+    reach = _meeting("x", "y", percent)
+    near = _pairs(small.alias("x").join(small.alias("y"), reach & (F.col("x.id") < F.col("y.id"))), "x.id", "y.id")
+
     part = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
     chosen = large.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64("id", F.lit(1)), "id"))["id"].alias("id"))
     pivots = settle(large.join(chosen.select("key", "id"), ["key", "id"], "left_semi"))
@@ -160,8 +200,7 @@ def jaccard_components(
     links = settle(_linked(pairs, whole, percent))
 
     parts = components(links, "a", "b").withColumnRenamed("node", "id")
-    large = large.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    large = settle(large)
+    large = settle(large.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
     counts = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     most = settle(counts.groupBy("key").agg(F.max(F.struct("m", "component"))["component"].alias("most")))
     outside = large.join(most, "key").where("component != most")
