@@ -23,9 +23,10 @@ rows carry a bounded list and never their whole window. What remains is compared
 with whole sets. Identical sets are one class from the start. Sets are compared by
 64-bit hashes of their shingles.
 
-Most shingles open a region for one document only. A bit table of fixed size
-(``BITS``) over the shingles of shared regions keeps the others from being shuffled
-once more; what it lets through by chance is dropped by the exact join after it.
+Most shingles open a region for one document only, and most texts are in no pair.
+Bit tables of fixed size (``BITS``) over the shingles of shared regions and over the
+ids in pairs keep the others from being shuffled; what they let through by chance
+is dropped by the exact join after them.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ PIVOTS = 8
 COMMON = 16
 ORDERED = 200_000
 BITS = 27
-BEFORE = 8
+BEFORE = 3
 
 
 def window(size: int, percent: int) -> int:
@@ -88,15 +89,20 @@ def common_keys(found: DataFrame) -> np.ndarray:
     return np.sort(out, order="key")
 
 
-def sets(docs: DataFrame, width: int) -> DataFrame:
-    """id, elements: the whole sets."""
+def sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """id, elements: the whole sets of the documents in ``pairs`` (and of a few others)."""
     kind = docs.schema["id"].dataType.simpleString()
+    ids = pairs.select(F.xxhash64("a").alias("key")).union(pairs.select(F.xxhash64("b")))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(ids))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[["id"]].assign(elements=[shingle_set(t, width).view(np.int64) for t in pdf["text"]])
+            pdf = pdf[_set(shared.value, _places(pdf["key"]))]
+            if len(pdf):
+                yield pdf[["id"]].assign(elements=[shingle_set(t, width).view(np.int64) for t in pdf["text"]])
 
-    return docs.select("id", "text").mapInPandas(run, f"id {kind}, elements array<long>")
+    known = docs.where("id IS NOT NULL").select("id", "text", F.xxhash64("id").alias("key"))
+    return known.mapInPandas(run, f"id {kind}, elements array<long>")
 
 
 def _places(keys: pd.Series) -> np.ndarray:
@@ -104,8 +110,12 @@ def _places(keys: pd.Series) -> np.ndarray:
     return (mixed(np.asarray(keys).view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _set(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (table[places >> 6] >> (places & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def bit_table(crowds: DataFrame) -> np.ndarray:
-    """2 ** BITS bits as 64-bit words: those of the keys in ``crowds`` are set."""
+    """2 ** BITS bits as 64-bit words: those of the ``key`` column of ``crowds`` are set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -127,8 +137,7 @@ def members(own: DataFrame, table: np.ndarray) -> DataFrame:
         bits = shared.value
         for pdf in batches:
             keys = [np.asarray(k) for k in pdf["keys"]]
-            places = [_places(k) for k in keys]
-            at = [np.flatnonzero(bits[x >> 6] >> (x & 63).astype(np.uint64) & np.uint64(1)) for x in places]
+            at = [np.flatnonzero(_set(bits, _places(k))) for k in keys]
             rows = pdf[["id", "n"]].loc[pdf.index.repeat([len(x) for x in at])].reset_index(drop=True)
             if len(rows):
                 before = [k[max(0, i - BEFORE) : i] for k, own_at in zip(keys, at, strict=True) for i in own_at]
@@ -195,9 +204,7 @@ def jaccard_components(
     balls = _pairs(large.alias("x").join(pivots.alias("y"), reach & (F.col("x.id") != F.col("y.id"))), "x.id", "y.id")
     pairs = settle(near.unionByName(balls).distinct())
 
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
-    whole = settle(sets(docs.join(wanted, "id", "left_semi"), width))
-    links = settle(_linked(pairs, whole, percent))
+    links = settle(_linked(pairs, settle(sets(docs, pairs, width)), percent))
 
     parts = components(links, "a", "b").withColumnRenamed("node", "id")
     large = settle(large.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
@@ -206,8 +213,9 @@ def jaccard_components(
     outside = large.join(most, "key").where("component != most")
     once = (F.col("y.component") == F.col("x.most")) | (F.col("x.id") < F.col("y.id"))
     late = reach & (F.col("x.component") != F.col("y.component")) & once
-    late = _pairs(outside.alias("x").join(large.alias("y"), late), "x.id", "y.id").distinct()
-    links = links.unionByName(_linked(late, whole, percent))
+    late = settle(_pairs(outside.alias("x").join(large.alias("y"), late), "x.id", "y.id").distinct())
+    if not late.isEmpty():
+        links = links.unionByName(settle(_linked(late, settle(sets(docs, late, width)), percent)))
 
     parts = settle(components(links, "a", "b").withColumnRenamed("node", "first"))
     of = settle(classes.join(parts, "first", "left").select(*alike, F.coalesce("component", "first").alias("component")))
