@@ -91,6 +91,25 @@ def test_cycle_is_an_error(spark):
         closure.ancestors(edges(spark, [("a", "b"), ("b", "c"), ("c", "a")]))
 
 
+def test_deep_lists_orphans_and_cycles(spark):
+    deep = [(f"n{i:04}", f"n{i - 1:04}" if i else None, 0) for i in range(1500)]
+    lost = [("o1", "gone", 1), ("o2", "o1", 1), ("c1", "c3", 1), ("c2", "c1", 1), ("c3", "c2", 1), ("c4", "c3", 1)]
+    nodes = spark.createDataFrame(deep + lost, "node string, parent string, position int").coalesce(2)
+    got = {r["node"]: r for r in closure.nested_list(nodes).collect()}
+    assert len(got) == 1500 and got["n1499"]["level"] == 1499 and got["n1499"]["root"] == "n0000"
+    assert got["n0002"]["sort_path"].split("/") == [f"0000000000:n000{i}" for i in range(3)]
+    problems = {r["node"]: r["problem"] for r in closure.unplaced(nodes).collect()}
+    assert problems == {"o1": "absent_parent", "o2": "absent_parent", "c1": "cycle", "c2": "cycle", "c3": "cycle", "c4": "cycle"}
+    assert {r["node"]: r["level"] for r in closure.subtree(nodes, "n1497").collect()} == {"n1497": 0, "n1498": 1, "n1499": 2}
+    starts = spark.createDataFrame([("n0003",)], "node string")
+    assert [tuple(r) for r in closure.node_paths(nodes, starts).orderBy("up").collect()] == [("n0003", k, f"n000{3 - k}") for k in (0, 1, 2)]
+    with pytest.raises(closure.CycleError):
+        closure.node_paths(nodes, spark.createDataFrame([("c4",)], "node string"))
+    pairs = closure.ancestors(nodes.where("node LIKE 'n%' AND parent IS NOT NULL").select(F.col("node").alias("child"), "parent"))
+    assert pairs.count() == 1500 * 1501 // 2 and pairs.agg(F.max("depth")).first()[0] == 1499
+
+
+
 def test_strictest_inherited_cardinality_wins(spark):
     cards = spark.createDataFrame(
         [("a", "p", "0-n", 1), ("b", "p", "1", 2), ("a", "q", "0-1", 1), ("d", "sub", "1", 3)], "cls string, prop string, card string, gui_order int"

@@ -7,41 +7,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wovengraph.session import broadcast_if_small, settle
-
-DEEPEST = 1000
+from wovengraph.session import settle
 
 
 class CycleError(ValueError):
     pass
 
 
-def ancestors(edges: DataFrame, reflexive: bool = True, max_depth: int = DEEPEST) -> DataFrame:
+def ancestors(edges: DataFrame, reflexive: bool = True) -> DataFrame:
     """All (node, ancestor, depth) of a hierarchy given as (child, parent); least depth.
 
-    Every round joins the newest pairs with the edges; their number, not the
-    size of the result, is what a round shuffles. A cycle is an error.
+    Walks double: a round joins those of exactly ``reach`` steps with all that
+    are no longer, so a hierarchy of n levels takes log2(n) rounds. A cycle is
+    an error, found as soon as a node is its own ancestor.
     """
     edges = settle(edges.select("child", "parent").distinct())
-    step = broadcast_if_small(edges.toDF("_via", "_up"))
-    front = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    rounds = [front]
-    for depth in range(2, max_depth + 2):
-        if not front.where(F.col("node") == F.col("ancestor")).isEmpty():
+    newest = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    rounds, reach = [], 1
+    while not newest.isEmpty():
+        if not newest.where(F.col("node") == F.col("ancestor")).isEmpty():
             raise CycleError("the hierarchy contains a cycle")
-        front = settle(
-            front.join(step, front["ancestor"] == step["_via"])
-            .select("node", F.col("_up").alias("ancestor"), F.lit(depth).alias("depth"))
-            .distinct()
-        )
-        if front.isEmpty():
-            break
-        if depth > max_depth:
-            raise CycleError(f"deeper than {max_depth}")
-        rounds.append(front)
+        rounds.append(newest)
+        known = reduce(DataFrame.union, rounds).toDF("_via", "_up", "_more")
+        farthest = newest.where(F.col("depth") == reach)
+        further = farthest.join(known, farthest["ancestor"] == known["_via"])
+        newest = settle(further.select("node", F.col("_up").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth")).distinct())
+        reach *= 2
     if reflexive:
         nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
         rounds.append(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
+    if not rounds:
+        return newest
     return reduce(DataFrame.union, rounds).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
 
 
@@ -97,58 +93,72 @@ def inherited_cardinalities(class_edges: DataFrame, prop_closure: DataFrame, car
     return done
 
 
-def subtree(nodes: DataFrame, top: str, max_depth: int = DEEPEST) -> DataFrame:
-    """A node and everything below it with its level; nodes: (node, parent, ...)."""
+def _climbed(nodes: DataFrame, key: Column, stop: str | None = None) -> DataFrame:
+    """row (the node's columns), root, level, path and problem of every node.
+
+    A state covers a node's chain up to ``root`` and points to what is ``up``
+    from there; joining it with the state of ``up`` doubles the chain, so n
+    levels take log2(n) rounds. No chain is longer than there are nodes:
+    pointers left open after that lead into a cycle. ``stop`` counts as a root.
+    """
     nodes = settle(nodes)
-    level = settle(nodes.where(F.col("node") == top).withColumn("level", F.lit(0)))
-    rounds = [level]
-    for depth in range(1, max_depth + 1):
-        parents = level.select(F.col("node").alias("parent"))
-        level = settle(nodes.join(parents, "parent", "left_semi").withColumn("level", F.lit(depth)))
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, rounds)
-        rounds.append(level)
-    raise CycleError(f"deeper than {max_depth}")
-
-
-def nested_list(nodes: DataFrame, max_depth: int = DEEPEST) -> DataFrame:
+    total = nodes.count()
+    known = nodes.select(F.col("node").alias("_known")).distinct()
+    state = nodes.select(F.struct(*nodes.columns).alias("row"), "node", F.when(F.col("node").eqNullSafe(F.lit(stop)), None).otherwise(F.col("parent")).alias("up"), key.alias("path"))
+    state = state.join(known, F.col("up") == F.col("_known"), "left")
+    absent = F.col("up").isNotNull() & F.col("_known").isNull()
+    state = state.select("row", "node", F.col("_known").alias("up"), F.col("node").alias("root"), F.lit(0).alias("level"), "path", F.when(absent, "absent_parent").alias("problem"))
+    state, length = settle(state), 1
+    while length <= total and not state.where("up IS NOT NULL").isEmpty():
+        above = state.select(F.col("node").alias("up"), *(F.col(c).alias(f"_{c}") for c in ("up", "root", "level", "path", "problem")))
+        open_ = state.where("up IS NOT NULL").join(above, "up")
+        level = (F.col("level") + F.col("_level") + 1).alias("level")
+        path = F.concat("_path", F.lit("/"), "path").alias("path")
+        open_ = open_.select("row", "node", F.col("_up").alias("up"), F.col("_root").alias("root"), level, path, F.col("_problem").alias("problem"))
+        state, length = settle(state.where("up IS NULL").unionByName(open_)), 2 * length
+    return state.withColumn("problem", F.when(F.col("up").isNotNull(), "cycle").otherwise(F.col("problem")))
+
+
+def subtree(nodes: DataFrame, top: str) -> DataFrame:
+    """A node and everything below it with its level; nodes: (node, parent, ...)."""
+    below = _climbed(nodes, F.lit(""), top).where((F.col("root") == top) & F.col("problem").isNull())
+    return below.select("row.*", "level")
+
+
+def nested_list(nodes: DataFrame) -> DataFrame:
     """Every node with its root, level and sort path, so that sorting by the path
-    walks the tree: siblings by position, missing positions last, then by name."""
-    nodes = settle(nodes)
+    walks the tree: siblings by position, missing positions last, then by name.
+
+    Nodes that hang on no root are in ``unplaced``.
+    """
     key = F.concat(
         F.when(F.col("position").isNull(), F.lit("~")).otherwise(F.lpad(F.col("position").cast("string"), 10, "0")),
         F.lit(":"),
         F.col("node"),
     )
-    level = settle(
-        nodes.where(F.col("parent").isNull()).withColumns({"root": F.col("node"), "level": F.lit(0), "sort_path": key})
-    )
-    rounds = [level]
-    for depth in range(1, max_depth + 1):
-        up = level.select(F.col("node").alias("parent"), "root", F.col("sort_path").alias("_path"))
-        level = settle(
-            nodes.join(up, "parent")
-            .withColumns({"level": F.lit(depth), "sort_path": F.concat("_path", F.lit("/"), key)})
-            .drop("_path")
-        )
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, rounds)
-        rounds.append(level)
-    raise CycleError(f"deeper than {max_depth}")
+    return _climbed(nodes, key).where("problem IS NULL").select("row.*", "root", "level", F.col("path").alias("sort_path"))
+
 
+def unplaced(nodes: DataFrame) -> DataFrame:
+    """(node, parent, problem) of the nodes in no tree: 'absent_parent' (its own or of a node above) or 'cycle'."""
+    return _climbed(nodes, F.lit("")).where("problem IS NOT NULL").select("row.node", "row.parent", "problem")
 
-def node_paths(nodes: DataFrame, starts: DataFrame, max_depth: int = DEEPEST) -> DataFrame:
+
+def node_paths(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """The way from just below the root to each start: (start, steps up, node).
 
-    Only the starts' own paths are walked.
+    Only the starts' own paths are walked. Each keeps the node it was at after
+    1, 2, 4, 8 ... steps; meeting that again means a cycle, which is an error.
     """
     nodes = settle(nodes.select("node", "parent"))
-    front = settle(starts.select(F.col("node").alias("start"), F.col("node")).distinct().withColumn("up", F.lit(0)))
-    rounds = []
-    for up in range(1, max_depth + 1):
+    front = starts.select(F.col("node").alias("start"), F.col("node")).distinct()
+    front, rounds, up = settle(front.withColumns({"up": F.lit(0), "mark": F.lit(None).cast("string")})), [], 0
+    while not front.isEmpty() or not rounds:
+        if not front.where(F.col("node") == F.col("mark")).isEmpty():
+            raise CycleError("the hierarchy contains a cycle")
+        up += 1
         located = front.join(nodes, "node").where(F.col("parent").isNotNull())
         rounds.append(located.select("start", "up", "node"))
-        front = settle(located.select("start", F.col("parent").alias("node"), F.lit(up).alias("up")))
-        if front.isEmpty():
-            return reduce(DataFrame.union, rounds)
-    raise CycleError(f"deeper than {max_depth}")
+        mark = F.col("node") if up & (up - 1) == 0 else F.col("mark")
+        front = settle(located.select("start", F.col("parent").alias("node"), F.lit(up).alias("up"), mark.alias("mark")))
+    return reduce(DataFrame.union, rounds)

@@ -44,10 +44,10 @@ def _(g):
     return access.parse_permissions(g.resources.select("iri", "permissions")).select("iri", "permission", "grp")
 
 
-@query("h02_permission_codes", "SELECT code, count(*) AS n FROM grants WHERE iri LIKE 'order/%' GROUP BY code")
+@query("h02_permission_codes", "SELECT code, count(*) AS n FROM grants GROUP BY code")
 def _(g):
     subjects = g.resources.select("iri", "permissions").union(g.vals.select("iri", "permissions")).union(g.links.select("link_value", "permissions"))
-    parsed = access.parse_permissions(subjects.where(c("iri").startswith("order/")))
+    parsed = access.parse_permissions(subjects)
     return parsed.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -228,12 +228,12 @@ def _(g):
 
 @query(
     "c12_link_value_names",
-    "SELECT src, prop || 'Value' AS lp, prop AS back FROM links WHERE prop <> 'hasPart'",
+    "SELECT src, prop || 'Value' AS lp, prop AS back FROM links",
 )
 def _(g):
     from wovengraph.operators import pattern
 
-    rows = g.links.where("prop <> 'hasPart'").select("src", pattern.link_value_property(c("prop")).alias("lp"))
+    rows = g.links.select("src", pattern.link_value_property(c("prop")).alias("lp"))
     return rows.withColumn("back", pattern.link_property(c("lp")))
 
 

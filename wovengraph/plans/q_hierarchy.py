@@ -14,10 +14,10 @@ def _profiles(g):
     return access.user_profiles(g.users, g.memberships, g.admin_rights)
 
 
-@query("g02_property_closure", "SELECT l.src, k.ancestor AS prop FROM links l JOIN prop_closure k ON k.node = l.prop WHERE l.prop <> 'hasPart'")
+@query("g02_property_closure", "SELECT l.src, k.ancestor AS prop FROM links l JOIN prop_closure k ON k.node = l.prop")
 def _(g):
     closed = closure.ancestors(g.prop_edges).select(c("node").alias("prop"), "ancestor")
-    return g.links.where("prop <> 'hasPart'").join(closed, "prop").select("src", c("ancestor").alias("prop"))
+    return g.links.join(closed, "prop").select("src", c("ancestor").alias("prop"))
 
 
 @query(
@@ -237,10 +237,10 @@ def _(g):
 
 @query(
     "g19_holders",
-    """SELECT iri AS value, resource, prop FROM vals UNION ALL SELECT link_value, src, prop || 'Value' FROM links WHERE prop <> 'hasPart'""",
+    """SELECT iri AS value, resource, prop FROM vals UNION ALL SELECT link_value, src, prop || 'Value' FROM links""",
 )
 def _(g):
-    requests = g.vals.select(c("iri").alias("value")).union(g.links.where("prop <> 'hasPart'").select("link_value"))
+    requests = g.vals.select(c("iri").alias("value")).union(g.links.select("link_value"))
     return walks.holders(requests, g.vals, g.links)
 
 

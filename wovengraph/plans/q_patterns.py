@@ -459,10 +459,10 @@ def _(g):
 
 @query(
     "o10_nulls_first",
-    "SELECT node, position FROM list_nodes ORDER BY position NULLS FIRST, node LIMIT 60",
+    "SELECT node, position FROM list_nodes ORDER BY position NULLS FIRST, node",
 )
 def _(g):
-    return g.list_nodes.select("node", "position").orderBy(c("position").asc_nulls_first(), "node").limit(60)
+    return g.list_nodes.select("node", "position").orderBy(c("position").asc_nulls_first(), "node")
 
 
 @query(

@@ -6,10 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# A side is broadcast only after it was counted and found to be no larger.
-BROADCAST_ROWS = 100_000
 # Folders of local sessions; Python removes them when it ends.
 _LOCAL_DIRS: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -56,8 +53,3 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/wovengraph/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast after a bounded count; leave larger sides to a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
