@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wovengraph.llm.common import components, settle
-from wovengraph.llm.shingles import mixed, shingle_set
+from wovengraph.llm.shingles import mixed, shingle_sets
 
 LARGE = 8
 PIVOTS = 8
@@ -60,26 +60,34 @@ def windows(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = shared.value
+        last, often = np.ascontiguousarray(shared.value["key"]), np.ascontiguousarray(shared.value["n"])
         for pdf in batches:
             rows = []
-            for text in pdf["text"]:
-                own = shingle_set(text, width)
-                keep = window(len(own), percent)
-                if len(last) and keep:
-                    at = np.minimum(np.searchsorted(last["key"], own), len(last) - 1)
-                    held = np.where(last["key"][at] == own, last["n"][at], 0)
-                    keys = own[np.argsort(held, kind="stable")[:keep]]
-                else:
-                    keys = own[:keep]
-                digest = np.array([mixed(own).sum(), mixed(own ^ np.uint64(0x5555)).sum()], dtype=np.uint64).view(np.int64)
-                rows.append((len(own), digest[0], digest[1], keys.view(np.int64)))
+            for chunk in shingle_sets(pdf["text"], width):
+                every = np.concatenate(chunk)
+                ends = np.cumsum([0, *map(len, chunk)])
+                d1, d2 = (_sums(mixed(every ^ np.uint64(x)), ends) for x in (0, 0x5555))
+                held = np.zeros(len(every), dtype=np.int64)
+                if len(last):
+                    at = np.minimum(np.searchsorted(last, every), len(last) - 1)
+                    held = np.where(last[at] == every, often[at], 0)
+                late = _sums(held.astype(np.uint64), ends) > 0
+                for k, own in enumerate(chunk):
+                    keep = window(len(own), percent)
+                    keys = own[np.argsort(held[ends[k] : ends[k + 1]], kind="stable")[:keep]] if late[k] else own[:keep].copy()
+                    rows.append((len(own), d1[k], d2[k], keys.view(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "d1", "d2", "keys"], index=pdf.index)
             yield pd.concat([pdf[["id"]], out], axis=1)
 
     return docs.select("id", "text").mapInPandas(run, f"id {kind}, n long, d1 long, d2 long, keys array<long>")
 
 
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums modulo 2 ** 64 between neighbouring ends, as signed numbers."""
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values)])
+    return (total[ends[1:]] - total[ends[:-1]]).view(np.int64)
+
+
 def common_keys(found: DataFrame) -> np.ndarray:
     """The shingles in the most windows (a list of fixed size: it only sets the order), sorted by key."""
     counts = found.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -99,7 +107,8 @@ def sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
         for pdf in batches:
             pdf = pdf[_set(shared.value, _places(pdf["key"]))]
             if len(pdf):
-                yield pdf[["id"]].assign(elements=[shingle_set(t, width).view(np.int64) for t in pdf["text"]])
+                found = [own.view(np.int64) for chunk in shingle_sets(pdf["text"], width) for own in chunk]
+                yield pdf[["id"]].assign(elements=found)
 
     known = docs.where("id IS NOT NULL").select("id", "text", F.xxhash64("id").alias("key"))
     return known.mapInPandas(run, f"id {kind}, elements array<long>")

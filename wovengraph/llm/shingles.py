@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
 _rng = np.random.default_rng(20240902)
@@ -11,6 +13,7 @@ for _c in range(65, 91):  # A-Z count as a-z
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+CHUNK = 1 << 18
 _POWERS = np.cumprod(np.full(4096, 0xD1342543DE82EF95, dtype=np.uint64))
 
 
@@ -28,28 +31,56 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A hash of each word between ASCII white space, A-Z as a-z."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word between ASCII white space, A-Z as a-z, and the place where it starts."""
     inside = np.concatenate([[False], ~_SPACE[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), starts
     sizes = ends - starts
-    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    before = np.cumsum(sizes) - sizes
+    at = np.arange(sizes.sum()) - np.repeat(before, sizes)
     own = _BYTE[raw[inside[1:-1]]] * _powers(int(sizes.max()))[at]
-    sums = np.add.reduceat(own, np.cumsum(sizes) - sizes)
-    return mixed(sums + sizes.astype(np.uint64) * _STEP)
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Distinct shingles of ``width`` words, sorted; fewer words make one shingle, none make none."""
-    words = word_hashes(text or "")
-    if not len(words):
-        return words
-    own = min(width, len(words))
-    total = np.full(len(words) - own + 1, own, dtype=np.uint64)
-    for k in range(own):
-        total += words[k : len(words) - own + 1 + k] * _powers(2 * width)[2 * k + 1]
-    return np.unique(mixed(total))
+    return mixed(np.add.reduceat(own, before) + sizes.astype(np.uint64) * _STEP), starts
+
+
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    total = np.full(len(words) - width + 1, width, dtype=np.uint64)
+    for k in range(width):
+        total += words[k : len(words) - width + 1 + k] * _powers(2 * width)[2 * k + 1]
+    return mixed(total)
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """The sets of a few texts, cut and hashed together."""
+    words, starts = _words(np.frombuffer(b" ".join(texts), dtype=np.uint8))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    last = np.searchsorted(starts, ends)
+    first = np.concatenate([[0], last[:-1]])
+    every = _shingles(words, width) if len(words) >= width else words[:0]
+    out = []
+    for a, b in zip(first, last, strict=True):
+        out.append(_distinct(every[a : b - width + 1] if b - a >= width else _shingles(words[a:b], b - a)) if b > a else words[:0])
+    return out
+
+
+def shingle_sets(texts: Iterable[str | None], width: int) -> Iterator[list[np.ndarray]]:
+    """Distinct shingles of ``width`` words of each text, sorted, in lists of texts of about ``CHUNK`` bytes.
+
+    Fewer words make one shingle, none make none.
+    """
+    held, size = [], 0
+    for text in texts:
+        held.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield _sets(held, width)
+            held, size = [], 0
+    if held:
+        yield _sets(held, width)
