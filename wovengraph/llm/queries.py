@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wovengraph.llm import bpe, exact_dedup, hyperplanes, jaccard, language, licences, packing, quality, rans, resharding
+from wovengraph.llm import bpe, exact_dedup, fill_middle, hyperplanes, jaccard, language, licences, packing, quality, rans, resharding
 from wovengraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,25 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(licence, F.concat(F.lit("LICENSE."), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
     path = F.concat_ws("/", "source", thousands, F.when(~licence, hundreds), name)
     return licences.scan(docs.select(path.alias("path"), "doc_id", "text"))
+
+
+@query(
+    "op11_fill_in_middle",
+    r"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+        sha256('7:' || doc_id) AS d FROM documents),
+    h AS (SELECT doc_id, s, u, len(u) AS n, ('0x' || d[1:8])::UBIGINT AS h1, ('0x' || d[9:16])::UBIGINT AS h2, ('0x' || d[25:32])::UBIGINT AS h4 FROM t),
+    c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS lo, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS hi,
+        CASE WHEN s = '' OR contains(s, '<P>') OR contains(s, '<S>') OR contains(s, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    p AS (SELECT *, array_to_string(u[1:lo], '') AS pre, array_to_string(u[lo + 1:hi], '') AS mid, array_to_string(u[hi + 1:n], '') AS suf FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN s WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+        sha256(s) AS restored_sha256 FROM p
+    """,
+)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    whole = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256")
+    )
