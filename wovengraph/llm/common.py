@@ -26,11 +26,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/wovengraph-llm/{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from the written table."""
+def settled(df: DataFrame) -> str:
+    """Write the rows to a new folder below the shared one; its path."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and go on from the written table."""
+    return df.sparkSession.read.schema(df.schema).parquet(settled(df))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wovengraph.llm import bpe, exact_dedup, fill_middle, hyperplanes, jaccard, language, licences, packing, quality, rans, resharding
+from wovengraph.llm import bpe, collocations, exact_dedup, fill_middle, hyperplanes, jaccard, language, licences, packing, quality, rans, resharding
 from wovengraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,27 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256")
     )
+
+
+@query(
+    "op12_collocations",
+    r"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+        unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\x0c\r]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS u FROM p),
+    n AS (SELECT lang, sum(len(u)) AS n FROM w GROUP BY lang),
+    g AS (SELECT lang, unnest(flatten(list_transform(range(1, least(len(u), 5) + 1), lambda m: list_transform(range(1, len(u) - m + 2), lambda i: array_to_string(u[i:i + m - 1], ' '))))) AS phrase FROM w WHERE len(u) > 0),
+    f AS (SELECT lang, phrase, count(*) AS f, string_split(phrase, ' ') AS u FROM g GROUP BY lang, phrase HAVING count(*) >= 100),
+    c AS (SELECT lang, phrase, f AS a, u, unnest(range(1, len(u))) AS k FROM f WHERE len(u) > 1),
+    s AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n.n, k, (1000::HUGEINT * c.a * n.n) // (x.f::HUGEINT * y.f) AS score
+        FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.u[1:k], ' ')
+        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.u[k + 1:len(c.u)], ' ') JOIN n ON n.lang = c.lang),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    i AS (SELECT lang, f, unnest(flatten(list_transform(range(2, len(u)), lambda m: list_transform(range(1, len(u) - m + 2), lambda i: array_to_string(u[i:i + m - 1], ' '))))) AS phrase FROM f WHERE len(u) > 2),
+    d AS (SELECT b.* FROM b LEFT JOIN (SELECT lang, phrase, max(f) AS around FROM i GROUP BY lang, phrase) o USING (lang, phrase) WHERE around IS NULL OR 100 * around < 100 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+    FROM d QUALIFY rank <= 2000
+    """,
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
