@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wovengraph.llm import bpe, collocations, exact_dedup, fill_middle, hyperplanes, jaccard, language, licences, packing, quality, rans, resharding
+from wovengraph.llm import bpe, collocations, exact_dedup, fill_middle, hyperplanes, jaccard, language, licences, main_text, packing, quality, rans, resharding
 from wovengraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,8 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_main_text")
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
