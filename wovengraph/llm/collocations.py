@@ -3,11 +3,10 @@
 1. Words are counted for each language; only words with ``least`` occurrences can
    stand in a frequent phrase. They get numbers, and every text becomes a list of
    numbers in which everything else (rare words, ends of pieces) is one -1.
-2. Candidates of k + 1 words are frequent phrases of k words that were seen with a
-   frequent word behind them, and whose last k words are frequent as well. A shard
-   (``SHARD`` text positions of one task) names what it holds ``ceil(least / shards)``
-   times at least: a phrase with ``least`` occurrences reaches that in some shard.
-   What even the most favourable count leaves below ``least`` is dropped at once.
+2. Candidates of k + 1 words are frequent phrases of k words with a frequent word
+   behind them, whose last k words are frequent as well. Only those that stand in the texts
+   are considered: a shard (``SHARD`` text positions of one task) names what it holds and how
+   often, and names that cannot add up to ``least`` go no further.
 3. Candidates go into double-array tries of at most ``BLOCK`` phrases. A trie is
    broadcast, and numpy moves the states of all text positions of a shard one word
    further at a time; accepting states are counted and the shards' counts summed.
@@ -36,6 +35,7 @@ WORDS = 1 << 20  # words in one broadcast dictionary
 SHARD = 1 << 22  # text positions counted together
 HELD = 1 << 19  # distinct words a task holds before it passes their counts on
 CHUNK = 1 << 20  # bytes of a text cut at once
+DIGIT = 10  # bits of a trie's symbol; a word's number takes two or three
 
 _END = b","
 _FOLDED = bytearray(range(256))
@@ -140,10 +140,16 @@ def encoded(texts: DataFrame, vocabulary: DataFrame, size: int) -> str:
 
 
 class DoubleArray:
-    """A trie of rows of numbers: the child of slot s by symbol c is slot base[s] + c, if check there is s."""
+    """A trie of rows of numbers: the child of slot s by symbol c is slot base[s] + c, if check there is s.
+
+    Symbols are digits of ``DIGIT`` bits, so the children of a node lie close together and
+    the array is hardly longer than the number of nodes.
+    """
 
     def __init__(self, rows: np.ndarray):
         """rows: distinct, all of one length."""
+        self.shifts = list(range(0, max(1, int(rows.max(initial=0)).bit_length()), DIGIT))[::-1]
+        rows = np.stack([rows[:, k] >> shift & (1 << DIGIT) - 1 for k in range(rows.shape[1]) for shift in self.shifts], axis=1)
         order = np.lexsort(rows.T[::-1])
         rows = rows[order]
         parent, symbol, nodes = [], [], 1
@@ -164,10 +170,12 @@ class DoubleArray:
         base = np.zeros(nodes, dtype=np.int64)
         taken = np.zeros(max(1024, 2 * nodes), dtype=bool)
         taken[0] = True
-        extent, start = 1, 1
+        extent, start, wide = 1, 1, 0
         for at in np.argsort(-sizes, kind="stable"):
             if sizes[at] == 1:
                 break
+            if wide != int(sizes[at]).bit_length():  # smaller nodes look at all gaps again
+                start, wide = 1, int(sizes[at]).bit_length()
             own = symbols[first[at] : first[at] + sizes[at]]
             rel = own - own[0]
             if len(taken) < extent + 2 * int(rel[-1]) + 8192:
@@ -193,7 +201,7 @@ class DoubleArray:
         slots = np.zeros(nodes, dtype=np.int64)
         slots[1:] = base[parents] + symbols
         size = int(slots.max(initial=0)) + 1
-        self.base, self.check, self.row = np.zeros(size, dtype=np.int64), np.full(size, -1, dtype=np.int32), np.full(size, -1, dtype=np.int32)
+        self.base, self.check, self.row = np.zeros(size, dtype=np.int32), np.full(size, -1, dtype=np.int32), np.full(size, -1, dtype=np.int32)
         self.base[slots] = base
         self.check[slots[1:]] = slots[parents]
         if len(rows):
@@ -204,19 +212,22 @@ class DoubleArray:
         at = np.flatnonzero(flat >= 0)
         state = np.zeros(len(at), dtype=np.int64)
         for step in range(depth):
-            symbol = flat[at + step]
-            to = self.base[state] + symbol
-            good = (symbol >= 0) & (to >= 0) & (to < len(self.check))
-            at, state, to = at[good], state[good], to[good]
-            good = self.check[to] == state
-            at, state = at[good], to[good]
+            good = flat[at + step] >= 0
+            at, state = at[good], state[good]
+            for shift in self.shifts:
+                to = self.base[state] + (flat[at + step] >> shift & (1 << DIGIT) - 1)
+                good = (to >= 0) & (to < len(self.check))
+                at, state, to = at[good], state[good], to[good]
+                good = self.check[to] == state
+                at, state = at[good], to[good]
         return at, self.row[state]
 
 
-def _pass(corpus: DataFrame, trie: DoubleArray | None, size: int, depth: int, enough: int, grow: bool) -> str:
-    """Path of (number, word, n): counts of the trie's rows (no word), rows with a word behind them, and one row -1 for each shard.
+def _pass(corpus: DataFrame, trie: DoubleArray | None, size: int, depth: int, grow: bool, only: bool) -> str:
+    """Path of (number, word, n): how often the trie's rows stand in the texts (no word), and the rows with a word behind them.
 
-    Without a trie every word is a row of its own.
+    Without a trie every word is a row of its own. If the trie is the ``only`` one of its
+    depth, what it doesn't hold from the second word on isn't named.
     """
     shared = corpus.sparkSession.sparkContext.broadcast(trie)
 
@@ -224,8 +235,7 @@ def _pass(corpus: DataFrame, trie: DoubleArray | None, size: int, depth: int, en
         trie = shared.value
         counts = np.zeros(size if trie else 0, dtype=np.int64)
 
-        def rows(number: np.ndarray, word: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
-            word = pa.nulls(len(n), pa.int32()) if word is None else pa.array(word, pa.int32())
+        def rows(number: np.ndarray, word: pa.Array, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"number": pa.array(number, pa.int64()), "word": word, "n": pa.array(n, pa.int64())})
 
         def shard(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +245,15 @@ def _pass(corpus: DataFrame, trie: DoubleArray | None, size: int, depth: int, en
             if trie:
                 at, row = trie.walk(flat, depth)
                 counts[:] += np.bincount(row, minlength=size)
-            yield rows(np.array([-1]), None, np.array([1]))
             if grow:
                 word = flat[at + depth]
-                keys, n = np.unique(row[word >= 0].astype(np.int64) << 32 | word[word >= 0], return_counts=True)
-                keys, n = keys[n >= enough], n[n >= enough]
-                yield rows(keys >> 32, (keys & 0xFFFFFFFF).astype(np.int32), n)
+                good = word >= 0
+                if trie and only:
+                    held = np.zeros(len(flat), dtype=bool)
+                    held[at] = True
+                    good &= held[at + 1]
+                keys, n = np.unique(row[good].astype(np.int64) << 32 | word[good], return_counts=True)
+                yield rows(keys >> 32, pa.array((keys & 0xFFFFFFFF).astype(np.int32)), n)
 
         parts, held = [], 0
         for given in batches:
@@ -253,21 +266,16 @@ def _pass(corpus: DataFrame, trie: DoubleArray | None, size: int, depth: int, en
         if parts:
             yield from shard(parts)
         seen = np.flatnonzero(counts)
-        if len(seen):
-            yield rows(seen, None, counts[seen])
+        yield rows(seen, pa.nulls(len(seen), pa.int32()), counts[seen])
 
     path = settled(corpus.mapInArrow(run, "number long, word int, n long"))
     shared.unpersist()
     return path
 
 
-def _candidates(found: DataFrame, named: DataFrame, vocabulary: DataFrame, depth: int, least: int, enough: int, shards: int) -> DataFrame:
-    """lang, words, phrase, size, number of the phrases of ``depth`` words that can still reach ``least``.
-
-    Of a shard that did not name a phrase, ``enough`` - 1 occurrences are assumed.
-    """
-    unnamed = (F.lit(shards) - F.count(F.lit(1))) * (enough - 1)
-    likely = named.groupBy("number", "word").agg((F.sum("n") + unnamed).alias("most")).where(F.col("most") >= least)
+def _candidates(found: DataFrame, named: DataFrame, vocabulary: DataFrame, depth: int, least: int) -> DataFrame:
+    """lang, words, phrase, size, number of the named phrases of ``depth`` words that can be frequent."""
+    likely = named.groupBy("number", "word").agg(F.sum("n").alias("most")).where(F.col("most") >= least)
     behind = vocabulary.select(F.col("id").alias("word"), F.col("word").alias("text"))
     longer = F.concat("words", F.array("word")).alias("words")
     grown = likely.join(found.select("number", "lang", "words", "phrase"), "number").join(behind, "word")
@@ -278,21 +286,17 @@ def _candidates(found: DataFrame, named: DataFrame, vocabulary: DataFrame, depth
     return settle(numbered(grown, [], ["lang", "phrase"], "number"))
 
 
-def _counted(corpus: DataFrame, candidates: DataFrame, depth: int, least: int, enough: int, grow: bool) -> tuple[DataFrame, DataFrame, int]:
-    """The frequent ones of the candidates with f, the rows that name longer ones, and how many shards there were."""
-    spark, size, counts = corpus.sparkSession, candidates.count(), None
-    blocks = range(0, size, BLOCK)
-    for start in blocks:
+def _counted(corpus: DataFrame, candidates: DataFrame, depth: int, least: int, grow: bool) -> tuple[DataFrame, DataFrame]:
+    """The frequent ones of the candidates with f, and the rows that name longer ones."""
+    spark, size = corpus.sparkSession, candidates.count()
+    counts = spark.createDataFrame([], "number long, word int, n long")
+    for start in range(0, size, BLOCK):
         part = candidates.where((F.col("number") >= start) & (F.col("number") < start + BLOCK)).select("number", "words").toArrow().sort_by("number")
         rows = np.array(part["words"].combine_chunks().flatten()).reshape(len(part), depth)
-        own = spark.read.parquet(_pass(corpus, DoubleArray(rows), len(part), depth, enough, grow))
-        own = own.withColumn("number", F.when(F.col("number") >= 0, F.col("number") + start).otherwise(F.col("number")))
-        counts = own if counts is None else counts.unionByName(own)
-    if counts is None:
-        counts = spark.createDataFrame([], "number long, word int, n long")
-    sums = counts.where("number >= 0 AND word IS NULL").groupBy("number").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    shards = counts.where("number = -1").count() // max(1, len(blocks))
-    return settle(candidates.join(sums, "number")), counts.where("word IS NOT NULL"), shards
+        own = spark.read.schema(counts.schema).parquet(_pass(corpus, DoubleArray(rows), len(part), depth, grow, size <= BLOCK))
+        counts = counts.unionByName(own.withColumn("number", F.col("number") + start))
+    sums = counts.where("word IS NULL").groupBy("number").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    return settle(candidates.join(sums, "number")), counts.where("word IS NOT NULL")
 
 
 def frequent_phrases(docs: DataFrame, least: int, most_words: int, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
@@ -305,20 +309,14 @@ def frequent_phrases(docs: DataFrame, least: int, most_words: int, text_col: str
     vocabulary = settle(numbered(ordered, [], ["lang", "less", "word"], "id").select("lang", "word", "n", F.col("id").cast("int")))
     path = encoded(texts, vocabulary, vocabulary.count())
     corpus = spark.read.schema("ids array<int>").parquet(path)
-    positions = corpus.agg(F.sum(F.size("ids") + 1)).first()[0] or 0
-    planned = corpus.rdd.getNumPartitions() + positions // SHARD + 1
-    enough = -(-least // planned)
-
     columns = ["lang", "words", "phrase", "size", "number", "f"]
     single = vocabulary.withColumns({"words": F.array("id"), "phrase": F.col("word"), "size": F.lit(1), "number": F.col("id").cast("long"), "f": F.col("n")})
     levels = [single.select(*columns)]
-    named = spark.read.schema("number long, word int, n long").parquet(_pass(corpus, None, 0, 1, enough, most_words > 1))
-    shards, named = named.where("number = -1").count(), named.where("word IS NOT NULL")
+    if most_words > 1:
+        named = spark.read.schema("number long, word int, n long").parquet(_pass(corpus, None, 0, 1, True, True)).where("word IS NOT NULL")
     for depth in range(2, most_words + 1):
-        if shards > planned:
-            raise RuntimeError(f"the written texts were read in {shards} shards, not in {planned}")
-        candidates = _candidates(levels[-1], named, vocabulary, depth, least, enough, shards)
-        found, named, shards = _counted(corpus, candidates, depth, least, enough, depth < most_words)
+        candidates = _candidates(levels[-1], named, vocabulary, depth, least)
+        found, named = _counted(corpus, candidates, depth, least, depth < most_words)
         levels.append(found.select(*columns))
     discard(spark, path)
     every = levels[0]
