@@ -32,9 +32,10 @@ from wovengraph.llm.common import discard, numbered, settle, settled
 
 BLOCK = 1 << 18  # phrases in one trie
 WORDS = 1 << 20  # words in one broadcast dictionary
-SHARD = 1 << 22  # text positions counted together
-HELD = 1 << 19  # distinct words a task holds before it passes their counts on
+SHARD = 1 << 21  # text positions counted together
+HELD = 1 << 17  # distinct words a task holds before it passes their counts on
 CHUNK = 1 << 20  # bytes of a text cut at once
+BATCH = 1 << 16  # rows handed on at once
 DIGIT = 10  # bits of a trie's symbol; a word's number takes two or three
 
 _END = b","
@@ -65,11 +66,11 @@ def words(raw: bytes) -> Iterator[list[bytes]]:
 def word_counts(texts: DataFrame) -> DataFrame:
     """lang, word, n from lang and raw text; a row without word holds the number of all words."""
 
-    def batch(counts: dict[str, Counter]) -> pa.RecordBatch:
-        rows = [(lang, word, n) for lang, own in counts.items() for word, n in own.items()]
-        rows += [(lang, None, sum(own.values())) for lang, own in counts.items()]
-        lang, word, n = zip(*rows, strict=True)
-        return pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "word": pa.array(word, pa.binary()), "n": pa.array(n, pa.int64())})
+    def rows(lang: str, own: Counter) -> Iterator[pa.RecordBatch]:
+        found, n = [None, *own], [sum(own.values()), *own.values()]
+        for at in range(0, len(n), BATCH):
+            word, some = pa.array(found[at : at + BATCH], pa.binary()), pa.array(n[at : at + BATCH], pa.int64())
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(some), pa.string()), "word": word, "n": some})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -79,13 +80,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 for part in words(raw.as_py()):
                     own.update(part)
                 del own[_END]
-                if len(own) > HELD:
-                    yield batch({lang: counts.pop(lang)})
-            if sum(map(len, counts.values())) > HELD:
-                yield batch(counts)
-                counts = {}
-        if counts:
-            yield batch(counts)
+                if sum(map(len, counts.values())) > HELD:
+                    most = max(counts, key=lambda x: len(counts[x]))
+                    yield from rows(most, counts.pop(most))
+        for lang, own in counts.items():
+            yield from rows(lang, own)
 
     found = texts.mapInArrow(run, "lang string, word binary, n long")
     return found.groupBy("lang", F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("n"))
@@ -235,8 +234,11 @@ def _pass(corpus: DataFrame, trie: DoubleArray | None, size: int, depth: int, gr
         trie = shared.value
         counts = np.zeros(size if trie else 0, dtype=np.int64)
 
-        def rows(number: np.ndarray, word: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"number": pa.array(number, pa.int64()), "word": word, "n": pa.array(n, pa.int64())})
+        def rows(number: np.ndarray, word: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(n), BATCH):
+                end = min(at + BATCH, len(n))
+                words = pa.nulls(end - at, pa.int32()) if word is None else pa.array(word[at:end], pa.int32())
+                yield pa.RecordBatch.from_pydict({"number": pa.array(number[at:end], pa.int64()), "word": words, "n": pa.array(n[at:end], pa.int64())})
 
         def shard(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             flat = np.concatenate([*parts, np.full(depth + 1, -1, dtype=np.int32)])
@@ -253,7 +255,7 @@ def _pass(corpus: DataFrame, trie: DoubleArray | None, size: int, depth: int, gr
                     held[at] = True
                     good &= held[at + 1]
                 keys, n = np.unique(row[good].astype(np.int64) << 32 | word[good], return_counts=True)
-                yield rows(keys >> 32, pa.array((keys & 0xFFFFFFFF).astype(np.int32)), n)
+                yield from rows(keys >> 32, (keys & 0xFFFFFFFF).astype(np.int32), n)
 
         parts, held = [], 0
         for given in batches:
@@ -266,7 +268,7 @@ def _pass(corpus: DataFrame, trie: DoubleArray | None, size: int, depth: int, gr
         if parts:
             yield from shard(parts)
         seen = np.flatnonzero(counts)
-        yield rows(seen, pa.nulls(len(seen), pa.int32()), counts[seen])
+        yield from rows(seen, None, counts[seen])
 
     path = settled(corpus.mapInArrow(run, "number long, word int, n long"))
     shared.unpersist()
