@@ -44,6 +44,29 @@ def test_numbered_without_keys(skewed):
     assert {r["i"]: r["pos"] for r in got.collect()} == want
 
 
+def test_two_hot_groups_are_cut_by_their_own_rows(spark):
+    """The groups' values lie apart; each must still be cut into several ranges."""
+    df = spark.range(4000).select(F.when(c("id") < 2000, "a").otherwise("b").alias("k"), (c("id") + F.when(c("id") < 2000, 0).otherwise(10**9)).alias("v"))
+    cut = ordering.ranged(df, ["k"], ["v"], 16)
+    per = cut.groupBy("k", "_range").count()
+    assert per.agg(F.max("count")).first()[0] < 1000 and min(r["count"] for r in per.groupBy("k").count().collect()) >= 4
+    got = ordering.numbered(df, ["k"], ["v"], hot_rows=500, ranges=16)
+    assert got.where((c("pos") - 1) % 2000 != (c("v") % 10**9) % 2000).isEmpty()
+
+
+def test_page_by_rank_reads_one_range(spark):
+    from wovengraph.operators import paging
+
+    df = spark.range(300_000).select(((c("id") * 7919) % 300_000).alias("v"))
+    ranked = paging.Ranked(df, [c("v")], 8)
+    assert ranked.total == 300_000 and len(ranked.ranges) == 8
+    for start, count in ((0, 25), (250_000, 25), (299_990, 25), (ranked.ranges[1][1] - 3, 10), (400_000, 5)):
+        assert [r["v"] for r in ranked.slice(start, count).collect()] == list(range(start, min(start + count, 300_000)))
+    deep = paging.page(df, [c("v")], 10_000)
+    assert [r["v"] for r in deep.collect()] == list(range(250_000, 250_025))
+    assert "GreaterThanOrEqual(_at" in deep._jdf.queryExecution().toString()
+
+
 def test_with_previous_split(skewed):
     df, _ = skewed
     plain = ordering.with_previous(df, ["k"], ["v", "i"], "i", "prev")

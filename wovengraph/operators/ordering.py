@@ -1,8 +1,10 @@
 """Positions, predecessors and bounded lists within groups of any size.
 
 A window sorts each group in one task. Groups above ``hot_rows`` are therefore
-cut into ranges of their order columns first: every range is numbered on its
-own, and range sizes (a small table) give the offsets.
+cut into ranges of (keys, order) over all partitions and written once, sorted
+(``ranged``). Rows of a group that lie in one range stand next to each other, so their
+position is their distance from the first of them plus what the ranges before hold
+(a small table). Every group is cut by its own rows, whatever the others hold.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wovengraph.session import settle
+
 HOT_ROWS = 2_000_000
-RANGES = 64
 PART_ROWS = 10_000
 
 
@@ -33,64 +36,55 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
 
 
-def _after(order: list[str], bound) -> Column:
-    """True for rows placed behind the bound in the given (mixed) order."""
-    result = F.lit(False)
-    for name in reversed(order):
-        col, at = F.col(name.lstrip("-")), F.lit(bound[name.lstrip("-")])
-        past = col < at if name.startswith("-") else col > at
-        result = past | ((col == at) & result)
-    return result
+def ranged(df: DataFrame, keys: list[str], order: list[str], parts: int) -> DataFrame:
+    """The rows in ``parts`` ranges of (keys, order), written; ``_range`` and ``_at`` grow along both."""
+    by = [*(F.col(k) for k in keys), *_order_columns(order)]
+    cut = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    return settle(cut.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
 
 
-def _with_range(df: DataFrame, order: list[str], ranges: int) -> DataFrame:
-    """Add ``_range``, increasing along the order; bounds come from a hash sample of fixed size."""
-    names = _names(order)
-    per_range = 20
-    sample = (
-        df.select(*names).orderBy(F.xxhash64(*names), *names).limit(ranges * per_range).orderBy(*_order_columns(order))
-    )
-    bounds = sample.collect()[per_range::per_range]
-    index = reduce(lambda a, b: a + b, [_after(order, b).cast("int") for b in bounds], F.lit(0))
-    return df.withColumn("_range", index)
+def range_sizes(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _range, _first, _n, _before): the first ``_at`` and the rows of a group in a range, and its rows in those before."""
+    sizes = cut.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
 
 
-def _split(df, keys, hot_rows):
-    """(rows of ordinary groups, rows of hot groups or None)."""
+def _split(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """(rows of ordinary groups, rows of hot groups or None, how many these are)."""
     if not keys:
-        hot = df.limit(hot_rows + 1).count() > hot_rows
-        return (None, df) if hot else (df, None)
-    hot = hot_keys(df, keys, hot_rows)
-    if hot.isEmpty():
-        return df, None
+        total = df.count()
+        return (None, df, total) if total > hot_rows else (df, None, 0)
+    hot = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows))
+    total = hot.agg(F.sum("_n")).first()[0]
+    if not total:
+        return df, None, 0
     cond = _same_keys(df, hot, keys)
-    return df.join(hot, cond, "left_anti"), df.join(hot, cond, "left_semi")
+    return df.join(hot, cond, "left_anti"), df.join(hot, cond, "left_semi"), total
+
+
+def _parts(df: DataFrame, total: int, hot_rows: int, ranges: int | None) -> int:
+    """Ranges of about ``hot_rows`` rows, as many as there are shuffle partitions at least."""
+    return ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // hot_rows))
 
 
 def numbered(
-    df: DataFrame, keys: list[str], order: list[str], name: str = "pos", hot_rows: int = HOT_ROWS, ranges: int = RANGES
+    df: DataFrame, keys: list[str], order: list[str], name: str = "pos", hot_rows: int = HOT_ROWS, ranges: int | None = None
 ) -> DataFrame:
     """1-based position of every row in its group; ``-col`` orders descending.
 
     The order must be total within a group, and its columns not null.
     """
-    cols = _order_columns(order)
-    cold, hot = _split(df, keys, hot_rows)
+    cold, hot, total = _split(df, keys, hot_rows)
     out = []
     if cold is not None:
-        window = Window.partitionBy(*keys).orderBy(*cols)
+        window = Window.partitionBy(*keys).orderBy(*_order_columns(order))
         out.append(cold.withColumn(name, F.row_number().over(window).cast("long")))
     if hot is not None:
-        hot = _with_range(hot, order, ranges)
-        group = [*keys, "_range"]
-        before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = hot.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-        sizes = sizes.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-        local = hot.withColumn("_local", F.row_number().over(Window.partitionBy(*group).orderBy(*cols)))
-        joined = local.alias("l").join(sizes.alias("z"), _same_keys_alias("l", "z", group))
-        out.append(
-            joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("_local") + F.col("_before")).alias(name))
-        )
+        hot = ranged(hot, keys, order, _parts(df, total, hot_rows, ranges))
+        joined = hot.alias("l").join(range_sizes(hot, keys).alias("z"), _same_keys_alias("l", "z", [*keys, "_range"]))
+        position = F.col("l._at") - F.col("z._first") + F.col("z._before") + 1
+        out.append(joined.select(*[F.col(f"l.`{c}`") for c in df.columns], position.cast("long").alias(name)))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -105,23 +99,23 @@ def with_previous(
     value: str,
     name: str,
     hot_rows: int = HOT_ROWS,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """The ``value`` of the row before, in ascending order within the group."""
-    cold, hot = _split(df, keys, hot_rows)
+    cold, hot, total = _split(df, keys, hot_rows)
     out = []
     if cold is not None:
         out.append(cold.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))))
     if hot is not None:
-        hot = _with_range(hot, order, ranges)
+        hot = ranged(hot, keys, order, _parts(df, total, hot_rows, ranges))
         group = [*keys, "_range"]
-        last = hot.groupBy(*group).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+        last = hot.groupBy(*group).agg(F.max_by(value, "_at").alias("_last"))
         last = last.select(*group, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")).alias("_carry"))
-        window = Window.partitionBy(*group).orderBy(*order)
+        window = Window.partitionBy(*group).orderBy("_at")
         local = hot.withColumn("_lag", F.lag(value).over(window)).withColumn("_first", F.row_number().over(window) == 1)
         joined = local.alias("l").join(last.alias("z"), _same_keys_alias("l", "z", group))
         previous = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))
-        out.append(joined.select(*[F.col(f"l.{c}") for c in df.columns], previous.alias(name)))
+        out.append(joined.select(*[F.col(f"l.`{c}`") for c in df.columns], previous.alias(name)))
     return reduce(DataFrame.unionByName, out)
 
 

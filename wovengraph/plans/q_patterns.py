@@ -414,6 +414,17 @@ def _(g):
     return paging.page(dates, [c("start_jdn"), c("resource")], 2)
 
 
+@query(
+    "o03_page_by_rank",
+    """SELECT s, p, o FROM triples WHERE p = 'hasPart' ORDER BY s, o LIMIT 25 OFFSET
+    (SELECT CAST(floor(count(*) / 50) AS BIGINT) * 25 FROM triples WHERE p = 'hasPart')""",
+)
+def _(g):
+    parts = g.links.where("prop = 'hasPart' AND NOT is_deleted").select(c("src").alias("s"), c("prop").alias("p"), c("dst").alias("o"))
+    ranked = paging.Ranked(parts, [c("s"), c("o")])
+    return ranked.slice(ranked.total // 50 * 25, 25)
+
+
 @query(
     "o04_page_table",
     """SELECT page, pages, page * 25 AS start_row, least(25, n - page * 25) AS rows_shown, page = 2 AS is_current FROM
