@@ -133,6 +133,58 @@ def test_deep_lists_orphans_and_cycles(spark):
 
 
 
+def test_tree_labels_against_brute_force(spark):
+    rng = random.Random(4)
+    data, up = [], {}
+    for k in range(400):
+        parent = None if k < 3 else "gone" if k == 3 else f"n{rng.randrange(max(0, k - 40), k)}" if rng.random() < 0.5 else f"n{rng.randrange(min(k, 12))}"
+        up[f"n{k}"] = parent
+        data.append((f"n{k}", parent, rng.choice([None, 1, 2, 3])))
+    data += [("c1", "c2", 1), ("c2", "c1", 1), ("below", "c1", 1), ("n5", "n4", 9)]
+    by_node = {}
+    for row in data:
+        by_node[row[0]] = min(by_node.get(row[0], row), row, key=lambda r: (r[1] or "", r[2] or 0))
+    below = {}
+    for node, parent, position in by_node.values():
+        below.setdefault(parent, []).append((position is None, position or 0, node))
+    want = {}
+
+    def walk(node, root, level, at):
+        first = at
+        for _, _, child in sorted(below.get(node, [])):
+            at = walk(child, root, level + 1, at + 1)
+        want[node] = (root, level, first, at)
+        return at
+
+    for top in [n for n, p, _ in by_node.values() if p in (None, "gone")]:
+        walk(top, top, 0, 0)
+    nodes = spark.createDataFrame(data, "node string, parent string, position int")
+    labels = closure.tree_labels(nodes)
+    got = {r["node"]: (r["root"], r["level"], r["pre"], r["last"]) for r in labels.where("root IS NOT NULL").collect()}
+    assert got == want
+    problems = {r["node"]: r["problem"] for r in closure.unplaced(labels).collect()}
+    assert problems.pop("below") == problems.pop("c1") == problems.pop("c2") == "cycle"
+    assert set(problems.values()) == {"absent_parent"} and set(problems) == {n for n, x in want.items() if x[0] == "n3"}
+    some = spark.createDataFrame([(n,) for n in want], "node string")
+    paths = {}
+    for r in closure.node_paths(labels, some).collect():
+        paths.setdefault(r["start"], {})[r["up"]] = r["node"]
+    for node, (_, level, _, _) in want.items():
+        way, at = {}, node
+        for step in range(level):
+            way[step], at = at, by_node[at][1]
+        assert paths.get(node, {}) == way
+    assert closure.tree_labels(nodes.limit(0)).isEmpty()
+
+
+def test_deep_chain_labels(spark):
+    chain = spark.createDataFrame([(f"n{k:04}", f"n{k - 1:04}" if k else None, 0) for k in range(1500)], "node string, parent string, position int")
+    labels = closure.tree_labels(chain)
+    assert rows(labels.select("level", "pre", "last")) == [(k, k, 1499) for k in range(1500)]
+    last = spark.createDataFrame([("n1499",)], "node string")
+    assert closure.node_paths(labels, last).where(c("node") != F.format_string("n%04d", 1499 - c("up"))).isEmpty()
+
+
 def test_strictest_inherited_cardinality_wins(spark):
     cards = spark.createDataFrame(
         [("a", "p", "0-n", 1), ("b", "p", "1", 2), ("a", "q", "0-1", 1), ("d", "sub", "1", 3)], "cls string, prop string, card string, gui_order int"

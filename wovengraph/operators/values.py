@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wovengraph.operators.closure import subtree
+
 # The literal column of each value type and its legal operators.
 LITERAL = {
     "IntValue": "as_int",
@@ -99,9 +101,9 @@ def value_filter(values: DataFrame, prop: str, op: str, operand=None, value_type
     return rows.select("resource", F.col("iri").alias("value"), F.col(LITERAL[value_type]).alias("literal"))
 
 
-def list_filter(values: DataFrame, prop: str, node: str, list_closure: DataFrame) -> DataFrame:
-    """Values naming the node or any node below it."""
-    below = list_closure.where(F.col("ancestor") == node).select(F.col("node").alias("literal"))
+def list_filter(values: DataFrame, prop: str, node: str, labels: DataFrame) -> DataFrame:
+    """Values naming the node or any node below it; labels: those of the lists (``closure.tree_labels``)."""
+    below = subtree(labels, node).select(F.col("node").alias("literal"))
     return value_filter(values, prop, "exists", value_type="ListValue").join(below, "literal", "left_semi")
 
 

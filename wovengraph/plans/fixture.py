@@ -297,6 +297,10 @@ class Graph:
         edges = self.list_nodes.where("parent IS NOT NULL").select(F.col("node").alias("child"), "parent")
         return self._once("list closure", lambda: settle(closure.ancestors(edges)))
 
+    @cached_property
+    def list_labels(self) -> DataFrame:
+        return self._once("list labels", lambda: closure.tree_labels(self.list_nodes))
+
     @cached_property
     def triples(self) -> relational.StatementTables:
         return relational.StatementTables(self.resources, self.vals, self.links)

@@ -80,7 +80,31 @@ def _(g):
     """SELECT n.node, n.name, CAST(k.depth AS BIGINT) AS level FROM list_closure k JOIN list_nodes n ON n.node = k.node WHERE k.ancestor = 'region/1'""",
 )
 def _(g):
-    return closure.subtree(g.list_nodes, "region/1").select("node", "name", c("level").cast("long").alias("level"))
+    return closure.subtree(g.list_labels, "region/1").select("node", "name", c("level").cast("long").alias("level"))
+
+
+@query(
+    "g08_tree_labels",
+    """WITH sized AS (SELECT ancestor AS node, count(*) AS n, any_value(x.parent) AS parent, any_value(x.position) AS position FROM list_closure k
+    JOIN list_nodes x ON x.node = k.ancestor GROUP BY ancestor),
+    placed AS (SELECT node, n, parent, coalesce(sum(n) OVER (PARTITION BY parent ORDER BY position IS NULL, position, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS skip FROM sized)
+    SELECT p.node, 'world' AS root, CAST((SELECT max(depth) FROM list_closure k WHERE k.node = p.node) AS BIGINT) AS level,
+    CAST(coalesce((SELECT sum(q.skip) FROM list_closure k JOIN placed q ON q.node = k.ancestor WHERE k.node = p.node AND q.parent IS NOT NULL), 0) AS BIGINT) AS pre,
+    CAST(coalesce((SELECT sum(q.skip) FROM list_closure k JOIN placed q ON q.node = k.ancestor WHERE k.node = p.node AND q.parent IS NOT NULL), 0) + p.n - 1 AS BIGINT) AS last
+    FROM placed p""",
+)
+def _(g):
+    return g.list_labels.select("node", "root", "level", "pre", "last")
+
+
+@query(
+    "g08_under",
+    """SELECT a.node AS child, b.node AS parent, EXISTS (SELECT 1 FROM list_closure k WHERE k.node = a.node AND k.ancestor = b.node) AS below
+    FROM list_nodes a JOIN list_nodes b ON b.node IN ('world', 'region/0', 'nation/3', 'customer/7')""",
+)
+def _(g):
+    pairs = g.list_nodes.select(c("node").alias("child"), F.explode(F.array(*map(F.lit, ("world", "region/0", "nation/3", "customer/7")))).alias("parent"))
+    return closure.under(pairs, g.list_labels)
 
 
 _SORT_KEY = "CASE WHEN {p}.position IS NULL THEN '~' ELSE lpad(CAST({p}.position AS STRING), 10, '0') END || ':' || {p}.node"
@@ -104,7 +128,7 @@ def _(g):
 )
 def _(g):
     starts = g.list_nodes.where(c("node").startswith("customer/"))
-    return closure.node_paths(g.list_nodes, starts).withColumn("up", c("up").cast("long"))
+    return closure.node_paths(g.list_labels, starts).withColumn("up", c("up").cast("long"))
 
 
 _EDGES = """edges AS (SELECT l.link_value, l.src, l.prop, l.dst FROM links l JOIN prop_closure k ON k.node = l.prop AND k.ancestor = 'hasLinkTo'

@@ -97,7 +97,7 @@ def _(g):
     AND k.ancestor = 'region/2' WHERE v.prop = 'hasPlace' AND NOT v.is_deleted""",
 )
 def _(g):
-    return values.list_filter(g.vals, "hasPlace", "region/2", g.list_closure)
+    return values.list_filter(g.vals, "hasPlace", "region/2", g.list_labels)
 
 
 @query(
