@@ -260,6 +260,17 @@ def test_period_overlap_join_against_brute_force(spark):
 # Dates.
 
 
+def test_periods_of_any_length_take_few_slots(spark):
+    rng = random.Random(9)
+    make = lambda n: [(k, s, s + rng.choice([0, 1, 30, 365, 40_000, 1_461_000]) - (k % 9 == 0) * 2) for k in range(n) for s in [rng.randrange(-3000, 1_500_000)]]
+    data = [make(120), make(90) + [(900, None, 5), (901, 5, None), (902, 0, 2_000_000_000)]]
+    left, right = (spark.createDataFrame(d, "id int, start_jdn int, end_jdn int") for d in data)
+    got = sorted(tuple(r) for r in values.period_overlap_join(left, right).select("l_id", "r_id").collect())
+    ok = lambda r: r[1] is not None and r[2] is not None and r[1] <= r[2]
+    assert got == sorted((a[0], b[0]) for a in data[0] for b in data[1] if ok(a) and ok(b) and a[1] <= b[2] and a[2] >= b[1])
+    assert values.period_overlap_join(left.limit(0), right).isEmpty()
+
+
 def test_known_days(spark):
     texts = [("JULIAN:1291-08-01",), ("JULIAN:44-03-15 BCE",), ("GREGORIAN:2000-01-01",), ("GREGORIAN:1582-10-15",), ("JULIAN:1582-10-05",), ("JULIAN:1900-02-29",), ("GREGORIAN:1900-02-29",)]
     got = dates.with_period(spark.createDataFrame(texts, "t string"), "t").collect()
@@ -308,6 +319,13 @@ def test_boolean_search(spark):
     assert found("+red -green -blue", "any") == [3]
 
 
+def test_signs_alone_find_nothing(spark):
+    df = spark.createDataFrame([("a b",), ("--",), ("",)], "t string")
+    for test in (fulltext.has_terms(c("t"), ["--"]), fulltext.has_terms(c("t"), []), fulltext.has_terms_typing(c("t"), "?! "), fulltext.has_phrase_typing(c("t"), ""), fulltext.has_boolean(c("t"), "+ -")):
+        assert df.where(test).isEmpty()
+    assert df.where(fulltext.has_terms(c("t"), ["A-b"])).count() == 1
+
+
 def test_stored_index(spark, tmp_path):
     df = spark.createDataFrame([("a", "Alpha beta"), ("b", "beta gamma"), ("c", "Übung beta")], "id string, t string")
     path = str(tmp_path / "index")

@@ -30,15 +30,20 @@ def terms_of(search: str) -> list[str]:
 
 
 def has_terms(text: Column, terms: list[str], mode: str = "and") -> Column:
-    """All terms (or any, with mode 'or') occur as tokens."""
-    wanted = F.array(*[F.lit(t.lower()) for t in terms])
+    """All terms (or any, with mode 'or') occur as tokens. No terms are found nowhere."""
+    terms = [t for term in terms for t in terms_of(term)]
+    if not terms:
+        return F.lit(False)
+    wanted = F.array(*map(F.lit, terms))
     if mode == "or":
         return F.arrays_overlap(tokens(text), wanted)
     return F.size(F.array_except(wanted, tokens(text))) == 0
 
 
 def has_terms_typing(text: Column, search: str) -> Column:
-    """As-you-type: all but the last term are tokens, the last begins one."""
+    """As-you-type: all but the last term are tokens, the last begins one. Signs alone find nothing."""
+    if not terms_of(search):
+        return F.lit(False)
     *whole, last = terms_of(search)
     begins = F.exists(tokens(text), lambda t: t.startswith(last))
     return begins & has_terms(text, whole) if whole else begins
@@ -63,6 +68,8 @@ def has_boolean(text: Column, search: str, negatives: str = "all") -> Column:
     """
     required, excluded, plain = boolean_terms(search)
     wanted = required + plain
+    if not wanted and not excluded:
+        return F.lit(False)
     test = has_terms(text, wanted) if wanted else F.lit(True)
     if excluded:
         test = test & ~has_terms(text, excluded, "and" if negatives == "all" else "or")

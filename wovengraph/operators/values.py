@@ -149,20 +149,40 @@ def scope(
     return rows
 
 
-def period_overlap_join(left: DataFrame, right: DataFrame, keys: list[str] = (), width: int = 32) -> DataFrame:
+def period_overlap_join(left: DataFrame, right: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Pairs whose periods overlap (and whose keys agree); periods are start_jdn, end_jdn.
 
-    Periods are cut into slots of ``width`` days and joined on the slot; a pair
-    is kept in the first slot both share, so it appears once. Left columns are
-    prefixed l_, right ones r_.
+    A period of n days belongs to the level of the next power of two and lies in one or
+    two slots of that width, however long it is. Two periods meet at the higher of their
+    levels, where the shorter one lies in one or two slots as well: it is
+    repeated for the levels that the other side has (at most 32). A pair is kept
+    in the first slot both share, so it appears once. Periods without start or end, and
+    those that end before they start, overlap nothing. Left columns are prefixed l_, right ones r_.
     """
 
-    def slotted(df: DataFrame, side: str) -> DataFrame:
-        slot = lambda name: F.floor(F.col(name) / width)
-        named = df.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in keys])
-        return named.withColumn("_slot", F.explode(F.sequence(slot(f"{side}_start_jdn"), slot(f"{side}_end_jdn"))))
-
-    joined = slotted(left, "l").join(slotted(right, "r"), [*keys, "_slot"])
-    first_shared = F.floor(F.greatest("l_start_jdn", "r_start_jdn") / width)
+    def levelled(df: DataFrame, side: str) -> DataFrame:
+        named = df.select(*keys, *[F.col(f"`{c}`").alias(f"{side}_{c}") for c in df.columns if c not in keys])
+        days = F.col(f"{side}_end_jdn").cast("long") - F.col(f"{side}_start_jdn")
+        return named.where(days >= 0).withColumn("_own", F.char_length(F.bin(days)) * (days > 0).cast("int"))
+
+    def slots(df: DataFrame, side: str, levels: Column) -> DataFrame:
+        """A row for each of the levels and each slot of that width that the period touches."""
+        rows = df.withColumn("_level", F.explode(levels))
+        width = F.expr("shiftleft(1L, _level)")
+        slot = lambda name: F.floor(F.col(f"{side}_{name}") / width)
+        return rows.withColumn("_slot", F.explode(F.array_distinct(F.array(slot("start_jdn"), slot("end_jdn"))))).drop("_own")
+
+    def levels_of(df: DataFrame) -> Column:
+        """The levels that occur, a number each and 33 at most."""
+        found = sorted(r["_own"] for r in df.select("_own").distinct().collect())
+        return F.array(*map(F.lit, found)) if found else F.array().cast("array<int>")
+
+    l, r = levelled(left, "l"), levelled(right, "r")
+    own, lifted = F.array("_own"), lambda other, strict: F.filter(levels_of(other), lambda x: (x > F.col("_own")) if strict else (x >= F.col("_own")))
+    on = [*keys, "_level", "_slot"]
+    pairs = slots(l, "l", lifted(r, False)).join(slots(r, "r", own), on)
+    longer = slots(l, "l", own).join(slots(r, "r", lifted(l, True)), on)
+    both = pairs.unionByName(longer)
+    first_shared = F.floor(F.greatest("l_start_jdn", "r_start_jdn") / F.expr("shiftleft(1L, _level)"))
     overlap = (F.col("l_start_jdn") <= F.col("r_end_jdn")) & (F.col("l_end_jdn") >= F.col("r_start_jdn"))
-    return joined.where(overlap & (F.col("_slot") == first_shared)).drop("_slot")
+    return both.where(overlap & (F.col("_slot") == first_shared)).drop("_slot", "_level")
