@@ -337,6 +337,38 @@ def test_stored_index(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(slot" in plan or "PartitionFilters: [(slot" in plan
 
 
+def test_token_index_with_parts(spark, tmp_path):
+    from wovengraph.operators import tokenindex
+
+    def found(state):
+        res = spark.createDataFrame([(k, t, False) for k, t in state.items()], "iri string, label string, is_deleted boolean")
+        return tokenindex.entries(res, spark.createDataFrame([], "iri string, resource string, vtype string, is_deleted boolean, as_string string"))
+
+    rng, letters = random.Random(8), "abcdefgh"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 3)))
+    state = {f"r{k}": ", ".join(word() for _ in range(rng.randint(0, 6))) for k in range(300)}
+    index = tokenindex.TokenIndex(spark, str(tmp_path / "index"), 6).build(found(state))
+    for _ in range(2):
+        some = rng.sample(sorted(state), 60)
+        before = {k: state[k] for k in some}
+        state.update({k: " ".join(word() for _ in range(4)) for k in some[:40]})
+        state.update(dict.fromkeys(some[40:], ""))
+        index.change(found(before), found({k: state[k] for k in some}))
+    check = lambda held: {k for k, t in state.items() if held([w for w in t.replace(",", " ").split()])}
+    for at in (index, index.compact(str(tmp_path / "one"))):
+        for a, b in (("a", "b"), ("c", "ab"), ("ha", "h")):
+            got = lambda *x, **y: {r["resource"] for r in at.search(*x, **y).collect()}
+            assert got(f"{a} {b}") == check(lambda t: a in t and b in t)
+            assert got(f"{a}!{b}", "or") == check(lambda t: a in t or b in t)
+            assert got(f"{a} {b}", typing=True) == check(lambda t: a in t and any(w.startswith(b) for w in t))
+    assert index.search("?!").isEmpty() and index.search("zzz").isEmpty()
+    assert at.files().count() > 1 and at.newest() == 0 and index.newest() == 2
+    plan = at.scan([("abc", "abc")])._jdf.queryExecution().toString()
+    low, high = at.files().where("low <= 'abc' AND high >= 'abc'").count(), at.files().count()
+    assert "EqualTo(token,abc)" in plan and 0 < low < high
+    assert len(at.scan([("abc", "abc")]).inputFiles()) == low
+
+
 # Access.
 
 

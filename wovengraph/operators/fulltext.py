@@ -12,12 +12,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wovengraph.operators.access import visible, with_code
 from wovengraph.operators.ordering import listed
 from wovengraph.session import settle
 
 # Fixed value: what separates tokens.
 SEPARATOR = r"[^\p{L}\p{N}]+"
 SLOTS = 128
+# Fixed value: width and height of a class icon.
+ICON = 32
 
 
 def tokens(text: Column) -> Column:
@@ -140,6 +143,21 @@ def count_hits(found: DataFrame) -> DataFrame:
     return found.agg(F.count_distinct("resource").alias("n"))
 
 
+def visible_hits(found: DataFrame, resources: DataFrame, values: DataFrame, profiles: DataFrame, user_id: str) -> DataFrame:
+    """Hits whose resource the user may see, and whose value too unless the label was hit, with the ``rights`` on the resource."""
+    codes = with_code(resources, profiles, user_id).where("code IS NOT NULL").select(F.col("iri").alias("resource"), F.col("code").alias("rights"))
+    seen = visible(values, profiles, user_id).select(F.col("iri").alias("value"), F.lit(True).alias("_seen"))
+    rows = found.join(codes, "resource").join(seen, "value", "left")
+    return rows.where(F.col("value").isNull() | F.col("_seen")).select("resource", "value", "rights")
+
+
+def count_before_and_after(found: DataFrame, shown: DataFrame) -> DataFrame:
+    """Resources found, and those left after permissions."""
+    before = found.select("resource", F.lit(False).alias("_shown"))
+    rows = before.unionByName(shown.select("resource", F.lit(True).alias("_shown"))).groupBy("resource").agg(F.max("_shown").alias("_shown"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("_shown").alias("n_visible"))
+
+
 def label_search(resources: DataFrame, search: str) -> DataFrame:
     live = resources.where(~F.col("is_deleted"))
     return live.where(has_terms_typing(F.col("label"), search))
@@ -157,6 +175,20 @@ def result_rows(found: DataFrame, resources: DataFrame, values: DataFrame) -> Da
     return labelled.select("resource", "label", "part", matches)
 
 
+def rows_for_user(
+    found: DataFrame, resources: DataFrame, values: DataFrame, previews: DataFrame, profiles: DataFrame, user_id: str, icon: int = ICON
+) -> DataFrame:
+    """The rows of ``result_rows`` that a user may see, with their rights on the resource and its preview.
+
+    previews: (resource, preview, preview_x, preview_y); a resource without one has the icon's size.
+    """
+    shown = settle(visible_hits(found, resources, values, profiles, user_id))
+    rights = shown.select("resource", "rights").distinct()
+    rows = result_rows(shown.select("resource", "value"), resources, values).join(rights, "resource").join(previews, "resource", "left")
+    size = lambda name: F.coalesce(name, F.lit(icon)).alias(name)
+    return rows.select("resource", "label", "part", "rights", "preview", size("preview_x"), size("preview_y"), "matches")
+
+
 def suggestions(found: DataFrame, values: DataFrame, gui_orders: DataFrame) -> DataFrame:
     """For matching resources: their texts by order of the property in the form, then of the value."""
     texts = values.where((F.col("vtype") == "TextValue") & ~F.col("is_deleted"))

@@ -12,8 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wovengraph.operators import closure, ordering
-from wovengraph.session import settle
+from wovengraph.operators import closure, ordering, tokenindex
+from wovengraph.session import new_folder, settle
 from wovengraph.sources import relational
 
 BASE_TABLES = (
@@ -301,6 +301,27 @@ class Graph:
     def list_labels(self) -> DataFrame:
         return self._once("list labels", lambda: closure.tree_labels(self.list_nodes))
 
+    @cached_property
+    def token_index(self) -> tokenindex.TokenIndex:
+        build = lambda: tokenindex.TokenIndex(self.spark, new_folder(self.spark)).build(tokenindex.entries(self.resources, self.vals))
+        return self._once("token index", build)
+
+    @cached_property
+    def changed_index(self) -> tokenindex.TokenIndex:
+        """Every seventh label is new, every eleventh text is gone."""
+
+        def build():
+            label = F.when(F.col("k") % 7 == 0, F.concat(F.lit("Renamed "), "label")).otherwise(F.col("label"))
+            renamed = self.resources.where("k % 7 = 0")
+            gone = self.vals.join(self.resources.where("k % 11 = 0").select(F.col("iri").alias("resource")), "resource", "left_semi")
+            none = self.vals.limit(0)
+            index = tokenindex.TokenIndex(self.spark, new_folder(self.spark)).build(tokenindex.entries(self.resources, self.vals))
+            index.change(tokenindex.entries(renamed, none), tokenindex.entries(renamed.withColumn("label", label), none))
+            old = tokenindex.entries(self.resources, gone).where("value <> ''")
+            return index.change(old, old.limit(0))
+
+        return self._once("changed index", build)
+
     @cached_property
     def triples(self) -> relational.StatementTables:
         return relational.StatementTables(self.resources, self.vals, self.links)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wovengraph.operators import fulltext, paging, pattern, values
+from wovengraph.operators import access, fulltext, paging, pattern, tokenindex, values
 from wovengraph.plans.registry import query
 
 c = F.col
@@ -156,6 +156,72 @@ def _(g):
     return index.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+_TEXTS = """SELECT iri AS resource, '' AS value, label AS text FROM resources WHERE NOT is_deleted
+    UNION ALL SELECT v.resource, v.iri, v.as_string FROM vals v JOIN resources r ON r.iri = v.resource AND NOT r.is_deleted
+    WHERE v.vtype = 'TextValue' AND NOT v.is_deleted"""
+# After an edit: every seventh label is new, every eleventh text is gone.
+_EDITED = f"""SELECT x.resource, x.value, CASE WHEN x.value = '' AND r.k % 7 = 0 THEN 'Renamed ' || x.text ELSE x.text END AS text
+    FROM ({_TEXTS}) x JOIN resources r ON r.iri = x.resource WHERE x.value = '' OR r.k % 11 <> 0"""
+
+
+@query(
+    "x01_stored_index",
+    f"SELECT token, count(*) AS n, count(*) FILTER (value = '') AS labels FROM (SELECT value, unnest({_TOKENS.format('text')}) AS token FROM ({_TEXTS})) GROUP BY token",
+)
+def _(g):
+    held = g.token_index.rows()
+    return held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("value") == "").alias("labels"))
+
+
+@query(
+    "x01_changed_index",
+    f"SELECT token, count(*) AS n, count(*) FILTER (value = '') AS labels FROM (SELECT value, unnest({_TOKENS.format('text')}) AS token FROM ({_EDITED})) GROUP BY token",
+)
+def _(g):
+    held = g.changed_index.rows()
+    return held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("value") == "").alias("labels"))
+
+
+@query("x02_stored_terms", f"SELECT resource, value FROM ({_TEXTS}) WHERE list_has_all({_TOKENS.format('text')}, ['red', 'widget'])")
+def _(g):
+    return g.token_index.search("Red, widget!")
+
+
+@query("x02_stored_any", f"SELECT resource, value FROM ({_TEXTS}) WHERE list_has_any({_TOKENS.format('text')}, ['blue', 'unheard'])")
+def _(g):
+    return g.token_index.search("blue unheard", "or")
+
+
+@query(
+    "x03_stored_typing",
+    f"""SELECT resource, value FROM (SELECT resource, value, {_TOKENS.format('text')} AS t FROM ({_TEXTS}))
+    WHERE list_contains(t, 'the') AND len(list_filter(t, lambda x: starts_with(x, 'ther'))) > 0""",
+)
+def _(g):
+    return g.token_index.search("the ther", typing=True)
+
+
+@query(
+    "x03_changed_typing",
+    f"""SELECT resource, value FROM (SELECT resource, value, {_TOKENS.format('text')} AS t FROM ({_EDITED}))
+    WHERE list_contains(t, 'renamed') AND len(list_filter(t, lambda x: starts_with(x, 're'))) > 0""",
+)
+def _(g):
+    return g.changed_index.search("renamed re", typing=True)
+
+
+@query(
+    "x04_stored_phrase",
+    f"""SELECT resource, value FROM (SELECT resource, value, lower(text) AS text, {_TOKENS.format('text')} AS t FROM ({_TEXTS}))
+    WHERE contains(text, 'the on') AND list_contains(t, 'the') AND len(list_filter(t, lambda x: starts_with(x, 'on'))) > 0""",
+)
+def _(g):
+    live = g.resources.where(~c("is_deleted"))
+    labels = live.select(c("iri").alias("resource"), F.lit("").alias("value"), c("label").alias("text"))
+    texts = labels.union(g.vals.where("vtype = 'TextValue' AND NOT is_deleted").select("resource", "iri", "as_string"))
+    return g.token_index.phrase("the on", texts, fulltext.has_phrase_typing(c("text"), "the on"))
+
+
 @query(
     "x02_all_terms_index",
     f"""SELECT doc_id AS subject FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)
@@ -276,6 +342,22 @@ def _(g):
     return fulltext.count_hits(_red(g))
 
 
+_SEEN = "SELECT iri, code FROM subject_codes WHERE user_id = 'user/2' AND code IS NOT NULL"
+
+
+def _profiles(g):
+    return access.user_profiles(g.users, g.memberships, g.admin_rights)
+
+
+@query(
+    "x10_both_counts",
+    f"""SELECT count(DISTINCT h.resource) AS n, count(DISTINCT CASE WHEN s.iri IS NOT NULL AND (h.value IS NULL OR w.iri IS NOT NULL) THEN h.resource END) AS n_visible
+    FROM ({_HITS}) h LEFT JOIN ({_SEEN}) s ON s.iri = h.resource LEFT JOIN ({_SEEN}) w ON w.iri = h.value""",
+)
+def _(g):
+    return fulltext.count_before_and_after(_red(g), fulltext.visible_hits(_red(g), g.resources, g.vals, _profiles(g), "user/2"))
+
+
 @query(
     "x11_label_search",
     f"""SELECT iri, label FROM (SELECT iri, label, {_TOKENS.format('label')} AS t FROM resources WHERE NOT is_deleted)
@@ -305,6 +387,23 @@ def _(g):
     return rows.withColumn("matches", F.array_join(shown, "|"))
 
 
+@query(
+    "x12_rows_for_user",
+    f"""SELECT h.resource, r.label, CAST(0 AS BIGINT) AS part, s.code AS rights, p.url AS preview, coalesce(CAST(p.page_id + 1000 AS INT), 32) AS preview_x,
+    coalesce(CAST(p.page_id * 3 + 800 AS INT), 32) AS preview_y, coalesce(string_agg(v.prop || ':' || v.as_string, '|' ORDER BY v.prop, v.iri), '') AS matches
+    FROM ({_HITS}) h JOIN ({_SEEN}) s ON s.iri = h.resource JOIN resources r ON r.iri = h.resource LEFT JOIN vals v ON v.iri = h.value
+    LEFT JOIN ({_SEEN}) w ON w.iri = h.value LEFT JOIN pages p ON 'part/' || p.page_id = h.resource
+    WHERE h.value IS NULL OR w.iri IS NOT NULL GROUP BY h.resource, r.label, s.code, p.url, p.page_id""",
+)
+def _(g):
+    previews = g.pages.select(
+        F.concat(F.lit("part/"), "page_id").alias("resource"), c("url").alias("preview"), (c("page_id") + 1000).cast("int").alias("preview_x"), (c("page_id") * 3 + 800).cast("int").alias("preview_y")
+    )
+    rows = fulltext.rows_for_user(_red(g), g.resources, g.vals, previews, _profiles(g), "user/2")
+    shown = F.transform("matches", lambda m: F.concat(m["prop"], F.lit(":"), m["literal"]))
+    return rows.withColumn("matches", F.array_join(shown, "|"))
+
+
 @query(
     "x13_suggestions",
     f"""SELECT v.resource, CAST(0 AS BIGINT) AS part, string_agg(v.as_string, '; ' ORDER BY coalesce(o.gui_order, 0), v.vorder, v.iri) AS texts

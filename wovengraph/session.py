@@ -44,12 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app].name
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/wovengraph/{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from the written table.
 
     Cuts lineage for loops; a lost executor costs one re-read, and the planner
     sees the real size of the table.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/wovengraph/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
