@@ -8,6 +8,7 @@ from wovengraph.operators import inference, integrity
 from wovengraph.plans import fixture
 from wovengraph.plans.q_hierarchy import INHERITED_SQL, _inherited
 from wovengraph.plans.registry import query
+from wovengraph.session import settle
 
 c = F.col
 FIX = fixture.FIXTURES
@@ -26,6 +27,15 @@ def _constraints(g, column):
     return g.prop_constraints.select("prop", c(column).alias("cls"))
 
 
+def _rules(g):
+    return inference.compile_rules(g.class_closure, g.prop_closure, _constraints(g, "subject_class"), _constraints(g, "object_class"))
+
+
+def _own_rules(g):
+    """Without the classes' own bases."""
+    return inference.compile_rules(g.class_closure.limit(0), g.prop_closure, _constraints(g, "subject_class"), _constraints(g, "object_class"))
+
+
 def _held(g):
     return integrity.holdings(g.vals, g.links)
 
@@ -45,14 +55,12 @@ _RANGE = f"SELECT q.o AS s, d.object_class AS o FROM {_PROPS} q JOIN prop_constr
 
 @query("r01_types_by_domain", f"SELECT DISTINCT s, o FROM ({_DOMAIN})")
 def _(g):
-    props = inference.inherited_properties(g.triples.of(), g.prop_closure)
-    return inference.types_by_domain(props, _constraints(g, "subject_class")).distinct()
+    return inference.types_of(g.triples.of(), _own_rules(g), "s")
 
 
 @query("r02_types_by_range", f"SELECT DISTINCT s, o FROM ({_RANGE})")
 def _(g):
-    props = inference.inherited_properties(g.triples.of(), g.prop_closure)
-    return inference.types_by_range(props, _constraints(g, "object_class")).distinct()
+    return inference.types_of(g.triples.of(), _own_rules(g), "o")
 
 
 @query(
@@ -107,6 +115,55 @@ def _(g):
     return rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_if("asserted").alias("n_asserted"))
 
 
+_AXIOM_ROWS = ", ".join(f"('{s}', '{p}', '{o}')" for s, p, o in inference.AXIOMS + inference.MEMBERSHIP)
+
+
+@query(
+    "r_infer_axioms",
+    f"""WITH ax AS (SELECT * FROM (VALUES {_AXIOM_ROWS}) AS a(s, p, o)),
+    every_t AS (SELECT s, p, o, o_kind FROM triples UNION ALL SELECT s, p, o, 'iri' FROM ax),
+    cls_up AS (SELECT node AS s, ancestor AS o FROM class_closure UNION SELECT s, o FROM ax WHERE p = 'subClassOf' UNION SELECT s, 'Literal' FROM ax WHERE p = 'type' AND o = 'Datatype'
+        UNION SELECT s, s FROM ax WHERE p = 'subClassOf' UNION SELECT o, o FROM ax WHERE p = 'subClassOf' UNION SELECT s, s FROM ax WHERE p = 'type' AND o = 'Datatype' UNION SELECT 'Literal', 'Literal'
+        UNION SELECT c.s, k.o FROM cls_up c JOIN ax k ON k.p = 'subClassOf' AND k.s = c.o),
+    prop_up2 AS (SELECT node AS s, ancestor AS o FROM prop_closure UNION SELECT * FROM (VALUES ('isDefinedBy', 'seeAlso'), ('_1', 'member'), ('isDefinedBy', 'isDefinedBy'), ('seeAlso', 'seeAlso'), ('_1', '_1'), ('member', 'member')) v),
+    rules AS (SELECT prop, subject_class AS cls, 's' AS side FROM prop_constraints UNION SELECT prop, object_class, 'o' FROM prop_constraints
+        UNION SELECT s, o, CASE p WHEN 'domain' THEN 's' ELSE 'o' END FROM ax WHERE p IN ('domain', 'range') AND o <> 'Resource'),
+    props AS (SELECT t.s, coalesce(k.o, t.p) AS p, t.o, t.o_kind FROM every_t t LEFT JOIN prop_up2 k ON k.s = t.p WHERE t.p <> 'type'),
+    found AS (SELECT s, o FROM every_t WHERE p = 'type' UNION SELECT q.s, r.cls FROM props q JOIN rules r ON r.prop = q.p AND r.side = 's'
+        UNION SELECT q.o, r.cls FROM props q JOIN rules r ON r.prop = q.p AND r.side = 'o' WHERE q.o_kind <> 'literal'),
+    every AS (SELECT s, p, o FROM every_t UNION SELECT s, p, o FROM props UNION SELECT f.s, 'type', coalesce(k.o, f.o) FROM found f LEFT JOIN cls_up k ON k.s = f.o
+        UNION SELECT s, 'subClassOf', o FROM cls_up UNION SELECT s, 'subPropertyOf', o FROM prop_up2)
+    SELECT p, CASE WHEN p = 'type' THEN o ELSE '' END AS cls, count(*) AS n FROM every GROUP BY 1, 2""",
+)
+def _(g):
+    rows = inference.infer(
+        g.triples.of(), g.class_closure, g.prop_closure, _constraints(g, "subject_class"), _constraints(g, "object_class"), axioms=True
+    )
+    return rows.groupBy("p", F.when(c("p") == "type", c("o")).otherwise("").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _every_sql(name, rows):
+    props = f"(SELECT t.s, coalesce(k.ancestor, t.p) AS p, t.o, t.o_kind FROM {rows} t LEFT JOIN prop_closure k ON k.node = t.p WHERE t.p <> 'type')"
+    return f"""{name} AS (SELECT s, p, o FROM {rows} UNION SELECT s, p, o FROM {props} q UNION SELECT f.s, 'type', coalesce(k.ancestor, f.o) FROM (SELECT s, o FROM {rows} WHERE p = 'type'
+    UNION SELECT q.s, d.subject_class FROM {props} q JOIN prop_constraints d ON d.prop = q.p UNION SELECT q.o, d.object_class FROM {props} q JOIN prop_constraints d ON d.prop = q.p
+    WHERE q.o_kind <> 'literal') f LEFT JOIN class_closure k ON k.node = f.o)"""
+
+
+_LATE = "starts_with(s, 'customer/') OR starts_with(s, 'text/1')"
+
+
+@query(
+    "r_infer_added",
+    f"""WITH old AS (SELECT * FROM triples WHERE NOT ({_LATE})), {_every_sql('every_old', 'old')}, {_every_sql('every_new', 'triples')}
+    SELECT p, count(*) AS n FROM (SELECT * FROM every_new EXCEPT SELECT * FROM every_old) GROUP BY p""",
+)
+def _(g):
+    rules, triples = settle(_rules(g)), g.triples.of()
+    late = c("s").startswith("customer/") | c("s").startswith("text/1")
+    known = inference.apply_rules(triples.where(~late), rules)
+    return inference.infer_added(triples.where(late), known, rules).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("r08_cardinality_table", "SELECT s, cls, prop, card FROM cards")
 def _(g):
     return _cards(g)
