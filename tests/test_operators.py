@@ -426,6 +426,20 @@ def test_double_edit_is_rejected(spark):
     assert rows(rejected) == [("v", "v2", "edited twice")]
 
 
+def test_repeats_in_a_batch_are_rejected(spark):
+    links = spark.createDataFrame([("l0", "a", "p", "b", 1, False)], "link_value string, src string, prop string, dst string, ref_count long, is_deleted boolean")
+    batch = spark.createDataFrame([("l3", "a", "p", "c"), ("l2", "a", "p", "c"), ("l4", "a", "p", "b"), ("l2", "a", "p", "c")], "link_value string, src string, prop string, dst string")
+    new, rejected = edits.create_links(links, batch)
+    assert rows(new.select("link_value")) == [("l0",), ("l2",)]
+    assert rows(rejected.select("link_value", "reason")) == [("l2", "repeated in the batch"), ("l3", "repeated in the batch"), ("l4", "exists")]
+    cards = spark.createDataFrame([("C", "p", "1", 0)], "cls string, prop string, card string, gui_order int")
+    more = spark.createDataFrame([("C", "p", "0-n", 1), ("C", "q", "0-n", 1), ("C", "q", "0-1", 2)], cards.schema)
+    assert rows(edits.add_cardinalities(cards, more).select("prop", "card")) == [("p", "1"), ("q", "0-1")]
+    files = spark.createDataFrame([("r", "full", "f1", "x", True, None)], "resource string, quality string, iri string, file string, is_current boolean, prev_value string")
+    twice = spark.createDataFrame([("r", "full", "f3", "z"), ("r", "full", "f2", "y")], "resource string, quality string, iri string, file string")
+    assert rows(edits.replace_qualities(files, twice).select("iri", "is_current")) == [("f1", False), ("f2", True)]
+
+
 # Mark-up.
 
 

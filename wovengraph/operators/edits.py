@@ -6,10 +6,12 @@ cannot be applied come back in a second table with the reason.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wovengraph.operators.access import CODES, with_code
 from wovengraph.operators.ordering import numbered
+from wovengraph.session import settle
 
 
 def _anti(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,6 +29,82 @@ def create_values(values: DataFrame, new: DataFrame) -> DataFrame:
     return values.unionByName(placed.drop("_n", "_next").select(*[c for c in values.columns if c in placed.columns]), allowMissingColumns=True)
 
 
+def split_new(new: DataFrame, taken: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of a batch whose key is free, the first of each key by ``order``; the others with a ``reason``.
+
+    What is equal in all of ``order`` and the other columns is one row said twice; one of it is kept.
+    """
+    by = [*order, *[x for x in new.columns if x not in {*keys, *order}]]
+    counted = new.groupBy(*new.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    first = counted.groupBy(*keys).agg(F.min(F.struct(*by)).alias("_first"))
+    held = taken.select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_taken")).distinct()
+    same = lambda a, b: [F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in keys]
+    firsts = first.select(*[F.col(k).alias(f"_{k}") for k in keys], "_first")
+    rows = counted.join(firsts, same("", "_")).drop(*[f"_{k}" for k in keys]).join(held, same("", "_"), "left").drop(*[f"_{k}" for k in keys])
+    leads = F.struct(*by).eqNullSafe(F.col("_first"))
+    rows = settle(rows.select(*new.columns, "_copies", F.coalesce("_taken", F.lit(False)).alias("_taken"), leads.alias("_leads")))
+    lost = rows.withColumn("reason", F.when(F.col("_taken"), "exists").otherwise("repeated in the batch"))
+    again = F.col("_copies") - F.when(F.col("_leads") & ~F.col("_taken"), 1).otherwise(0)
+    lost = lost.withColumn("_each", F.explode(F.when(again > 0, F.sequence(F.lit(1).cast("long"), again)).otherwise(F.array().cast("array<bigint>"))))
+    return rows.where("_leads AND NOT _taken").select(*new.columns), lost.select(*new.columns, "reason")
+
+
+# What a value of each type says, as text.
+def value_text() -> Column:
+    numbers = [F.col(x).cast("string") for x in ("as_int", "as_decimal", "as_boolean")]
+    days = F.when(F.col("start_jdn").isNotNull(), F.concat_ws(":", F.col("start_jdn"), F.col("end_jdn"), F.col("prec")))
+    return F.coalesce("as_string", *numbers, "as_uri", "as_node", days)
+
+
+def replay_values(
+    values: DataFrame, resources: DataFrame, new: DataFrame, types: DataFrame, cardinalities: DataFrame, profiles: DataFrame, user_id: str
+) -> tuple[DataFrame, DataFrame]:
+    """Create values (seq, resource, prop, vtype, iri, literals) as if one after the other by ``seq``: (values, rejected).
+
+    types: (prop, vtype); cardinalities: (cls, prop, card), inherited ones included. The
+    first of these that holds is the reason a request is rejected for: unknown resource,
+    deleted resource, unknown property, wrong type, no right (less than M on the resource),
+    IRI exists, same value (a live one, or one accepted before in the batch), no more
+    values allowed. Those of a resource and property are folded in order: the first
+    request for each literal takes a place as long as there is one, and later ones
+    see what was accepted. ``seq`` is unique. Accepted values get the next positions.
+    """
+    key = ["resource", "prop"]
+    own = with_code(resources, profiles, user_id).select(F.col("iri").alias("resource"), "cls", F.col("is_deleted").alias("_gone"), F.col("code").alias("_code"))
+    live = values.where(~F.col("is_deleted"))
+    held = live.groupBy(*key).agg(F.count(F.lit(1)).alias("_live"), (F.max("vorder") + 1).alias("_next"))
+    same = live.select(*key, value_text().alias("_text"), F.lit(True).alias("_same")).distinct()
+    names = values.select("iri", F.lit(True).alias("_named")).distinct()
+    firsts = new.groupBy("iri").agg(F.min("seq").alias("_seq"))
+    cards = cardinalities.select("cls", "prop", F.lit(True).alias("_known"), F.col("card").isin("1", "0-1").alias("_one"))
+    rows = new.withColumn("_text", value_text()).join(own, "resource", "left").join(cards, ["cls", "prop"], "left")
+    rows = rows.join(types.select("prop", F.col("vtype").alias("_vtype")), "prop", "left").join(names, "iri", "left").join(firsts, "iri")
+    rows = rows.join(held, key, "left").join(same, [*key, "_text"], "left")
+    told = (
+        F.when(F.col("_gone").isNull(), "unknown resource")
+        .when(F.col("_gone"), "deleted resource")
+        .when(F.col("_known").isNull(), "unknown property")
+        .when(~F.col("vtype").eqNullSafe(F.col("_vtype")), "wrong type")
+        .when(F.coalesce(F.col("_code") < CODES["M"], F.lit(True)), "no right")
+        .when(F.col("_named").isNotNull() | (F.col("seq") != F.col("_seq")), "IRI exists")
+        .when(F.col("_same").isNotNull(), "same value")
+    )
+    rows = settle(rows.withColumn("reason", told))
+    open_ = rows.where("reason IS NULL")
+    # In order, a literal's first request decides: those after it are the same value, or as late as it was.
+    leads = open_.groupBy(*key, "_text").agg(F.min("seq").alias("seq"), F.first("_one").alias("_one"), F.first("_live").alias("_live"))
+    room = F.when(F.col("_one"), F.greatest(F.lit(0), 1 - F.coalesce("_live", F.lit(0))))
+    placed = settle(numbered(leads, key, ["seq"], "_n").withColumn("_in", F.coalesce(F.col("_n") <= room, F.lit(True))))
+    judged = open_.drop("reason").join(placed.select(*key, "_text", F.col("seq").alias("_lead"), "_in", "_n"), [*key, "_text"])
+    late = F.when(~F.col("_in"), "no more values allowed").when(F.col("seq") != F.col("_lead"), "same value")
+    judged = settle(judged.withColumn("reason", late))
+    vorder = (F.coalesce("_next", F.lit(0)) + F.col("_n") - 1).cast("int")
+    good = judged.where("reason IS NULL").withColumns({"vorder": vorder, "is_deleted": F.lit(False)})
+    fresh = good.select(*[x for x in values.columns if x in good.columns])
+    rejected = rows.where("reason IS NOT NULL").select("seq", "iri", "reason").union(judged.where("reason IS NOT NULL").select("seq", "iri", "reason"))
+    return values.unionByName(fresh, allowMissingColumns=True), rejected
+
+
 def new_versions(values: DataFrame, edits: DataFrame, literal: str) -> tuple[DataFrame, DataFrame]:
     """Replace current values by new versions.
 
@@ -77,11 +155,10 @@ def soft_delete(rows: DataFrame, deletions: DataFrame, key: str = "iri") -> Data
 
 
 def create_links(links: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Add links (link_value, src, prop, dst, ...) with count 1; links that exist are rejected."""
-    live = links.where(~F.col("is_deleted"))
-    keys = ["src", "prop", "dst"]
-    fresh = _anti(new, live, keys).dropDuplicates(keys).withColumns({"ref_count": F.lit(1).cast("long"), "is_deleted": F.lit(False)})
-    return links.unionByName(fresh, allowMissingColumns=True), new.join(live.select(*keys), keys, "left_semi")
+    """Add links (link_value, src, prop, dst, ...) with count 1; links that exist or are repeated are rejected with a reason."""
+    fresh, rejected = split_new(new, links.where(~F.col("is_deleted")), ["src", "prop", "dst"], ["link_value"])
+    fresh = fresh.withColumns({"ref_count": F.lit(1).cast("long"), "is_deleted": F.lit(False)})
+    return links.unionByName(fresh, allowMissingColumns=True), rejected
 
 
 def delete_links(links: DataFrame, gone: DataFrame) -> DataFrame:
@@ -150,12 +227,14 @@ def delete_unused(entities: DataFrame, deletions: DataFrame, uses: DataFrame, ke
 
 
 def create_absent(entities: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Add entities whose key is free; the others are rejected."""
-    return entities.unionByName(_anti(new, entities, [key])), new.join(entities.select(key), key, "left_semi")
+    """Add entities whose key is free, each once; the others are rejected with a reason. Of several the least row counts."""
+    fresh, rejected = split_new(new, entities, [key], [])
+    return entities.unionByName(fresh), rejected
 
 
 def add_cardinalities(cardinalities: DataFrame, new: DataFrame) -> DataFrame:
-    return cardinalities.unionByName(_anti(new, cardinalities, ["cls", "prop"]))
+    """Cardinalities of classes that have none for the property; of several for one the least row counts."""
+    return cardinalities.unionByName(split_new(new, cardinalities, ["cls", "prop"], [])[0])
 
 
 def replace_cardinalities(cardinalities: DataFrame, new: DataFrame) -> DataFrame:
@@ -176,8 +255,12 @@ def delete_entries(entries: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def replace_qualities(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """New versions of a resource's files, matched by quality; files: (resource, quality, iri, file, is_current, prev_value)."""
-    new = edits.select("resource", "quality", F.col("iri").alias("_iri"), F.col("file").alias("_file"))
+    """New versions of a resource's files, matched by quality; files: (resource, quality, iri, file, is_current, prev_value).
+
+    Of several edits of one quality the first by IRI counts.
+    """
+    new = edits.groupBy("resource", "quality").agg(F.min(F.struct(F.col("iri").alias("_iri"), F.col("file").alias("_file"))).alias("_new"))
+    new = new.select("resource", "quality", "_new.*")
     joined = files.join(new, ["resource", "quality"], "left")
     superseded = F.col("_iri").isNotNull() & F.col("is_current")
     old = joined.withColumn("is_current", F.col("is_current") & ~superseded).select(*files.columns)

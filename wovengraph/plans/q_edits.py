@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wovengraph.operators import edits
+from wovengraph.operators import access, edits
 from wovengraph.plans import fixture
+from wovengraph.plans.q_hierarchy import INHERITED_SQL, _inherited
 from wovengraph.plans.registry import query
+from wovengraph.session import settle
 
 c = F.col
 FIX = fixture.FIXTURES
+FIX["inherited"] = INHERITED_SQL
 FIX["part_names"] = (
     "SELECT 'n/' || CAST(p_partkey AS STRING) AS iri, 'part/' || CAST(p_partkey AS STRING) AS resource, p_partkey AS k, p_name AS body, "
     "CAST(NULL AS STRING) AS prev_value, p_partkey % 11 <> 0 AS is_current, p_partkey % 13 = 0 AS is_deleted, '' AS comment FROM part"
@@ -43,6 +46,77 @@ def _(g):
     return edits.create_values(g.vals, new).select("resource", "prop", "iri", "vorder")
 
 
+# Requests by a project member: new names, brands and sizes of parts and orders, some of them wrong in one way or another.
+FIX["value_requests"] = """SELECT CAST(l_orderkey * 100 + l_linenumber AS BIGINT) AS seq, CASE WHEN l_orderkey % 19 = 0 THEN 'part/none' WHEN l_orderkey % 17 = 0 THEN 'order/' || CAST(l_orderkey AS STRING)
+    ELSE 'part/' || CAST(l_partkey AS STRING) END AS resource, CASE WHEN l_orderkey % 17 = 0 THEN 'isFulfilled' WHEN l_linenumber % 3 = 0 THEN 'hasBrand' WHEN l_linenumber = 7 THEN 'hasDate' WHEN l_linenumber % 3 = 1 THEN 'hasName' ELSE 'hasSize' END AS prop,
+    CASE WHEN l_orderkey % 17 = 0 THEN 'BooleanValue' WHEN l_orderkey % 13 = 0 THEN 'UriValue' WHEN l_linenumber % 3 = 2 THEN 'IntValue' ELSE 'TextValue' END AS vtype,
+    'w/' || CAST(CASE WHEN l_orderkey % 11 = 0 THEN l_orderkey ELSE l_orderkey * 100 + l_linenumber END AS STRING) AS iri,
+    CASE WHEN l_orderkey % 17 <> 0 AND (l_linenumber % 3 <> 2) THEN 'Brand#' || CAST(l_suppkey % 5 AS STRING) END AS as_string,
+    CAST(CASE WHEN l_orderkey % 17 <> 0 AND l_linenumber % 3 = 2 THEN l_suppkey % 5 END AS INT) AS as_int, CASE WHEN l_orderkey % 17 = 0 THEN l_linenumber % 2 = 0 END AS as_boolean
+    FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber) u"""
+# Parts lose their size first, so that there is room for one.
+FIX["vals_before"] = "SELECT iri, resource, prop, vtype, vorder, as_string, as_int, as_decimal, as_boolean, as_uri, as_node, start_jdn, end_jdn, prec, is_deleted OR (prop = 'hasSize' AND vorder <> 1) AS is_deleted FROM vals"
+_VALUE_TEXT = "coalesce({t}.as_string, CAST({t}.as_int AS STRING), CAST({t}.as_boolean AS STRING))"
+
+
+def _replay_sql(requests, before):
+    return f"""judged AS (SELECT q.*, {_VALUE_TEXT.format(t='q')} AS txt, i.card IN ('1', '0-1') AS one, coalesce(h.live, 0) AS live, coalesce(h.top + 1, 0) AS nxt,
+    CASE WHEN r.iri IS NULL THEN 'unknown resource' WHEN r.is_deleted THEN 'deleted resource' WHEN i.cls IS NULL THEN 'unknown property'
+    WHEN d.object_class IS NULL OR d.object_class <> q.vtype THEN 'wrong type' WHEN s.code IS NULL OR s.code < 6 THEN 'no right'
+    WHEN EXISTS (SELECT 1 FROM {before} v WHERE v.iri = q.iri) OR q.seq <> min(q.seq) OVER (PARTITION BY q.iri) THEN 'IRI exists'
+    WHEN EXISTS (SELECT 1 FROM {before} v WHERE v.resource = q.resource AND v.prop = q.prop AND NOT v.is_deleted AND {_VALUE_TEXT.format(t='v')} = {_VALUE_TEXT.format(t='q')}) THEN 'same value' END AS why
+    FROM {requests} q LEFT JOIN resources r ON r.iri = q.resource LEFT JOIN inherited i ON i.cls = r.cls AND i.prop = q.prop LEFT JOIN prop_constraints d ON d.prop = q.prop
+    LEFT JOIN subject_codes s ON s.iri = q.resource AND s.user_id = 'user/4'
+    LEFT JOIN (SELECT resource, prop, count(*) AS live, max(vorder) AS top FROM {before} WHERE NOT is_deleted GROUP BY resource, prop) h ON h.resource = q.resource AND h.prop = q.prop),
+    ledd AS (SELECT *, min(seq) OVER (PARTITION BY resource, prop, txt) AS lead FROM judged WHERE why IS NULL),
+    ranked AS (SELECT *, dense_rank() OVER (PARTITION BY resource, prop ORDER BY lead) AS n FROM ledd),
+    folded AS (SELECT *, CASE WHEN one AND n > greatest(0, 1 - live) THEN 'no more values allowed' WHEN seq <> lead THEN 'same value' END AS late FROM ranked)"""
+
+
+def _replayed(g, batches):
+    profiles = access.user_profiles(g.users, g.memberships, g.admin_rights)
+    types, cards, state = g.prop_constraints.select("prop", c("object_class").alias("vtype")), settle(_inherited(g)), g.vals_before
+    extra = {x: F.lit(None).cast(t) for x, t in (("as_decimal", "decimal(18,2)"), ("as_uri", "string"), ("as_node", "string"), ("start_jdn", "int"), ("end_jdn", "int"), ("prec", "string"))}
+    for test in batches:
+        state, rejected = edits.replay_values(state, g.resources, g.value_requests.where(test).withColumns(extra), types, cards, profiles, "user/4")
+        state = settle(state)
+    return state, rejected
+
+
+@query("e01_rejected_values", f"WITH {_replay_sql('value_requests', 'vals_before')} SELECT seq, iri, why AS reason FROM judged WHERE why IS NOT NULL UNION ALL SELECT seq, iri, late FROM folded WHERE late IS NOT NULL")
+def _(g):
+    return _replayed(g, ["true"])[1]
+
+
+_FIRST = _replay_sql("(SELECT * FROM value_requests WHERE seq % 2 = 0)", "vals_before")
+_SECOND = _replay_sql("(SELECT * FROM value_requests WHERE seq % 2 = 1)", "after_one").replace("judged", "judged2").replace("ledd", "ledd2").replace("ranked", "ranked2").replace("folded", "folded2")
+
+
+@query(
+    "e01_two_batches",
+    f"""WITH {_FIRST}, after_one AS (SELECT iri, resource, prop, vorder, as_string, as_int, as_boolean, is_deleted FROM vals_before UNION ALL
+    SELECT iri, resource, prop, CAST(nxt + n - 1 AS INT), as_string, as_int, as_boolean, FALSE FROM folded WHERE late IS NULL), {_SECOND}
+    SELECT iri, resource, prop, vorder FROM after_one WHERE iri LIKE 'w/%' UNION ALL SELECT iri, resource, prop, CAST(nxt + n - 1 AS INT) FROM folded2 WHERE late IS NULL""",
+)
+def _(g):
+    state, _ = _replayed(g, ["seq % 2 = 0", "seq % 2 = 1"])
+    return state.where("iri LIKE 'w/%'").select("iri", "resource", "prop", "vorder")
+
+
+_AGAIN = "(SELECT l_partkey AS id, CAST(l_quantity AS INT) AS name FROM lineitem UNION ALL SELECT -l_orderkey, l_linenumber FROM lineitem)"
+
+
+@query(
+    "e12_rejected_repeats",
+    f"""SELECT id, name, CASE WHEN p.p_partkey IS NOT NULL THEN 'exists' ELSE 'repeated in the batch' END AS reason FROM
+    (SELECT *, row_number() OVER (PARTITION BY id ORDER BY name) AS rn FROM {_AGAIN} a) q LEFT JOIN part p ON p.p_partkey = q.id WHERE p.p_partkey IS NOT NULL OR rn > 1""",
+)
+def _(g):
+    state = g.part.select(c("p_partkey").alias("id"), c("p_size").cast("int").alias("name"))
+    new = g.lineitem.select(c("l_partkey").alias("id"), c("l_quantity").cast("int").alias("name")).union(g.lineitem.select(-c("l_orderkey"), "l_linenumber"))
+    return edits.create_absent(state, new, "id")[1]
+
+
 _NAME_EDITS = """(SELECT 'n/' || CAST(p_partkey AS STRING) AS iri, 'n2/' || CAST(p_partkey AS STRING) AS new_iri,
     CASE WHEN p_partkey % 5 = 0 THEN p_name ELSE upper(p_name) END AS body FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'n/x' || CAST(p_partkey AS STRING), 'n2/x', 'y' FROM part WHERE p_partkey % 100 = 1)"""
 
