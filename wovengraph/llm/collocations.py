@@ -48,15 +48,15 @@ for _c in b".,;:!?\n\x0b\x0c\r":
 _FOLDED = bytes(_FOLDED)
 
 
-def words(raw: bytes) -> Iterator[list[bytes]]:
+def words(raw: bytes, chunk: int = CHUNK) -> Iterator[list[bytes]]:
     """The words of a text in order, A-Z as a-z, in lists; ``,`` (in no word) ends a piece."""
     start = 0
     while start < len(raw):
-        end = start + CHUNK
+        end = start + chunk
         if end < len(raw):
             cut = max(raw.rfind(b" ", start, end), raw.rfind(b"\n", start, end), raw.rfind(b".", start, end))
             while cut < start and end < len(raw):  # a word longer than a chunk
-                end += CHUNK
+                end += chunk
                 cut = max(raw.rfind(b" ", start, end), raw.rfind(b"\n", start, end), raw.rfind(b".", start, end))
             end = cut + 1 if end < len(raw) else len(raw)
         yield raw[start:end].translate(_FOLDED).replace(_END, b" , ").split()
@@ -147,8 +147,9 @@ class DoubleArray:
 
     def __init__(self, rows: np.ndarray):
         """rows: distinct, all of one length."""
-        self.shifts = list(range(0, max(1, int(rows.max(initial=0)).bit_length()), DIGIT))[::-1]
-        rows = np.stack([rows[:, k] >> shift & (1 << DIGIT) - 1 for k in range(rows.shape[1]) for shift in self.shifts], axis=1)
+        self.mask, self.top = (1 << DIGIT) - 1, int(rows.max(initial=0))
+        self.shifts = list(range(0, max(1, self.top.bit_length()), DIGIT))[::-1]
+        rows = np.stack([rows[:, k] >> shift & self.mask for k in range(rows.shape[1]) for shift in self.shifts], axis=1)
         order = np.lexsort(rows.T[::-1])
         rows = rows[order]
         parent, symbol, nodes = [], [], 1
@@ -211,10 +212,10 @@ class DoubleArray:
         at = np.flatnonzero(flat >= 0)
         state = np.zeros(len(at), dtype=np.int64)
         for step in range(depth):
-            good = flat[at + step] >= 0
+            good = (flat[at + step] >= 0) & (flat[at + step] <= self.top)
             at, state = at[good], state[good]
             for shift in self.shifts:
-                to = self.base[state] + (flat[at + step] >> shift & (1 << DIGIT) - 1)
+                to = self.base[state] + (flat[at + step] >> shift & self.mask)
                 good = (to >= 0) & (to < len(self.check))
                 at, state, to = at[good], state[good], to[good]
                 good = self.check[to] == state
