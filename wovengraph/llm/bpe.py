@@ -35,6 +35,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wovengraph.llm.common import mapped
+
 PIECE = 1 << 20
 WORDS = 250_000
 PAIRS = 600_000
@@ -269,16 +271,13 @@ def _words(path: str) -> Words:
 
 
 def _mapped(docs: DataFrame, id_col: str, other: str, schema: str, one: Callable) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = pd.DataFrame([one(v) for v in pdf["_value"]], columns=names, index=pdf.index)
-            yield pd.concat([pdf[["_id"]], rows], axis=1)
+    def make():
+        return lambda pdf: pd.DataFrame([one(v) for v in pdf["_value"]], columns=names)
 
     named = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{other}`").alias("_value"))
-    return named.mapInPandas(run, f"_id {kind}, {schema}").withColumnRenamed("_id", id_col)
+    return mapped(named, ["_id"], make, schema).withColumnRenamed("_id", id_col)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +58,39 @@ def fold(text: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.when(capital(p), F.lower(p)).otherwise(p)), "")
 
 
+# Arrow types of the columns that ``mapped`` makes.
+ARROW = {
+    "int": pa.int32(),
+    "long": pa.int64(),
+    "double": pa.float64(),
+    "string": pa.string(),
+    "binary": pa.binary(),
+    "array<int>": pa.list_(pa.int32()),
+    "array<long>": pa.list_(pa.int64()),
+}
+
+
+def mapped(df: DataFrame, keep: list[str], make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+    """The columns ``keep`` as they are, and for each row what a function of the other columns gives.
+
+    ``make`` is called once a task; its function gets one batch after another
+    and returns as many rows in the same order. The kept columns stay in Arrow:
+    pandas would turn whole numbers into floats where one of a batch is null.
+    """
+    new = [c.rsplit(" ", 1) for c in schema.split(", ")]
+    kinds = pa.schema([(name, ARROW[kind]) for name, kind in new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = make()
+        for batch in batches:
+            found = one(batch.select([c for c in batch.schema.names if c not in keep]).to_pandas())
+            found = pa.RecordBatch.from_pandas(found[kinds.names], schema=kinds, preserve_index=False)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *found.columns], names=[*keep, *kinds.names])
+
+    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.mapInArrow(run, f"{kept}, {schema}")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """Add the 0-based position of each row within its keys along ``order``.
 

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wovengraph.llm.common import mapped
 
 CELLS = 1 << 16
 SAMPLE = 4_000
@@ -149,16 +150,14 @@ def training_rows(docs: DataFrame, out: Column, id_col: str, text_col: str, lang
 
 def identified(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.table))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         own = Languages(*shared.value)
-        for pdf in batches:
-            found = [own.mixture(t) for t in pdf[text_col]]
-            yield pd.DataFrame({id_col: pdf[id_col], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
+        return lambda pdf: pd.DataFrame([own.mixture(t) for t in pdf["_text"]], columns=["lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text"))
+    return mapped(rows, [id_col], make, "lang_pred string, score double")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

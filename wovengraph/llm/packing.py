@@ -18,7 +18,7 @@ the smallest permitted length that holds its contents.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wovengraph.llm.common import numbered
+from wovengraph.llm.common import mapped, numbered
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 SEQUENCE_COST = 32
@@ -95,27 +95,26 @@ def word_length(text: Column) -> Column:
 
 
 def place(segments: list[Segment], firsts: list[int], sizes: list[int]):
-    """mapInPandas function: adds bin_id, bin_offset and bin_size by length and rank."""
+    """A function of batches: bin_id, bin_offset and bin_size by length and rank."""
     order = sorted(segments, key=lambda s: (s.length, s.rank))
     table = np.array([(s.length, s.rank, s.bin, s.each, s.offset) for s in order], dtype=np.int64).reshape(-1, 5)
     starts, shrunk = np.array(firsts, dtype=np.int64), np.array(sizes, dtype=np.int64)
     lengths = np.unique(table[:, 0])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            length, rank = pdf["length"].to_numpy(), pdf["rank"].to_numpy()
-            row = np.empty(len(pdf), dtype=np.int64)
-            for n in np.intersect1d(lengths, length):
-                lo, hi = np.searchsorted(table[:, 0], [n, n + 1])
-                own = length == n
-                row[own] = lo + np.searchsorted(table[lo:hi, 1], rank[own], side="right") - 1
-            _, first, start, each, offset = table[row].T
-            past = rank - first
-            which = start + past // each
-            size = shrunk[np.searchsorted(starts, which, side="right") - 1]
-            yield pdf.drop(columns=["rank"]).assign(bin_id=which, bin_offset=offset + past % each * length, bin_size=size)
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        length, rank = pdf["_length"].to_numpy(), pdf["_rank"].to_numpy()
+        row = np.empty(len(pdf), dtype=np.int64)
+        for n in np.intersect1d(lengths, length):
+            lo, hi = np.searchsorted(table[:, 0], [n, n + 1])
+            own = length == n
+            row[own] = lo + np.searchsorted(table[lo:hi, 1], rank[own], side="right") - 1
+        _, first, start, each, offset = table[row].T
+        past = rank - first
+        which = start + past // each
+        size = shrunk[np.searchsorted(starts, which, side="right") - 1]
+        return pd.DataFrame({"bin_id": which, "bin_offset": offset + past % each * length, "bin_size": size})
 
-    return run
+    return one
 
 
 def best_fit(
@@ -135,8 +134,8 @@ def best_fit(
     """
     sizes = tuple(sorted(sizes))
     longest = sizes[-1]
-    tokens = word_length(F.col(text_col)) if length is None else length.cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).where("tokens > 0")
+    tokens = word_length(F.col(f"`{text_col}`")) if length is None else length.cast("long")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), tokens.alias("tokens")).where("tokens > 0")
     last = ((F.col("tokens") - 1) / longest).cast("long")
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     start = F.col("piece") * longest
@@ -144,7 +143,8 @@ def best_fit(
     ranked = numbered(pieces, ["length"], [])
     counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     segments, firsts, shrunk, _ = pack(counts, sizes)
-    kind = pieces.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, piece long, start long, length long, bin_id long, bin_offset long, bin_size long"
-    placed = ranked.select("id", "piece", "start", "length", "rank").mapInPandas(place(segments, firsts, shrunk), schema)
+    own = place(segments, firsts, shrunk)
+    keep = ["id", "piece", "start", "length"]
+    placed = ranked.select(*keep, F.col("length").alias("_length"), F.col("rank").alias("_rank"))
+    placed = mapped(placed, keep, lambda: own, "bin_id long, bin_offset long, bin_size long")
     return placed.withColumnRenamed("id", id_col)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wovengraph.llm.common import settle
+from wovengraph.llm.common import mapped, settle
 
 SAMPLE = 20_000
 RIVALS = 8
@@ -195,16 +195,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 def scored(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """id, more, score, predicted of every row; null text counts as empty."""
     keep = [id_col, *more]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array([features(t or "") for t in pdf[text_col]]).reshape(len(pdf), len(NAMES))
-            score = model.score(x)
-            yield pdf[keep].assign(score=score, predicted=(score >= CUT).astype("int32"))
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array([features(t or "") for t in pdf["_text"]]).reshape(len(pdf), len(NAMES))
+        score = model.score(x)
+        return pd.DataFrame({"score": score, "predicted": (score >= CUT).astype("int32")})
 
-    columns = list(dict.fromkeys([*keep, text_col]))
-    return docs.select(*(F.col(f"`{c}`") for c in columns)).mapInPandas(run, f"{schema}, score double, predicted int")
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").alias("_text"))
+    return mapped(rows, keep, lambda: one, "score double, predicted int")
 
 
 def rank_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wovengraph.llm.common import settle, shared_folder
+from wovengraph.llm.common import mapped, settle, shared_folder
 
 BLOCK = 1 << 18
 LANES = 1024
@@ -176,20 +176,24 @@ def _tokens(path: str) -> Tokens:
 def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
     """id, part, start (tokens before it in its part), n, ids (16-bit, with the end id); parts in ascending id order."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = docs.schema["id"].dataType.simpleString()
     ordered = docs.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     ordered = ordered.withColumn("part", F.spark_partition_id())
     mark = np.array([end], dtype="<u2").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         tokens, before = _tokens(path), 0
-        for pdf in batches:
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal before
             ids = [tokens.encode(t or "") + mark for t in pdf["text"]]
             n = np.array([len(i) // 2 for i in ids], dtype=np.int64)
-            yield pdf[["id", "part"]].assign(start=before + np.cumsum(n) - n, n=n, ids=ids)
+            out = pd.DataFrame({"start": before + np.cumsum(n) - n, "n": n, "ids": ids})
             before += int(n.sum())
+            return out
+
+        return one
 
-    return ordered.select("id", "part", "text").mapInPandas(run, f"id {kind}, part int, start long, n long, ids binary")
+    return mapped(ordered.select("id", "part", "text"), ["id", "part"], make, "start long, n long, ids binary")
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
@@ -240,7 +244,11 @@ class TokenFile:
                     out = pd.DataFrame({"id": pd.Series(list(row.ids), dtype=object), "start": row.start + ends - sizes, "n_tokens": sizes})
                     yield out.assign(**{last: found})
 
-        return self.spark.read.parquet(f"{self.path}/blocks").mapInPandas(run, schema)
+        # Ids pass through Python as text, since pandas has no whole numbers beside nulls.
+        (_, kind), *others = [c.split() for c in schema.split(", ")]
+        blocks = self.spark.read.parquet(f"{self.path}/blocks").withColumn("ids", F.col("ids").cast("array<string>"))
+        found = blocks.mapInPandas(run, schema.replace(f"id {kind}", "id string", 1))
+        return found.select(F.col("id").cast(kind).alias("id"), *(name for name, _ in others))
 
 
 def write(docs: DataFrame, path: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> TokenFile:
@@ -274,7 +282,6 @@ def write(docs: DataFrame, path: str, end: int = 0, id_col: str = "doc_id", text
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for pdf in batches:
-            pdf = pdf.astype({"id": object}) if pdf["id"].isna().any() else pdf
             for row in pdf.itertuples():
                 if held and (size + row.n > BLOCK or held[-1].part != row.part or held[-1].start + held[-1].n != row.start):
                     yield block(held)
@@ -284,6 +291,8 @@ def write(docs: DataFrame, path: str, end: int = 0, id_col: str = "doc_id", text
         if held:
             yield block(held)
 
-    blocks = tokens.mapInPandas(run, f"start long, ids array<{kind}>, sizes array<long>, crc long, block binary")
+    named = tokens.withColumn("id", F.col("id").cast("string"))
+    blocks = named.mapInPandas(run, "start long, ids array<string>, sizes array<long>, crc long, block binary")
+    blocks = blocks.withColumn("ids", F.col("ids").cast(f"array<{kind}>"))
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
     return TokenFile(spark, folder)
