@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wovengraph.llm.common import components, settle
+from wovengraph.llm.common import components, mapped, settle
 from wovengraph.llm.shingles import mixed, shingle_sets
 
 LARGE = 8
@@ -55,13 +55,13 @@ def window(size: int, percent: int) -> int:
 
 
 def windows(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """id, n, d1, d2 (digest of the set), keys: the window of each set, shingles in ``common`` last."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """id, mark (hash of the text), n, d1, d2 (digest of the set), keys: the window of each set, shingles in ``common`` last."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         last, often = np.ascontiguousarray(shared.value["key"]), np.ascontiguousarray(shared.value["n"])
-        for pdf in batches:
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
             rows = []
             for chunk in shingle_sets(pdf["text"], width):
                 every = np.concatenate(chunk)
@@ -76,10 +76,16 @@ def windows(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Da
                     keep = window(len(own), percent)
                     keys = own[np.argsort(held[ends[k] : ends[k + 1]], kind="stable")[:keep]] if late[k] else own[:keep].copy()
                     rows.append((len(own), d1[k], d2[k], keys.view(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "d1", "d2", "keys"], index=pdf.index)
-            yield pd.concat([pdf[["id"]], out], axis=1)
+            return pd.DataFrame(rows, columns=["n", "d1", "d2", "keys"])
 
-    return docs.select("id", "text").mapInPandas(run, f"id {kind}, n long, d1 long, d2 long, keys array<long>")
+        return one
+
+    return mapped(docs.select("id", _mark().alias("mark"), "text"), ["id", "mark"], make, "n long, d1 long, d2 long, keys array<long>")
+
+
+def _mark() -> Column:
+    """Tells rows with equal ids and different texts apart."""
+    return F.xxhash64("text")
 
 
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -97,21 +103,24 @@ def common_keys(found: DataFrame) -> np.ndarray:
     return np.sort(out, order="key")
 
 
-def sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """id, elements: the whole sets of the documents in ``pairs`` (and of a few others)."""
+def sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """id (a class number), elements: the whole sets of the classes in ``pairs`` (and of a few others)."""
     kind = docs.schema["id"].dataType.simpleString()
-    ids = pairs.select(F.xxhash64("a").alias("key")).union(pairs.select(F.xxhash64("b")))
-    shared = docs.sparkSession.sparkContext.broadcast(bit_table(ids))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    firsts = classes.join(ids, "id").select("first.id", "first.mark", F.col("id").alias("class"))
+    firsts = settle(firsts)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(firsts.select(F.xxhash64("id", "mark").alias("key"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf[_set(shared.value, _places(pdf["key"]))]
             if len(pdf):
                 found = [own.view(np.int64) for chunk in shingle_sets(pdf["text"], width) for own in chunk]
-                yield pdf[["id"]].assign(elements=found)
+                yield pdf[["id", "mark"]].assign(elements=found)
 
-    known = docs.where("id IS NOT NULL").select("id", "text", F.xxhash64("id").alias("key"))
-    return known.mapInPandas(run, f"id {kind}, elements array<long>")
+    known = docs.where("id IS NOT NULL").select("id", _mark().alias("mark"), "text").withColumn("key", F.xxhash64("id", "mark"))
+    found = known.mapInPandas(run, f"id {kind}, mark long, elements array<long>")
+    return found.join(firsts, ["id", "mark"]).select(F.col("class").alias("id"), "elements").dropDuplicates(["id"])
 
 
 def _places(keys: pd.Series) -> np.ndarray:
@@ -179,25 +188,17 @@ def _linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b")
 
 
-def jaccard_components(
-    docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id.
-
-    Words: between ASCII white space, A-Z as a-z; a text with fewer than ``width``
-    words is one shingle, one without words (or null) is empty and linked with
-    nothing. component_id: the smallest id reachable by links, itself included.
-    Rows with equal ids are one node. A row with a null id has a null
-    component and links nothing.
-    """
-    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """id, mark, n, first of each row of (id, text); first: (id, mark) of the smallest row reachable by links."""
     common = common_keys(windows(docs, width, percent, np.zeros(0, dtype=[("key", np.uint64), ("n", np.int64)])))
     found = settle(windows(docs, width, percent, common))
 
     alike = ["n", "d1", "d2"]
-    classes = settle(found.where("id IS NOT NULL AND n > 0").groupBy(*alike).agg(F.min("id").alias("first")))
-    own = found.join(classes.select(F.col("first").alias("id"), *alike), ["id", *alike], "left_semi")
-    own = settle(own.dropDuplicates(["id", *alike]).select("id", "n", "keys"))
+    classes = found.where("id IS NOT NULL AND n > 0").groupBy(*alike).agg(F.min(F.struct("id", "mark")).alias("first"))
+    # Classes are numbered once and written: an id may stand for several texts, and so for several classes.
+    classes = settle(classes.withColumn("id", F.monotonically_increasing_id()))
+    own = found.join(classes.select(F.col("id").alias("class"), "first.id", "first.mark"), ["id", "mark"])
+    own = settle(own.select(F.col("class").alias("id"), "n", "keys").dropDuplicates(["id"]))
 
     crowds = own.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     crowds = settle(crowds)
@@ -213,7 +214,7 @@ def jaccard_components(
     balls = _pairs(large.alias("x").join(pivots.alias("y"), reach & (F.col("x.id") != F.col("y.id"))), "x.id", "y.id")
     pairs = settle(near.unionByName(balls).distinct())
 
-    links = settle(_linked(pairs, settle(sets(docs, pairs, width)), percent))
+    links = settle(_linked(pairs, settle(sets(docs, classes, pairs, width)), percent))
 
     parts = components(links, "a", "b").withColumnRenamed("node", "id")
     large = settle(large.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
@@ -224,18 +225,44 @@ def jaccard_components(
     late = reach & (F.col("x.component") != F.col("y.component")) & once
     late = settle(_pairs(outside.alias("x").join(large.alias("y"), late), "x.id", "y.id").distinct())
     if not late.isEmpty():
-        links = links.unionByName(settle(_linked(late, settle(sets(docs, late, width)), percent)))
+        links = links.unionByName(settle(_linked(late, settle(sets(docs, classes, late, width)), percent)))
 
-    parts = settle(components(links, "a", "b").withColumnRenamed("node", "first"))
-    of = settle(classes.join(parts, "first", "left").select(*alike, F.coalesce("component", "first").alias("component")))
-    rows = found.select("id", *alike).join(of, alike, "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    parts = components(links, "a", "b").withColumnRenamed("node", "id")
+    of = settle(classes.join(parts, "id", "left").select(*alike, "first", F.coalesce("component", "id").alias("component")))
+    least = of.groupBy("component").agg(F.min("first").alias("least"))
+    of = settle(of.join(least, "component").select(*alike, "least"))
+    rows = found.select("id", "mark", *alike).join(of, alike, "left")
+    itself = F.struct("id", "mark")
+    return rows.select("id", "mark", "n", F.when(F.col("id").isNotNull(), F.coalesce("least", itself)).alias("first"))
+
+
+def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+
+
+def jaccard_components(
+    docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id.
+
+    Words: between ASCII white space, A-Z as a-z; a text with fewer than ``width``
+    words is one shingle, one without words (or null) is empty and linked with
+    nothing. component_id: the smallest id reachable by links, itself included.
+    Rows with equal ids and different texts are separate: an id joins no texts.
+    A row with a null id has a null component and links nothing. Other columns
+    are not read. No rows in, no rows out.
+    """
+    found = _grouped(_columns(docs, id_col, text_col), width, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component, with its columns as they are: the smallest id. Rows without an id stay."""
-    found = jaccard_components(docs, width, percent, id_col, text_col)
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    gone = settle(gone)
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    """One text of ``docs`` for each component, with its columns as they are: that of the smallest id.
+
+    Rows without an id stay, and so do rows that repeat the id and the text of
+    the one that stays. Columns may have any names.
+    """
+    found = _grouped(_columns(docs, id_col, text_col), width, percent)
+    gone = settle(found.where(F.struct("id", "mark") != F.col("first")).select("id", "mark").distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("mark"))
+    return rows.join(gone, ["id", "mark"], "left_anti").select("row.*")

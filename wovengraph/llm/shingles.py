@@ -6,8 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-_rng = np.random.default_rng(20240902)
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+_SEED = 20240902
+_BYTE = np.random.default_rng(_SEED).integers(0, 2**64, 256, dtype=np.uint64)
 for _c in range(65, 91):  # A-Z count as a-z
     _BYTE[_c] = _BYTE[_c + 32]
 _SPACE = np.zeros(256, dtype=bool)
@@ -15,6 +15,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 18
 _POWERS = np.cumprod(np.full(4096, 0xD1342543DE82EF95, dtype=np.uint64))
+_PLACES = np.zeros(0, dtype=np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -24,6 +25,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _at(n: int) -> np.ndarray:
+    """A random number for each of at least the first ``n`` places of a word."""
+    global _PLACES
+    if n > len(_PLACES):
+        _PLACES = mixed((np.arange(1 << n.bit_length(), dtype=np.uint64) + np.uint64(_SEED)) * _STEP)
+    return _PLACES
+
+
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     if n > len(_POWERS):
@@ -32,7 +41,11 @@ def _powers(n: int) -> np.ndarray:
 
 
 def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word between ASCII white space, A-Z as a-z, and the place where it starts."""
+    """The hash of each word between ASCII white space, A-Z as a-z, and the place where it starts.
+
+    A byte and its place make one random number, and a word is their sum. (Sums of bytes times powers
+    modulo 2 ** 64 meet for texts that alternate in a known way, whatever the base.)
+    """
     inside = np.concatenate([[False], ~_SPACE[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
@@ -41,7 +54,9 @@ def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = ends - starts
     before = np.cumsum(sizes) - sizes
     at = np.arange(sizes.sum()) - np.repeat(before, sizes)
-    own = _BYTE[raw[inside[1:-1]]] * _powers(int(sizes.max()))[at]
+    own = _BYTE[raw[inside[1:-1]]] ^ _at(int(sizes.max()))[at]
+    own = (own ^ (own >> np.uint64(32))) * _STEP
+    own ^= own >> np.uint64(29)
     return mixed(np.add.reduceat(own, before) + sizes.astype(np.uint64) * _STEP), starts
 
 
