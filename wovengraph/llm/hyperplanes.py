@@ -141,14 +141,18 @@ def near_duplicates(
     Rows with a null label, and vectors that are null, zero or hold null or
     non-finite components, link with nothing and are their own component.
     Vectors of different length have no cosine and do not link. Equal ids
-    count as separate rows of one component. An id must not be null.
+    are separate rows, linked only as their vectors are. A null id links like
+    any other but names no component unless all ids of it are null; it is kept
+    if its component has no id. Other columns are not read. No rows in, no rows out.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
+    read = lambda c: F.col(f"`{c}`")
+    rows = vectors.select(read(id_col).alias("id"), read(label_col).alias("label"), read(vector_col).cast("array<double>").alias("vec"))
     good = F.col("label").isNotNull() & usable(F.col("vec"))
     rows = rows.select("id", F.when(good, F.col("label")).alias("label"), F.when(good, F.col("vec")).alias("vec"))
     key = F.xxhash64("vec")
-    classes = rows.where("vec IS NOT NULL").groupBy("label", "vec").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("weight"))
-    classes = settle(classes)
+    classes = rows.where("vec IS NOT NULL").groupBy("label", "vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("weight"))
+    # Classes are numbered once and written: an id may be held by several vectors.
+    classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()))
     signs, tables = plan(classes.count(), threshold, recall)
     kind = classes.schema["label"].dataType.simpleString()
     sigs = classes.select("cls", "label", "vec").mapInPandas(signatures(signs, tables), f"cls long, label {kind}, sigs array<long>")
@@ -178,16 +182,19 @@ def near_duplicates(
         key.alias("key"),
         F.col("vec").alias("class_vec"),
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-        F.coalesce("component", "cls").alias("component_id"),
+        F.coalesce("component", "cls").alias("component"),
+        "first",
     )
     of = settle(of)
+    least = of.groupBy("component").agg(F.min("first").alias("component_id"))
+    of = of.join(least, "component")
     rows = rows.withColumn("key", key)
     same = (rows["label"] == of["label"]) & (rows["key"] == of["key"]) & (rows["vec"] == of["class_vec"])
     joined = rows.join(of, same, "left")
-    component = F.coalesce(of["component_id"], rows["id"])
+    component = F.when(of["component"].isNull(), rows["id"]).otherwise(of["component_id"])
     return joined.select(
         rows["id"].alias(id_col),
         F.coalesce(of["n_links"], F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
-        (rows["id"] == component).alias("kept"),
+        rows["id"].eqNullSafe(component).alias("kept"),
     )
