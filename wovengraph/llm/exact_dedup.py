@@ -5,7 +5,7 @@ least 512 characters after the last cut, 4,096 at most), so equal passages in
 different texts give equal chunks. Every distinct chunk gets a verified
 identifier: its 64-bit hash, together with its rank among the different chunks
 that were found to share that hash. Texts are then equal exactly if their
-ordered identifier lists are; only these short lists are grouped. The texts
+ordered lists of hashes and of ranks are; only these short lists are grouped. The texts
 are shuffled once, as chunks that each task has already reduced to distinct
 ones, and never again.
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from wovengraph.llm.common import fold, settle
 
 LEAST, MOST = 512, 4096
+RANKS = "array<struct<at:int,rank:int>>"
 CHUNK = rf"(?s).{{{LEAST},{MOST - 1}}}?[.!?;:\n]|.{{1,{MOST}}}"
 
 
@@ -45,29 +46,26 @@ def clashes(texts: DataFrame) -> DataFrame | None:
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, recipe, text_sha256); recipe: the ordered chunk identifiers as an array of long.
+    """(id, recipe, ranks, text_sha256): the hashes of the ordered chunks, and the clashes among them.
 
-    A chunk without a clash is its hash. One with a clash is followed by its
-    rank, which no list without it can equal: the clash is settled by content.
+    ``ranks`` holds (place, rank) of the chunks that share their hash with a
+    smaller, different one, in order; it is empty in nearly every text.
     """
-    texts = docs.select(F.col(id_col).alias("_id"), fold(F.col(text_col)).alias("_text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), fold(F.col(f"`{text_col}`")).alias("_text"))
     plain = F.transform(chunks(F.col("_text")), lambda c: F.xxhash64(c))
     own = settle(texts.select("_id", plain.alias("recipe"), F.sha2("_text", 256).alias("text_sha256")))
     odd = clashes(texts)
-    if odd is not None:
-        own = _settle_clashes(own, texts, odd)
-    return own.withColumnRenamed("_id", id_col)
+    return own.withColumn("ranks", F.array().cast(RANKS)) if odd is None else _settle_clashes(own, texts, odd)
 
 
 def _settle_clashes(own: DataFrame, texts: DataFrame, odd: DataFrame) -> DataFrame:
-    at = texts.select("_id", F.sha2("_text", 256).alias("text_sha256"), F.posexplode(chunks(F.col("_text"))).alias("at", "chunk"))
+    at = texts.select(F.sha2("_text", 256).alias("text_sha256"), F.posexplode(chunks(F.col("_text"))).alias("at", "chunk"))
     at = at.withColumn("hash", F.xxhash64("chunk")).join(odd, ["hash", "chunk"])
-    ranks = at.select("_id", "text_sha256", "at", "rank").distinct().groupBy("_id", "text_sha256")
-    ranks = ranks.agg(F.map_from_entries(F.collect_list(F.struct("at", "rank"))).alias("ranks"))
-    ranked = lambda c, i: F.when(F.col("ranks")[i].isNotNull(), F.array(c, F.col("ranks")[i].cast("long"))).otherwise(F.array(c))
-    whole = F.flatten(F.transform("recipe", ranked))
-    joined = own.join(ranks, ["_id", "text_sha256"], "left")
-    return joined.select("_id", F.when(F.col("ranks").isNull(), F.col("recipe")).otherwise(whole).alias("recipe"), "text_sha256")
+    # A text's digest stands for the text here, so that rows with equal or null ids need no telling apart.
+    ranks = at.select("text_sha256", "at", "rank").distinct().groupBy("text_sha256")
+    ranks = ranks.agg(F.array_sort(F.collect_list(F.struct("at", "rank"))).cast(RANKS).alias("ranks"))
+    joined = own.join(ranks, "text_sha256", "left")
+    return joined.select("_id", "recipe", F.coalesce("ranks", F.array().cast(RANKS)).alias("ranks"), "text_sha256")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,18 +75,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     partial aggregation and written before they are joined back, so that a
     recipe held by a third of all rows is split by the engine's skew join.
     Null ids count as smallest; of rows with equal largest ids all are marked kept.
+    Other columns are not read. No rows in, no rows out.
     """
     own = recipes(docs, id_col, text_col)
-    groups = own.groupBy("recipe").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    same = ["recipe", "ranks"]
+    groups = own.groupBy(*same).agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = settle(groups)
-    joined = own.join(groups, "recipe")
-    kept = F.col(id_col).eqNullSafe(F.col("keep_id"))
-    return joined.select(id_col, "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    joined = own.join(groups, same)
+    kept = F.col("_id").eqNullSafe(F.col("keep_id"))
+    return joined.select(F.col("_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each text, with its columns as they are: the one with the largest id."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_text_sha", F.sha2(fold(F.col(f"`{text_col}`")), 256))
-    same = (F.col("_text_sha") == F.col("_sha")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))
-    return own.join(kept, same, "left_semi").dropDuplicates([id_col, "_text_sha"]).drop("_text_sha")
+    """One row of ``docs`` for each text, with its columns as they are: the one with the largest id.
+
+    Of rows with that id and equal texts any one stays, whole. Columns may have any names.
+    """
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(f"`{id_col}`").alias("keep"), F.col("text_sha256").alias("keep_sha"))
+    own = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.sha2(fold(F.col(f"`{text_col}`")), 256).alias("sha"))
+    same = (F.col("sha") == F.col("keep_sha")) & F.col("id").eqNullSafe(F.col("keep"))
+    return own.join(kept, same, "left_semi").dropDuplicates(["id", "sha"]).select("row.*")
