@@ -340,3 +340,60 @@ def test_pipeline(spark, documents):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
     _check_bins(packed, packing.SIZES)
+
+
+def test_large_ids_beside_null_ids(spark):
+    """A batch with a null id keeps ids above 2 ** 53 as they are, and a null id stays null."""
+    ids = [2**53 + 1, 2**62 + 1, None, 2**53 + 3]
+    docs = spark.createDataFrame([(i, f"A text of its own, number {k}, in plain words.", "en") for k, i in enumerate(ids)], "doc_id long, text string, lang string")
+    docs = docs.coalesce(1)
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    written = rans.write(docs, vocabulary("byte_bpe_50k.json"))
+    results = [
+        quality.rank_quality(docs, labels),
+        language.identify(docs),
+        bpe.round_trip(docs, vocabulary("word_bpe_49k.json")),
+        jaccard.jaccard_components(docs),
+        packing.best_fit(docs),
+        written.checksums().withColumnRenamed("id", "doc_id"),
+        written.read().withColumnRenamed("id", "doc_id"),
+        exact_dedup.exact_duplicates(docs),
+    ]
+    for df in results:
+        assert {r["doc_id"] for r in df.collect()} == set(ids)
+
+
+def test_repeated_vector_ids(spark):
+    """Two vectors with one id stay apart; null ids link and are kept only without another id."""
+    rows = [
+        (1, [1.0, 0.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0, 0.0], 0), (2, [0.0, 0.0, 1.0, 0.0], 0), (3, [0.0, 0.0, 0.0, 1.0], 0),
+        (4, [0.0, 1.0, 0.001, 0.0], 0), (None, [0.0, 0.0, 1.0, 0.001], 0), (None, [-1.0, 0.0, 0.0, 0.0], 0),
+    ]
+    got = hyperplanes.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), recall=0.999999).collect()
+    found = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got)
+    assert found == [(0, 0, 0, True), (0, 1, 2, False), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 2, True), (3, 0, 3, True), (4, 1, 1, False)]
+
+
+def test_texts_that_meet_under_powers(spark):
+    """Two words that alternate by the parity of their places' bits have no common hash."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    words = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    got = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0, 1}
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    """Unrelated texts under one id both stay, and working names may be columns of the input."""
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a), (5, a + " end"), (5, b), (6, b + " end"), (7, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_gone", "_id", "_sha", "_text_sha", "mark", "id", "row", "n", "keep", "sha", "first"):
+        docs = docs.withColumn(name, F.lit(name))
+    one = jaccard.representatives(docs)
+    assert one.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in one.collect()) == [(3, a), (5, b)]
+    assert all(r["_gone"] == "_gone" and r["mark"] == "mark" for r in one.collect())
+    unique = exact_dedup.unique(docs)
+    assert unique.columns == docs.columns
+    assert sorted(r["doc_id"] for r in unique.collect()) == [5, 5, 6, 7]
