@@ -92,27 +92,31 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _licence_sql() -> str:
     fold = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    notices = ", ".join(f"('{n}', '{t}')" for n, t in licences.TEMPLATES)
+    notices = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(licences.TEMPLATES))
     return f"""
-    WITH given AS (SELECT * FROM (VALUES {notices}) v(licence, notice)),
+    WITH given AS (SELECT * FROM (VALUES {notices}) v(no, licence, notice)),
     files AS (SELECT doc_id, text, CASE WHEN doc_id % 20 = 0 THEN concat_ws('/', source, doc_id // 1000) ELSE concat_ws('/', source, doc_id // 1000, doc_id // 100) END AS folder,
         CASE WHEN doc_id % 20 = 0 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS name FROM documents),
-    gt AS (SELECT licence, unnest(regexp_extract_all({fold.format("notice")}, '[a-z0-9]+')) AS term FROM given),
-    gtf AS (SELECT licence, term, count(*) AS tf FROM gt GROUP BY ALL),
+    gt AS (SELECT no, licence, unnest(regexp_extract_all({fold.format("notice")}, '[a-z0-9]+')) AS term FROM given),
+    gtf AS (SELECT no, licence, term, count(*) AS tf FROM gt GROUP BY ALL),
     vocab AS (SELECT DISTINCT term FROM gtf),
     n AS (SELECT count(*) AS total FROM files),
     held AS (SELECT term, count(*) AS held FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all({fold.format("text")}, '[a-z0-9]+')) AS term FROM files) JOIN vocab USING (term) GROUP BY term),
     idf AS (SELECT term, coalesce(held, 0) AS held, ln((total + 1) / (coalesce(held, 0) + 1)) + 1 AS idf FROM vocab LEFT JOIN held USING (term), n),
-    lines AS (SELECT doc_id, unnest(string_split({fold.format("text")}, chr(10))) AS unit, generate_subscripts(string_split({fold.format("text")}, chr(10)), 1) AS line FROM files),
+    split AS (SELECT doc_id, {fold.format("text")} AS s, string_split(s, chr(10)) AS rows, name LIKE 'LICENSE%' AS whole FROM files),
+    every AS (
+        SELECT doc_id, unnest(flatten(list_transform(range(1, len(rows) + 1), lambda i: [array_to_string(rows[i:i + k], chr(10)) FOR k IN [0, 1, 2]]))) AS unit FROM split
+        UNION ALL SELECT doc_id, unnest(string_split_regex(s, '\\n[ \\t\\r]*\\n')) FROM split
+        UNION ALL SELECT doc_id, s FROM split WHERE whole),
+    lines AS (SELECT doc_id, unit, row_number() OVER () AS line FROM (SELECT DISTINCT doc_id, unit FROM every)),
     words AS (SELECT doc_id, line, unnest(regexp_extract_all(unit, '[a-z0-9]+')) AS term FROM lines),
     tf AS (SELECT doc_id, line, term, count(*) AS tf FROM words GROUP BY ALL),
-    cand AS (SELECT DISTINCT doc_id, line FROM tf JOIN idf USING (term), n WHERE held <= {licences.COMMON} * total),
-    w AS (SELECT doc_id, line, term, tf * coalesce(idf, ln(total + 1) + 1) AS weight FROM tf SEMI JOIN cand USING (doc_id, line) LEFT JOIN idf USING (term), n),
+    w AS (SELECT doc_id, line, term, tf * coalesce(idf, ln(total + 1) + 1) AS weight FROM tf LEFT JOIN idf USING (term), n),
     norms AS (SELECT doc_id, line, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY ALL),
-    gw AS (SELECT licence, term, tf * idf AS g FROM gtf JOIN idf USING (term)),
-    sizes AS (SELECT licence, sqrt(sum(g * g)) AS size FROM gw GROUP BY licence),
+    gw AS (SELECT no, licence, term, tf * idf AS g FROM gtf JOIN idf USING (term)),
+    sizes AS (SELECT no, sqrt(sum(g * g)) AS size FROM gw GROUP BY no),
     scores AS (SELECT doc_id, line, licence, round(sum(weight * g) / (any_value(norm) * any_value(size)), 6) AS score
-        FROM w JOIN gw USING (term) JOIN norms USING (doc_id, line) JOIN sizes USING (licence) GROUP BY doc_id, line, licence),
+        FROM w JOIN gw USING (term) JOIN norms USING (doc_id, line) JOIN sizes USING (no) GROUP BY doc_id, line, no, licence),
     own AS (SELECT doc_id, arg_max(licence, (score, licence)) AS own, max(score) AS score FROM scores WHERE score >= {licences.LEAST} GROUP BY doc_id),
     declared AS (SELECT folder AS above, arg_max(own, (score, own)) AS given FROM own JOIN files USING (doc_id) WHERE name LIKE 'LICENSE%' GROUP BY folder),
     nearest AS (SELECT f.folder, arg_max(above, length(above)) AS above, arg_max(given, length(above)) AS given
