@@ -244,6 +244,24 @@ def test_licences(spark, none):
     assert licences.scan(none.withColumnRenamed("source", "path")).count() == 0
 
 
+def test_licences_that_most_files_carry(spark):
+    """A licence in nearly every file, a notice broken over lines, a whole licence text, a very long one, clashing names."""
+    mit = dict((n, t) for n, t in licences.TEMPLATES)["MIT"]
+    files = [(f"a/{i}.txt", f"Item number {i}.\nReleased under the MIT License.\nMore of item {i}.") for i in range(40)]
+    files += [
+        ("b/x.py", "# About it\n# Licensed under the Apache\n# License, Version 2.0.\n\ncode"),
+        ("c/LICENSE", "Some name\n\nCopyright 2001\n\n" + mit.replace(". ", ".\n\n")),
+        ("c/d/e.txt", "plain"),
+        ("g/long.txt", "filler words of no licence " * 40_000 + "\nReleased under the MIT License."),
+    ]
+    docs = spark.createDataFrame(files, "path string, text string").withColumn("score", F.lit(1)).withColumn("row", F.lit(2))
+    rows = licences.scan(docs)
+    assert rows.columns == ["path", "given_score", "row", "own", "score", "licence", "inherited_from"]
+    got = {r["path"]: (r["own"], r["licence"], r["inherited_from"]) for r in rows.collect()}
+    assert all(got[f"a/{i}.txt"] == ("MIT", "MIT", None) for i in range(40)) and got["g/long.txt"][0] == "MIT"
+    assert got["b/x.py"][0] == "Apache-2.0" and got["c/LICENSE"][0] == "MIT" and got["c/d/e.txt"] == (None, "MIT", "c")
+
+
 def test_block_round_trip():
     rng = np.random.default_rng(2)
     for n in (1, 2, 63, 64, 5000, 300_000):
