@@ -83,9 +83,9 @@ def _cosines(given: list[tuple[str, Counter]], inverse: dict[str, float], unheld
     def ended(run: Column) -> Column:
         """The sums with the last term's: the square of the unit's length, then its product with each template."""
         own = F.coalesce(F.try_element_at(known, run["term"]), other)
-        square = F.array(F.pow(run["n"] * own[0], F.lit(2.0)))
-        added = F.concat(square, F.transform(F.slice(own, 2, len(given)), lambda w: w * run["n"]))
-        return F.zip_with(run["sums"], added, lambda x, y: x + y)
+        n = run["n"]
+        # The first weight counts squared, for the unit's length; the others once.
+        return F.zip_with(run["sums"], F.transform(own, lambda w, k: F.when(k == 0, n * w * n * w).otherwise(n * w)), lambda x, y: x + y)
 
     def add(run: Column, term: Column) -> Column:
         same = run["term"] == term
@@ -105,7 +105,7 @@ def _cosines(given: list[tuple[str, Counter]], inverse: dict[str, float], unheld
         each = lambda s: F.array(*(F.struct(score(s, k + 1, size).alias("score"), F.lit(licence).alias("licence")) for k, (licence, size) in enumerate(named)))
         return F.flatten(F.transform(F.array(bare), each))
 
-    return F.aggregate(F.array_sort("terms"), begin, add, scores)
+    return F.aggregate(F.sort_array("terms"), begin, add, scores)
 
 
 def telling(given: list[tuple[str, Counter]], inverse: dict[str, float]) -> list[str]:
@@ -123,13 +123,19 @@ def telling(given: list[tuple[str, Counter]], inverse: dict[str, float]) -> list
 
 def units(text: Column, whole: Column, found: str) -> Column:
     """The units of a text with a term that ``found`` matches; no term reaches beyond a line."""
-    lines = F.split(text, "\n")
-    hits = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(found))
     runs = [(back, size) for size in (1, 2, 3) for back in range(size)]
-    around = lambda i: F.array(*(F.array_join(F.slice(lines, F.greatest(i - back, F.lit(1)), F.lit(size)), "\n") for back, size in runs))
-    headers = F.flatten(F.transform(hits, around))
-    paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: p.rlike(found))
-    return F.array_distinct(F.concat(headers, paragraphs, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))))
+
+    def own(t: Column) -> Column:
+        lines = t["lines"]
+        hits = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(found), i + 1)), lambda i: i.isNotNull())
+        around = lambda i: F.array(*(F.array_join(F.slice(lines, F.greatest(i - back, F.lit(1)), F.lit(size)), "\n") for back, size in runs))
+        paragraphs = F.filter(F.split(t["text"], r"\n[ \t\r]*\n"), lambda p: p.rlike(found))
+        itself = F.when(whole, F.array(t["text"])).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(F.flatten(F.transform(hits, around)), paragraphs, itself))
+
+    # The text and its lines are bound once; an expression within a lambda would split them again for every line.
+    bound = F.array(F.struct(text.alias("text"), F.split(text, "\n").alias("lines")))
+    return F.flatten(F.transform(bound, own))
 
 
 def own_licences(files: DataFrame, templates=TEMPLATES) -> DataFrame:
