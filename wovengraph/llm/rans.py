@@ -16,6 +16,7 @@ the words (32 bits each), and the CRC-32 of all that.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -29,6 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wovengraph.llm.bpe import byte_symbols
 from wovengraph.llm.common import mapped, settle, shared_folder
 
 BLOCK = 1 << 18
@@ -127,14 +129,12 @@ def decode_block(block: bytes, table: Frequencies, first: int = 0) -> np.ndarray
 
 
 class Tokens(dict):
-    """Word to the bytes of its ids (16 bits), by the library's own model; two generations of bounded size."""
+    """Word to the bytes of its ids (16 bits), as the library's model gives them; two generations of bounded size."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        from wovengraph.llm.bpe import byte_symbols
-
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
@@ -144,12 +144,37 @@ class Tokens(dict):
         self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.older: dict[str, bytes] = {}
+        self.direct = self._by_rank()
+
+    def _by_rank(self):
+        """Ids of a word by merging the pair of lowest id, or None where that may differ from the file's merges.
+
+        Merges listed in ascending order of their ids have the same priorities, and
+        if each token, cut alone, comes out whole, two neighbours that spell a token
+        can only be the pair it is merged from. So both ways make the same merges.
+        """
+        from tiktoken import Encoding
+
+        stored = json.loads(self.library.to_str())["model"]
+        vocab = {s: i for s, i in stored["vocab"].items() if s not in self.added}
+        made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in stored["merges"]]
+        plain = not any(stored.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        symbols = {s: bytes([i]) for i, s in enumerate(byte_symbols())}
+        if not plain or None in made or made != sorted(set(made)) or len(vocab) != len(made) + len(symbols):
+            return None
+        if any(s not in vocab for s in symbols) or any(len(self.model.tokenize(s)) != 1 for s in vocab):
+            return None
+        ranks = {b"".join([symbols[c] for c in s]): i for s, i in vocab.items()}
+        return Encoding("words", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            spelt = word.encode("utf-8").decode("latin-1").translate(self.spell)
-            ids = b"".join([self.id_bytes[t.id] for t in self.model.tokenize(spelt)])
+            if self.direct:
+                found = self.direct(word)
+            else:
+                found = [t.id for t in self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.spell))]
+            ids = b"".join([self.id_bytes[i] for i in found])
         if len(self) >= WORDS:
             self.older = dict(self)
             self.clear()
@@ -164,7 +189,7 @@ class Tokens(dict):
                 out.append(self.id_bytes[self.added[part]])
             else:
                 words = (_WORD if _RARE.search(part) else _COMMON).findall(part)
-                out.append(b"".join([self[w] for w in words]))
+                out.append(b"".join(map(self.__getitem__, words)))
         return b"".join(out)
 
 
