@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +41,67 @@ BITS = 18
 LOW = np.uint64(1 << 31)
 MAGIC = 0x31534E52
 WORDS = 350_000
+SLICE = 1 << 20
 
 # Below U+0250, and without the figures that aren't decimal, the standard library's classes say the same.
 _RARE = re.compile("[\xb2\xb3\xb9\xbc-\xbe\x1c-\x1f\u0250-\U0010ffff]")
 _COMMON = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_BEYOND = re.compile("[\u0250-\U0010ffff]")
+_BETWEEN = re.compile("[A-Za-z](?= [A-Za-z])")
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+SPACE, LETTER, FIGURE, OTHER = range(4)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Kind of each code point below U+0250."""
+    figures = [regex.match(r"(\s)|(\p{L})|(\p{N})|(.)", chr(i)).lastindex - 1 for i in range(0x250)]
+    return np.array(figures, dtype=np.uint8)
+
+
+def word_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Where ``_WORD`` begins its matches: a flag for each code point (all below U+0250).
+
+    ``firsts`` are the places at which the pieces begin that are cut apart.
+    A run of one kind is a word. The last white space before a word stands
+    alone, or with the word if it is a space.
+    """
+    n, kind = len(points), _kinds()[points]
+    new = np.zeros(n + 3, dtype=bool)
+    new[firsts] = True
+    new[n:] = True
+    start = new.copy()
+    start[1:n] |= kind[1:] != kind[:-1]
+    after = np.flatnonzero(start[1:n] & ~new[1:n] & (kind[1:] != SPACE) & (kind[:-1] == SPACE)) + 1
+    start[after - 1] = True
+    start[after[points[after - 1] == 32]] = False
+    # A contraction ends after its letters, whatever follows.
+    mark = np.flatnonzero((points == 39) & start[:n])
+    ahead = np.concatenate([points, np.zeros(3, dtype=points.dtype)])
+    one, two = ahead[mark + 1], ahead[mark + 2]
+    short = np.isin(one, [ord(c) for c in "stmd"]) & ~new[mark + 1]
+    long = ((one == ord("l")) & (two == ord("l"))) | (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")))
+    long &= ~new[mark + 1] & ~new[mark + 2]
+    start[mark[short | long] + 1] = False
+    start[mark[short] + 2] = True
+    start[mark[long] + 3] = True
+    return start[:n]
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A long text in pieces of about ``SLICE``, cut where a letter, a space and a letter follow each other."""
+    at = 0
+    while len(text) - at > SLICE:
+        found = _BETWEEN.search(text, at + SLICE)
+        if not found:
+            break
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:]
+
+
 class Frequencies:
     """Counts scaled to a sum of 2 ** BITS, at least 1 for each symbol seen."""
 
@@ -192,6 +247,48 @@ class Tokens(dict):
                 out.append(b"".join(map(self.__getitem__, words)))
         return b"".join(out)
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Bytes of the ids of each text; distinct words of a slice of texts are looked up once."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if not text.isascii() and _BEYOND.search(text) or self.cut and "<" in text and self.cut.search(text):
+                out[i].append(self.encode(text))
+                continue
+            for piece in _pieces(text):
+                held.append((i, piece))
+                size += len(piece)
+                if size >= SLICE:
+                    self._slice(held, out)
+                    held, size = [], 0
+        self._slice(held, out)
+        return [b"".join(o) for o in out]
+
+    def _slice(self, held: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+        text = "".join([piece for _, piece in held])
+        if not text:
+            return
+        lengths = np.array([len(piece) for _, piece in held])
+        ends = np.cumsum(lengths)
+        points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        at = np.flatnonzero(word_starts(points, (ends - lengths)[lengths > 0]))
+        raw = text.encode("utf-8")
+        place = at if len(raw) == len(text) else (np.cumsum(1 + (points > 0x7F)) - 1 - (points > 0x7F))[at]
+        offsets = np.append(place, len(raw)).astype(np.int64)
+        coded = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+        found = [self[word] for word in coded.dictionary.to_pylist()]
+        ids, sizes = np.frombuffer(b"".join(found), dtype="<u2"), np.array([len(f) // 2 for f in found])
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        after = np.cumsum(n)
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[word] - (after - n), n) + np.arange(after[-1])]
+        borders = np.concatenate([[0], after])[np.searchsorted(at, ends)]
+        first = 0
+        for (i, _), border in zip(held, borders.tolist(), strict=True):
+            out[i].append(ids[first:border].tobytes())
+            first = border
+
 
 @lru_cache(maxsize=2)
 def _tokens(path: str) -> Tokens:
@@ -210,7 +307,7 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             nonlocal before
-            ids = [tokens.encode(t or "") + mark for t in pdf["text"]]
+            ids = [i + mark for i in tokens.encode_all([t or "" for t in pdf["text"]])]
             n = np.array([len(i) // 2 for i in ids], dtype=np.int64)
             out = pd.DataFrame({"start": before + np.cumsum(n) - n, "n": n, "ids": ids})
             before += int(n.sum())
