@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -415,3 +416,27 @@ def test_repeated_ids_and_clashing_names(spark):
     unique = exact_dedup.unique(docs)
     assert unique.columns == docs.columns
     assert sorted(r["doc_id"] for r in unique.collect()) == [5, 5, 6, 7]
+
+
+def test_words_of_a_batch_are_those_of_each_text(monkeypatch):
+    """Words cut side by side, in short slices, have the ids that the library gives each text."""
+    tokens = rans.Tokens(vocabulary("byte_bpe_50k.json"))
+    assert tokens.direct is not None
+    monkeypatch.setattr(rans, "SLICE", 60)
+    draw, signs = random.Random(3), "aAbet rin01é-='''stmdrevl 2²½ \n\t\r\x1c\x1f\xa0\x85 漢"
+    for _ in range(300):
+        texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 80))) for _ in range(draw.randint(0, 6))]
+        texts += ["", "x<|endoftext|> y", "it's we're" * 30]
+        for text, ids in zip(texts, tokens.encode_all(texts), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == tokens.library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_merges_not_in_order_of_ids_are_left_to_the_library(tmp_path):
+    with open(vocabulary("byte_bpe_50k.json")) as f:
+        stored = json.load(f)
+    stored["model"]["merges"] = stored["model"]["merges"][::-1]
+    path = tmp_path / "reversed.json"
+    path.write_text(json.dumps(stored))
+    tokens = rans.Tokens(str(path))
+    assert tokens.direct is None
+    assert np.frombuffer(tokens.encode("the words there"), "<u2").tolist() == tokens.library.encode("the words there", add_special_tokens=False).ids
