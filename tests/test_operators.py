@@ -526,3 +526,31 @@ def test_visible_agrees_with_codes(spark, profiles):
         for needed, least in access.CODES.items():
             want = rows(by_row.where(c("code") >= least).select("iri"))
             assert rows(access.visible(df, profiles, user, needed).select("iri")) == want, (user, needed)
+
+
+def test_escapes_and_blank_graphs_of_lines(spark):
+    """Escaped backslashes before letters, code points by number, blank graphs; bad escapes are no statements."""
+    literals = {
+        r"a\\r\r\\\\n\n": "a\\r\r\\\\n\n",
+        r"é \U0001F600 😀 \\u00e9 \\é": "é 😀 😀 \\u00e9 \\é",
+        r"say \"it\"\t\b\f\'": "say \"it\"\t\b\f'",
+        "a\x1fb\x02 c\x85": "a\x1fb\x02 c\x85",
+        "": "",
+    }
+    lines = [f'<http://s> <http://p> "{x}" .' for x in literals]
+    bad = [r'<s> <p> "\x" .', r'<s> <p> "\ud800" .', r'<s> <p> "\U00110000" .', '<s> <p> "a"b" .', "\x02<s> <p> <o> .", r'<s> <p> "a\" .']
+    others = [r"<http://é> <p> <> _:g .", "_:a <p> _:b <g\\u0031> . # note", '<s> <p> "x"@en _:h.', '<s> <p> "1"^^<dt> <g>.', "# none", " ", None]
+    got = ntriples.parse_lines(spark.createDataFrame([(x,) for x in lines + bad + others], "value string"), "d").collect()
+    assert [r["o"] for r in got[: len(lines)]] == list(literals.values())
+    assert all(r["s"] == "http://s" and r["graph"] == "d" and r["o_kind"] == "literal" for r in got[: len(lines)])
+    rejected = got[len(lines) : len(lines) + len(bad)]
+    assert [r["o"] for r in rejected] == bad and all(r["s"] is None and r["o_kind"] is None for r in rejected)
+    rest = [(r["graph"], r["s"], r["s_kind"], r["o"], r["o_kind"], r["o_dt"], r["o_lang"]) for r in got[len(lines) + len(bad) :]]
+    assert rest == [
+        ("_:g", "http://é", "iri", "", "iri", None, None),
+        ("g1", "a", "blank", "b", "blank", None, None),
+        ("_:h", "s", "iri", "x", "literal", None, "en"),
+        ("g", "s", "iri", "1", "literal", "dt", None),
+    ]
+    sound = ntriples.parse_lines(spark.createDataFrame([(x,) for x in lines + others], "value string"), "d")
+    assert ntriples.parse_lines(ntriples.format_lines(sound), "x").collect() == sound.collect()
