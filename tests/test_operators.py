@@ -554,3 +554,19 @@ def test_escapes_and_blank_graphs_of_lines(spark):
     ]
     sound = ntriples.parse_lines(spark.createDataFrame([(x,) for x in lines + others], "value string"), "d")
     assert ntriples.parse_lines(ntriples.format_lines(sound), "x").collect() == sound.collect()
+
+
+def test_namespaces_of_nested_declarations(spark):
+    """The nearest declaration counts; attributes with a prefix keep its namespace; unknown prefixes are errors."""
+    docs = [
+        ("a", '<x:a xmlns:x="u"><b xmlns="v" x:k="1" k="2"><x:c xmlns:x="w}"/><c xmlns=""/></b><x:d/></x:a>'),
+        ("b", "<x:a/>"),
+        ("c", None),
+    ]
+    df = spark.createDataFrame(docs, "doc string, xml string")
+    got = markup.to_ranges(df, "doc", "xml", namespaces=True).orderBy("doc", "tag_index").collect()
+    assert [(r["namespace"], r["tag"], r["parent"]) for r in got if r["doc"] == "a"] == [
+        ("u", "a", None), ("v", "b", 0), ("w}", "c", 1), ("", "c", 1), ("u", "d", 0)
+    ]
+    assert got[1]["attributes"] == {"{u}k": "1", "k": "2"} and got[0]["attributes"] == {}
+    assert all(r["error"] and r["tag"] is None for r in got if r["doc"] != "a")

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 # The word break put in after some tags, and the attributes of milestones.
 SEPARATOR = "\u001e"
 START_ID, END_ID = "sID", "eID"
+# No XML document holds this sign, so no namespace does.
+BETWEEN_NAMES = "\u001f"
 # HTML elements without content, and those whose content is not text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NO_TEXT = frozenset(("script", "style"))
@@ -85,7 +87,13 @@ class _Html(HTMLParser):
             self.ranges.text(data)
 
 
-def _parse(source: str, html: bool, separated: frozenset[str]) -> _Ranges:
+def _full_name(name: str) -> str:
+    """``{namespace}local`` from the parser's form of a name."""
+    namespace, _, local = name.rpartition(BETWEEN_NAMES)
+    return f"{{{namespace}}}{local}" if namespace else local
+
+
+def _parse(source: str, html: bool, separated: frozenset[str], namespaces: bool = False) -> _Ranges:
     ranges = _Ranges(separated)
     if html:
         parser = _Html(ranges)
@@ -94,19 +102,30 @@ def _parse(source: str, html: bool, separated: frozenset[str]) -> _Ranges:
         while ranges.open:
             ranges.close()
     else:
-        reader = expat.ParserCreate()
+        reader = expat.ParserCreate(namespace_separator=BETWEEN_NAMES if namespaces else None)
         reader.StartElementHandler, reader.EndElementHandler = ranges.start, ranges.end
+        if namespaces:
+            reader.StartElementHandler = lambda tag, found: ranges.start(_full_name(tag), {_full_name(k): v for k, v in found.items()})
+            reader.EndElementHandler = lambda tag: ranges.end(_full_name(tag))
         reader.CharacterDataHandler = ranges.text
         reader.Parse(source, True)
     return ranges
 
 
-def to_ranges(docs: DataFrame, doc: str, source: str, html: bool = False, separated: list[str] = ()) -> DataFrame:
+def to_ranges(
+    docs: DataFrame, doc: str, source: str, html: bool = False, separated: list[str] = (), namespaces: bool = False
+) -> DataFrame:
     """One row per tag; the row of tag 0 also has the plain text. A bad document gives one row with an error.
 
     XML must be well-formed; HTML is read leniently. ``separated`` names tags
-    after which a word break is put into the text.
+    after which a word break is put into the text. With ``namespaces`` (XML only)
+    a column ``namespace`` has what the nearest declaration around a tag gives its
+    prefix (empty without one), ``tag`` is the local name, attributes with a
+    prefix and ``separated`` are ``{namespace}name``, and declarations are no
+    attributes; a prefix without a declaration is an error.
     """
+    if html and namespaces:
+        raise ValueError("HTML has no namespaces")
     chosen = frozenset(separated)
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,7 +134,7 @@ def to_ranges(docs: DataFrame, doc: str, source: str, html: bool = False, separa
             rows = []
             for key, markup in zip(batch["doc"], batch["source"]):
                 try:
-                    found = _parse(markup or "", html, chosen)
+                    found = _parse(markup or "", html, chosen, namespaces)
                 except expat.ExpatError as e:
                     rows.append((key, None, None, None, None, None, None, None, str(e)))
                     continue
@@ -129,7 +148,11 @@ def to_ranges(docs: DataFrame, doc: str, source: str, html: bool = False, separa
                 out[c] = out[c].astype("Int32")
             yield out
 
-    return docs.select(F.col(doc).cast("string").alias("doc"), F.col(source).alias("source")).mapInPandas(convert, RANGES)
+    ranges = docs.select(F.col(doc).cast("string").alias("doc"), F.col(source).alias("source")).mapInPandas(convert, RANGES)
+    if not namespaces:
+        return ranges
+    split = r"^(?:\{(.*)\})?([^}]*)$"
+    return ranges.withColumns({"namespace": F.regexp_extract("tag", split, 1), "tag": F.regexp_extract("tag", split, 2)})
 
 
 def pair_milestones(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -200,6 +200,38 @@ def _(g):
     return markup.to_ranges(g.pages, "page_id", "html", html=True)
 
 
+_NESTED = """SELECT p_partkey, p_type, p_size, 'http://one/' || CAST(p_size % 2 AS STRING) AS one FROM part"""
+
+
+@query(
+    "m01_namespaces_to_typed_tags",
+    f"""WITH x AS ({_NESTED}), named AS (SELECT p_partkey, 0 AS tag_index, one AS namespace, 'doc' AS tag, NULL AS number FROM x
+    UNION ALL SELECT p_partkey, 1, one, p_type, p_size FROM x UNION ALL SELECT p_partkey, 2, 'http://two', p_type, NULL FROM x
+    UNION ALL SELECT p_partkey, 3, 'http://three', p_type, p_size + 1 FROM x UNION ALL SELECT p_partkey, 4, one, 'doc', NULL FROM x
+    UNION ALL SELECT p_partkey, 5, '', p_type, NULL FROM x)
+    SELECT CAST(p_partkey AS STRING) AS doc, CAST(tag_index AS INT) AS tag_index, namespace, tag, CAST(number AS INT) AS number,
+    CASE WHEN tag = 'doc' THEN '(none)' WHEN namespace = 'http://one/0' THEN 'One' || tag WHEN namespace = 'http://three' THEN 'Three' || tag ELSE '(none)' END AS cls FROM named""",
+)
+def _(g):
+    """Prefixes declared anew within, a default namespace and its end; mapped by namespace, with a number read from an attribute."""
+    size, kind = c("p_size").cast("string"), c("p_type")
+    xml = F.concat(
+        F.lit('<t:doc xmlns:t="http://one/'), (c("p_size") % 2).cast("string"), F.lit('"><t:'), kind, F.lit(' n="'), size, F.lit('"/><'), kind,
+        F.lit(' xmlns="http://two">a<t:'), kind, F.lit(' xmlns:t="http://three" n="'), (c("p_size") + 1).cast("string"),
+        F.lit('"/><t:doc>b</t:doc></'), kind, F.lit("><"), kind, F.lit("/></t:doc>"),
+    )
+    ranges = markup.to_ranges(g.part.select("p_partkey", xml.alias("xml")), "p_partkey", "xml", namespaces=True)
+    tags = ranges.select(F.struct("doc", "tag_index").alias("id"), "doc", "tag_index", "namespace", "tag", F.lit("").alias("css_class"), "attributes")
+    names = g.part.select(c("p_type").alias("tag")).distinct()
+    rule = lambda namespace, first: names.select(F.lit(namespace).alias("namespace"), "tag", F.lit("").alias("css_class"), F.concat(F.lit(first), "tag").alias("cls"))
+    mapped, lacking = markup.map_tags(tags, rule("http://one/0", "One").union(rule("http://three", "Three")))
+    columns = ["id", "doc", "tag_index", "namespace", c("tag").alias("name"), "attributes"]
+    known = mapped.select(*columns, "cls").union(lacking.select(*columns, F.lit("(none)")))
+    values = known.select(c("id").alias("tag"), F.explode("attributes").alias("name", "value"))
+    typed = markup.typed_tags(known.select(c("id").alias("tag"), "doc", "tag_index", "namespace", "name", "cls"), values, {"number": ("n", "int")})
+    return typed.select("doc", "tag_index", "namespace", c("name").alias("tag"), "number", "cls")
+
+
 @query("m02_xml_round_trip", "SELECT CAST(doc_id AS STRING) AS doc, TRUE AS same FROM documents")
 def _(g):
     docs = _xml_documents(g)
