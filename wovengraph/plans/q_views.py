@@ -308,6 +308,19 @@ def _(g):
     return markup.inline_diffs(pairs, markup.text_diffs(pairs))
 
 
+_SIZES = "(SELECT CAST(p_partkey AS STRING) AS pair, CAST(length(split_part(p_name, ' ', 1)) AS INT) + 1 AS n, CAST(length(p_name) AS INT) AS whole FROM part)"
+
+
+@query(
+    "m05_diff_positions",
+    f"""SELECT pair, 0 AS seq, 'equal' AS op, 0 AS base_start, n AS base_end, 0 AS derived_start, n AS derived_end FROM {_SIZES} x
+    UNION ALL SELECT pair, 1, 'delete', n, whole, n, n FROM {_SIZES} x UNION ALL SELECT pair, 2, 'insert', whole, whole, n, n + 1 FROM {_SIZES} x""",
+)
+def _(g):
+    first = F.split_part("p_name", F.lit(" "), F.lit(1))
+    return markup.text_diffs(g.part.select(c("p_partkey").alias("pair"), c("p_name").alias("base"), F.concat(first, F.lit(" &")).alias("derived")))
+
+
 @query("m07_link_targets", "SELECT DISTINCT txt, link_target FROM tags WHERE link_target IS NOT NULL")
 def _(g):
     return markup.link_targets(g.tags, "txt", "link_target")
