@@ -549,6 +549,17 @@ def test_subject_view_parts(spark):
     assert sorted(len(r["statements"]) for r in got) == [5, 10, 10]
 
 
+def test_subject_view_keeps_each_statement_once_in_order(spark):
+    data = [("a", f"p{i % 25:02}", "o") for i in range(50)] + [("b", "q", o) for o in "cabca"] + [(None, "q", "x")]
+    df = spark.createDataFrame(data, "s string, p string, o string")
+    got = sorted((r["s"] or "", r["part"], [tuple(x) for x in r["statements"]]) for r in sinks.subject_view(df, part_rows=10).collect())
+    want = [(s, k, sorted({(p, o) for t, p, o in data if (t or "") == s})[10 * k : 10 * k + 10]) for s, n in (("", 1), ("a", 3), ("b", 1)) for k in range(n)]
+    assert got == want
+    # Subjects that fill one part are not numbered: no window, no table of distinct statements.
+    small = spark.createDataFrame(data[50:], "s string, p string, o string")
+    assert "Window" not in sinks.subject_view(small)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_visible_agrees_with_codes(spark, profiles):
     strings = ["CR Creator|V ProjectMember", "RV ProjectMember|V UnknownUser", "D OtherMember", "M KnownUser|CR UnknownUser", "V XProjectMember,ProjectMember"]
     data = [(f"{i}{cr}{p}", cr, p, s) for i, s in enumerate(strings) for cr in ("m", "x") for p in ("p1", "p2")]

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wovengraph.operators.ordering import PART_ROWS, first_n, listed
-from wovengraph.session import settle
 
 
 def subject_view(statements: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """All statements of each subject in order: (s, part, statements)."""
-    return listed(settle(statements.select("s", "p", "o").distinct()), ["s"], ["p", "o"], F.struct("p", "o"), "statements", part_rows)
+    return listed(statements, ["s"], ["p", "o"], None, "statements", part_rows, distinct=True)
 
 
 def catalogue(projects: DataFrame, datasets: DataFrame, files: DataFrame, limit: int | None = None, part_rows: int = PART_ROWS) -> DataFrame:
