@@ -560,6 +560,14 @@ def test_subject_view_keeps_each_statement_once_in_order(spark):
     assert "Window" not in sinks.subject_view(small)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_objects_named_by_all_count_once_before_the_join(spark):
+    triples = spark.createDataFrame([("g", f"s{i}", "p", "hub" if i % 10 else f"s{i + 1}", "iri") for i in range(200)], "graph string, s string, p string, o string, o_kind string")
+    entities = spark.createDataFrame([("hub",), ("s1",), ("s2",)], "entity string")
+    found = pattern.used_as_object(entities, triples)
+    assert rows(found) == [("hub",), ("s1",)]
+    assert "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_visible_agrees_with_codes(spark, profiles):
     strings = ["CR Creator|V ProjectMember", "RV ProjectMember|V UnknownUser", "D OtherMember", "M KnownUser|CR UnknownUser", "V XProjectMember,ProjectMember"]
     data = [(f"{i}{cr}{p}", cr, p, s) for i, s in enumerate(strings) for cr in ("m", "x") for p in ("p1", "p2")]

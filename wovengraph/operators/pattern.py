@@ -159,11 +159,14 @@ def expand_links(links: DataFrame, resources: DataFrame) -> DataFrame:
 
 
 def used_as_object(entities: DataFrame, triples, ignoring: list[str] = ()) -> DataFrame:
-    """Entities (column ``entity``) that any statement refers to."""
+    """Entities (column ``entity``) that any statement refers to.
+
+    Every object counts once: a task drops its repeats before they are dealt out, so one that all statements name fills no task.
+    """
     uses = statements(triples).where(F.col("o_kind") == "iri")
     if ignoring:
         uses = uses.where(~F.col("p").isin(list(ignoring)))
-    return entities.join(uses.select(F.col("o").alias("entity")), "entity", "left_semi")
+    return entities.join(uses.select(F.col("o").alias("entity")).distinct(), "entity", "left_semi")
 
 
 def best_label(labels: DataFrame, preferred: str, fallback: str) -> DataFrame:
