@@ -369,6 +369,21 @@ def test_token_index_with_parts(spark, tmp_path):
     assert len(at.scan([("abc", "abc")]).inputFiles()) == low
 
 
+def test_token_index_changes_in_one_pass_and_merges_only_parts(spark, tmp_path):
+    from wovengraph.operators import tokenindex
+
+    entries = lambda *rows: spark.createDataFrame(rows, "token string, resource string, value string")
+    old = entries(("red", "a", ""), ("hat", "a", "a/1"), ("red", "b", ""))
+    index = tokenindex.TokenIndex(spark, str(tmp_path / "index"), 2).build(old)
+    assert "RepartitionByExpression" not in index.search("red hat")._jdf.queryExecution().optimizedPlan().toString()
+    added = []
+    index._add, add = (lambda rows, version: (added.append(rows), add(rows, version))), index._add
+    index.change(old, entries(("red", "a", ""), ("cap", "a", "a/1")))
+    assert rows(added[0].select("token", "resource", "value", "removed")) == [("cap", "a", "a/1", False), ("hat", "a", "a/1", True), ("red", "b", "", True)]
+    assert added[0]._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    assert rows(index.search("red")) == [("a", "")] and index.search("hat").isEmpty() and rows(index.search("ca", typing=True)) == [("a", "a/1")]
+
+
 # Access.
 
 

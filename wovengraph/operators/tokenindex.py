@@ -69,9 +69,9 @@ class TokenIndex:
 
     def change(self, before: DataFrame, after: DataFrame) -> TokenIndex:
         """A part with what differs between the entries of some texts before and after an edit."""
-        old, new = before.select(*ENTRY), after.select(*ENTRY)
-        gone, come = old.exceptAll(new).withColumn("removed", F.lit(True)), new.exceptAll(old).withColumn("removed", F.lit(False))
-        self._add(gone.unionByName(come), self.newest() + 1)
+        both = before.select(*ENTRY, F.lit(-1).alias("_by")).union(after.select(*ENTRY, F.lit(1)))
+        differ = both.groupBy(*ENTRY).agg(F.sum("_by").alias("_by")).where("_by <> 0")
+        self._add(differ.select(*ENTRY, (F.col("_by") < 0).alias("removed")), self.newest() + 1)
         return self
 
     def _current(self, rows: DataFrame) -> DataFrame:
@@ -101,7 +101,8 @@ class TokenIndex:
         if not terms:
             return self.spark.createDataFrame([], "resource string, value string")
         spans = [(t, t + _LAST if typing and k == len(terms) - 1 else t) for k, t in enumerate(terms)]
-        held = self._current(self.scan(spans))
+        # A single part has nothing to merge; what follows names each text once.
+        held = self._current(self.scan(spans)) if self.newest() else self.scan(spans)
         if mode == "or":
             return held.select("resource", "value").distinct()
         tests = [F.col("token") == low if low == high else F.col("token").startswith(low) for low, high in spans]
