@@ -467,6 +467,26 @@ def test_rules_by_hand_and_each_statement_moved_once(spark):
     assert "anti" not in every._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_added_statements_meet_only_what_bears_on_their_nodes(spark):
+    rng = random.Random(9)
+    below = [("A", "B"), ("B", "C"), ("D", "C")], [("p", "q"), ("q", "r"), ("kind", "type"), ("u", "kind")]
+    classes, props = (closure.ancestors(edges(spark, e)).select("node", "ancestor") for e in below)
+    pairs = lambda rows: spark.createDataFrame(rows, "prop string, cls string")
+    rules = inference.compile_rules(classes, props, pairs([("q", "A"), ("w", "D"), ("kind", "E")]), pairs([("r", "B"), ("p", "F")]))
+    node = lambda n: f"n{rng.randrange(n)}"
+    said = lambda n: (node(n), rng.choice(["p", "q", "w", "x", "kind", "u"]), node(n), rng.choice(["iri", "literal"]))
+    kinds = lambda n: [(node(n), "type", rng.choice("ABDXF"), "iri") for _ in range(8)]
+    table = lambda data: spark.createDataFrame([("g", *r) for r in data], "graph string, s string, p string, o string, o_kind string")
+    new = [*[said(8) for _ in range(25)], *kinds(8), ("n1", "p", None, "iri")]
+    old = [*[said(30) for _ in range(90)], *kinds(30), *new[:3], ("n1", "q", None, "iri"), (None, "p", "n2", "iri")]
+    far = [("z1", "p", "z2", "iri"), ("z3", "type", "A", "iri")]
+    plain = lambda df: sorted(map(str, df.collect()))
+    want = plain(inference.infer_added(table(new), inference.apply_rules(table(old), rules), rules))
+    assert len(want) > 20
+    assert plain(inference.infer_new(table(new), table(old), rules)) == want
+    assert plain(inference.infer_new(table(new), table(old + far), rules)) == want
+
+
 def test_double_edit_is_rejected(spark):
     state = spark.createDataFrame([("v", None, True, False, "old")], "iri string, prev_value string, is_current boolean, is_deleted boolean, body string")
     batch = spark.createDataFrame([("v", "v1", "a"), ("v", "v2", "b")], "iri string, new_iri string, body string")
