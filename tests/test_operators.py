@@ -512,6 +512,16 @@ def test_repeats_in_a_batch_are_rejected(spark):
 # Mark-up.
 
 
+def test_markup_rows_are_handed_on_in_bounded_batches():
+    schema = markup.pa.schema([("doc", markup.pa.string()), ("text", markup.pa.string())])
+    texts = [("d", "x" * 1000) for _ in range(10_000)] + [("e", None)] * 40_000
+    got = list(markup._held(iter(texts), schema))
+    assert [r for b in got for r in zip(*b.to_pydict().values())] == texts
+    assert max(b.num_rows for b in got) <= markup.HELD_ROWS
+    assert max(sum(len(t or "") for t in b.to_pydict()["text"]) for b in got) <= markup.HELD_CHARS + 1000
+    assert list(markup._held(iter([]), schema)) == []
+
+
 def test_markup_round_trip_with_milestones(spark):
     xml = '<doc><p>a <b id="x">bold</b> &amp; <hi sID="1"/>over</p><p>lap<hi eID="1"/> end<br/></p></doc>'
     docs = spark.createDataFrame([("d", xml), ("bad", "<a><b></a>")], "doc string, xml string")

@@ -15,6 +15,7 @@ from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,34 @@ RANGES = (
     "doc string, text string, tag string, start_pos int, end_pos int, tag_index int, parent int, "
     "attributes map<string,string>, error string"
 )
+RANGES_ARROW = pa.schema(
+    [
+        *((name, pa.string()) for name in ("doc", "text", "tag")),
+        *((name, pa.int32()) for name in ("start_pos", "end_pos", "tag_index", "parent")),
+        ("attributes", pa.map_(pa.string(), pa.string())),
+        ("error", pa.string()),
+    ]
+)
+# What a task holds before it hands rows on.
+HELD_ROWS, HELD_CHARS = 1 << 14, 1 << 22
+
+
+def _held(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of bounded weight, whatever number of them a document gives."""
+    held, chars = [], 0
+
+    def batch() -> pa.RecordBatch:
+        columns = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        chars += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) >= HELD_ROWS or chars >= HELD_CHARS:
+            yield batch()
+            held, chars = [], 0
+    if held:
+        yield batch()
 
 
 class _Ranges:
@@ -128,27 +157,25 @@ def to_ranges(
         raise ValueError("HTML has no namespaces")
     chosen = frozenset(separated)
 
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc", "text", "tag", "start_pos", "end_pos", "tag_index", "parent", "attributes", "error"]
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            rows = []
-            for key, markup in zip(batch["doc"], batch["source"]):
+            for key, markup in zip(batch["doc"], batch["source"], strict=True):
+                key = key.as_py()
                 try:
-                    found = _parse(markup or "", html, chosen, namespaces)
+                    ranges = _parse(markup.as_py() or "", html, chosen, namespaces)
                 except expat.ExpatError as e:
-                    rows.append((key, None, None, None, None, None, None, None, str(e)))
+                    yield key, None, None, None, None, None, None, None, str(e)
                     continue
-                text = "".join(found.parts)
-                if not found.tags:
-                    rows.append((key, text, None, None, None, None, None, None, "no tags"))
-                for i, (tag, start, end, parent, attributes) in enumerate(found.tags):
-                    rows.append((key, None if i else text, tag, start, end, i, parent, attributes, None))
-            out = pd.DataFrame(rows, columns=columns)
-            for c in ("start_pos", "end_pos", "tag_index", "parent"):
-                out[c] = out[c].astype("Int32")
-            yield out
-
-    ranges = docs.select(F.col(doc).cast("string").alias("doc"), F.col(source).alias("source")).mapInPandas(convert, RANGES)
+                text = "".join(ranges.parts)
+                if not ranges.tags:
+                    yield key, text, None, None, None, None, None, None, "no tags"
+                for i, (tag, start, end, parent, attributes) in enumerate(ranges.tags):
+                    yield key, None if i else text, tag, start, end, i, parent, list(attributes.items()), None
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _held(found(batches), RANGES_ARROW)
+
+    ranges = docs.select(F.col(doc).cast("string").alias("doc"), F.col(source).alias("source")).mapInArrow(convert, RANGES)
     if not namespaces:
         return ranges
     split = r"^(?:\{(.*)\})?([^}]*)$"
@@ -250,18 +277,17 @@ def to_xml(ranges: DataFrame) -> DataFrame:
     tag = F.struct("tag", "start_pos", "end_pos", "tag_index", "parent", "attributes")
     docs = ranges.where("tag IS NOT NULL").groupBy("doc").agg(F.max("text").alias("text"), F.collect_list(tag).alias("tags"))
 
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            rows = []
-            for key, text, tags in zip(batch["doc"], batch["text"], batch["tags"]):
-                clean = [{**t, "parent": None if pd.isna(t["parent"]) else int(t["parent"])} for t in tags]
+            for row in zip(batch["doc"], batch["text"], batch["tags"], strict=True):
+                key, text, tags = (x.as_py() for x in row)
                 try:
-                    rows.append((key, _write(text or "", clean), None))
+                    yield key, _write(text or "", tags), None
                 except ValueError as e:
-                    rows.append((key, None, str(e)))
-            yield pd.DataFrame(rows, columns=["doc", "xml", "error"])
+                    yield key, None, str(e)
 
-    return docs.mapInPandas(convert, "doc string, xml string, error string")
+    schema = pa.schema([(name, pa.string()) for name in ("doc", "xml", "error")])
+    return docs.mapInArrow(lambda batches: _held(written(batches), schema), "doc string, xml string, error string")
 
 
 def changed_tags(old: DataFrame, new: DataFrame) -> DataFrame:
