@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -236,3 +237,18 @@ def test_learned_weights_on_pages_without_hints(spark):
         want, got = Counter(whole[r["id"]].split()), Counter(r["text"].split())
         share.append(2 * sum((want & got).values()) / (sum(want.values()) + sum(got.values())))
     assert np.mean(share) > 0.95
+
+
+def test_trie_walks_in_strides():
+    rng = np.random.default_rng(1)
+    rows = np.unique(rng.integers(0, 50, (2000, 3)).astype(np.int32), axis=0)
+    flat = np.concatenate([rng.integers(-1, 50, 1 << 20).astype(np.int32), np.full(3, -1, dtype=np.int32)])
+    trie = collocations.DoubleArray(rows)
+    tracemalloc.start()
+    at, row = trie.walk(flat, 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    place = {tuple(r): i for i, r in enumerate(rows.tolist())}
+    found = [(i, place[t]) for i, t in enumerate(zip(*(flat[k : k + (1 << 20)].tolist() for k in range(3)), strict=True)) if t in place]
+    assert list(zip(at.tolist(), row.tolist(), strict=True)) == found
+    assert most < 24 * len(flat)

@@ -34,6 +34,7 @@ BLOCK = 1 << 18  # phrases in one trie
 WORDS = 1 << 20  # words in one broadcast dictionary
 SHARD = 1 << 21  # text positions counted together
 HELD = 1 << 17  # distinct words a task holds before it passes their counts on
+STRIDE = 1 << 17  # text positions walked at once
 CHUNK = 1 << 20  # bytes of a text cut at once
 BATCH = 1 << 16  # rows handed on at once
 DIGIT = 10  # bits of a trie's symbol; a word's number takes two or three
@@ -208,8 +209,15 @@ class DoubleArray:
             self.row[slots[above]] = order
 
     def walk(self, flat: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of ``flat`` where a row begins, and which one. ``flat`` ends with ``depth`` times -1."""
-        at = np.flatnonzero(flat >= 0)
+        """Positions of ``flat`` where a row begins, and which one. ``flat`` ends with ``depth`` times -1.
+
+        ``STRIDE`` positions are walked at a time, so what a walk holds beside its result doesn't grow with ``flat``.
+        """
+        known = np.flatnonzero(flat >= 0).astype(np.int32)
+        parts = [self._walk(flat, known[at : at + STRIDE].astype(np.int64), depth) for at in range(0, max(1, len(known)), STRIDE)]
+        return np.concatenate([at for at, _ in parts]), np.concatenate([row for _, row in parts])
+
+    def _walk(self, flat: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         state = np.zeros(len(at), dtype=np.int64)
         for step in range(depth):
             good = (flat[at + step] >= 0) & (flat[at + step] <= self.top)
@@ -220,7 +228,7 @@ class DoubleArray:
                 at, state, to = at[good], state[good], to[good]
                 good = self.check[to] == state
                 at, state = at[good], to[good]
-        return at, self.row[state]
+        return at.astype(np.int32), self.row[state]
 
 
 def _pass(corpus: DataFrame, trie: DoubleArray | None, size: int, depth: int, grow: bool, only: bool) -> str:
@@ -243,11 +251,13 @@ def _pass(corpus: DataFrame, trie: DoubleArray | None, size: int, depth: int, gr
 
         def shard(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             flat = np.concatenate([*parts, np.full(depth + 1, -1, dtype=np.int32)])
-            at = np.flatnonzero(flat >= 0)
-            row = flat[at]
+            parts.clear()
             if trie:
                 at, row = trie.walk(flat, depth)
                 counts[:] += np.bincount(row, minlength=size)
+            else:
+                at = np.flatnonzero(flat >= 0).astype(np.int32)
+                row = flat[at]
             if grow:
                 word = flat[at + depth]
                 good = word >= 0
@@ -255,7 +265,14 @@ def _pass(corpus: DataFrame, trie: DoubleArray | None, size: int, depth: int, gr
                     held = np.zeros(len(flat), dtype=bool)
                     held[at] = True
                     good &= held[at + 1]
-                keys, n = np.unique(row[good].astype(np.int64) << 32 | word[good], return_counts=True)
+                keys = row[good].astype(np.int64)
+                keys <<= 32
+                keys |= word[good]
+                del flat, at, row, word, good
+                # Sorted where they stand: counting holds no second copy of what isn't distinct.
+                keys.sort()
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+                n, keys = np.diff(np.append(first, len(keys))), keys[first]
                 yield from rows(keys >> 32, (keys & 0xFFFFFFFF).astype(np.int32), n)
 
         parts, held = [], 0
