@@ -512,6 +512,14 @@ def test_repeats_in_a_batch_are_rejected(spark):
 # Mark-up.
 
 
+def test_tags_are_parsed_once_for_both_results_of_a_mapping(spark):
+    docs = spark.createDataFrame([("d", "<a><b/></a>")], "doc string, xml string")
+    tags = markup.to_ranges(docs, "doc", "xml", namespaces=True).withColumn("css_class", F.lit(""))
+    mapped, lacking = markup.map_tags(tags, spark.createDataFrame([("", "a", "", "A")], "namespace string, tag string, css_class string, cls string"))
+    assert rows(mapped.select("tag", "cls")) == [("a", "A")] and rows(lacking.select("tag")) == [("b",)]
+    assert "MapInArrow" not in mapped.union(lacking.withColumn("cls", F.lit(None)))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_markup_rows_are_handed_on_in_bounded_batches():
     schema = markup.pa.schema([("doc", markup.pa.string()), ("text", markup.pa.string())])
     texts = [("d", "x" * 1000) for _ in range(10_000)] + [("e", None)] * 40_000

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wovengraph.session import settle
+
 # The word break put in after some tags, and the attributes of milestones.
 SEPARATOR = "\u001e"
 START_ID, END_ID = "sID", "eID"
@@ -373,6 +375,8 @@ def link_targets(tags: DataFrame, text: str, target: str) -> DataFrame:
 
 def map_tags(tags: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tags with their mapped class, and those the mapping lacks; mapping: (namespace, tag, css_class, cls)."""
+    # Both results read the tags, which may come from a parser: it runs once.
+    tags = settle(tags)
     keys = ["namespace", "tag", "css_class"]
     rules = mapping.select(*keys, "cls")
     return tags.join(rules, keys), tags.join(rules, keys, "left_anti")
