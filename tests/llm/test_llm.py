@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from wovengraph.llm import bpe, exact_dedup, hyperplanes, jaccard, language, licences, packing, quality, rans, resharding
+from wovengraph.llm import bpe, common, exact_dedup, hyperplanes, jaccard, language, licences, packing, quality, rans, resharding
 from wovengraph.llm.common import components, numbered
 from wovengraph.llm.queries import vocabulary
 
@@ -440,3 +441,52 @@ def test_merges_not_in_order_of_ids_are_left_to_the_library(tmp_path):
     tokens = rans.Tokens(str(path))
     assert tokens.direct is None
     assert np.frombuffer(tokens.encode("the words there"), "<u2").tolist() == tokens.library.encode("the words there", add_special_tokens=False).ids
+
+
+# Sets alike but not linked, and what is left on disk.
+
+
+def test_jaccard_alike_but_not_linked(spark, monkeypatch):
+    """Each text of a group keeps 35 of 50 words in a row and has own ones after them: all share regions, few are linked."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(50)]
+    texts = [base[: 35 if i % 40 else 49] + [f"x{rng.randrange(10**9)}" for _ in range(15 if i % 40 else 1)] for i in range(400)]
+    for t in texts[1::2]:
+        t[3:15] = base[4:16]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    checked, linked = [], jaccard._linked
+
+    def counted(pairs, whole, percent):
+        checked.append(pairs.count())
+        return linked(pairs, whole, percent)
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs, 1, 85).collect()}
+    sets, up = [frozenset(t) for t in texts], list(range(400))
+    for a in range(400):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                up = [min(up[a], up[b]) if x in (up[a], up[b]) else x for x in up]
+    assert got == dict(enumerate(up))
+    assert len(set(up)) < 400 and sum(checked) < 4000
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    sets = [rng.choice(pool, n, replace=False) for n in (0, 1, 5, 60, 700, 2500, 2990) for _ in range(3)]
+    bits = jaccard.sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)])).view(np.uint64)
+    for a, x in zip(sets, bits, strict=True):
+        for b, y in zip(sets, bits, strict=True):
+            apart = len(set(a.tolist()) ^ set(b.tolist()))
+            assert int(np.bitwise_count(x ^ y).sum()) <= apart and (apart > 5 or int(np.bitwise_count(x ^ y).sum()) % 2 == apart % 2)
+
+
+def test_jaccard_leaves_little_on_disk(spark, tmp_path, monkeypatch):
+    folders = itertools.count()
+    monkeypatch.setattr(common, "shared_folder", lambda session: f"{tmp_path}/{next(folders)}")
+    words = [f"a{i} b c d{i % 9} e f g h i{i % 4} j k l m n o p" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert jaccard.jaccard_components(docs).count() == 300
+    columns = [set(spark.read.parquet(str(p)).columns) for p in tmp_path.iterdir()]
+    assert columns and not [x for x in columns if x & {"keys", "sketch", "elements", "key"}]

@@ -19,8 +19,10 @@ everything on a border. Regions are therefore made in two levels:
 A pair is taken up where its first common pivot stands early enough in both sets
 for the threshold, which also bounds sizes by the triangle inequality. Regions it
 shares later are passed over if the few pivots just before are common already, so
-rows carry a bounded list and never their whole window. What remains is compared
-with whole sets. Identical sets are one class from the start. Sets are compared by
+rows carry a bounded list and never their whole window. In the regions of level 2,
+where many texts may be alike without being linked, rows also carry the parities of
+their sets in ``8 * 64`` bins: sets differ in at least as many elements as bins, and
+linked ones in few. That bound loses no link. What remains is compared with whole sets. Identical sets are one class from the start. Sets are compared by
 64-bit hashes of their shingles.
 
 Most shingles open a region for one document only, and most texts are in no pair.
@@ -38,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wovengraph.llm.common import components, mapped, settle
+from wovengraph.llm.common import Tables, components, mapped, settle
 from wovengraph.llm.shingles import mixed, shingle_sets
 
 LARGE = 8
@@ -47,6 +49,8 @@ COMMON = 16
 ORDERED = 200_000
 BITS = 27
 BEFORE = 3
+WORDS = 8  # 64-bit words of a sketch
+SHIFT = 64 - (64 * WORDS - 1).bit_length()
 
 
 def window(size: int, percent: int) -> int:
@@ -55,7 +59,7 @@ def window(size: int, percent: int) -> int:
 
 
 def windows(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """id, mark (hash of the text), n, d1, d2 (digest of the set), keys: the window of each set, shingles in ``common`` last."""
+    """id, mark (hash of the text), n, d1, d2 (digest of the set), keys: the window of each set, shingles in ``common`` last; sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():
@@ -67,6 +71,7 @@ def windows(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Da
                 every = np.concatenate(chunk)
                 ends = np.cumsum([0, *map(len, chunk)])
                 d1, d2 = (_sums(mixed(every ^ np.uint64(x)), ends) for x in (0, 0x5555))
+                marks = sketches(every, ends)
                 held = np.zeros(len(every), dtype=np.int64)
                 if len(last):
                     at = np.minimum(np.searchsorted(last, every), len(last) - 1)
@@ -75,12 +80,12 @@ def windows(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Da
                 for k, own in enumerate(chunk):
                     keep = window(len(own), percent)
                     keys = own[np.argsort(held[ends[k] : ends[k + 1]], kind="stable")[:keep]] if late[k] else own[:keep].copy()
-                    rows.append((len(own), d1[k], d2[k], keys.view(np.int64)))
-            return pd.DataFrame(rows, columns=["n", "d1", "d2", "keys"])
+                    rows.append((len(own), d1[k], d2[k], keys.view(np.int64), marks[k]))
+            return pd.DataFrame(rows, columns=["n", "d1", "d2", "keys", "sketch"])
 
         return one
 
-    return mapped(docs.select("id", _mark().alias("mark"), "text"), ["id", "mark"], make, "n long, d1 long, d2 long, keys array<long>")
+    return mapped(docs.select("id", _mark().alias("mark"), "text"), ["id", "mark"], make, "n long, d1 long, d2 long, keys array<long>, sketch array<long>")
 
 
 def _mark() -> Column:
@@ -94,6 +99,15 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (total[ends[1:]] - total[ends[:-1]]).view(np.int64)
 
 
+def sketches(every: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each set between neighbouring ends, ``WORDS`` words of bits: whether a bin holds an odd number of its elements."""
+    at = (mixed(every ^ np.uint64(0x3C3C)) >> np.uint64(SHIFT)).astype(np.int64)
+    own = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    out = np.zeros(WORDS * (len(ends) - 1), dtype=np.uint64)
+    np.bitwise_xor.at(out, own * WORDS + (at >> 6), np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)))
+    return out.view(np.int64).reshape(-1, WORDS)
+
+
 def common_keys(found: DataFrame) -> np.ndarray:
     """The shingles in the most windows (a list of fixed size: it only sets the order), sorted by key."""
     counts = found.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -175,6 +189,16 @@ def _meeting(a: str, b: str, percent: int) -> Column:
     return (F.col(f"{a}.key") == F.col(f"{b}.key")) & ((100 + percent) * most >= percent * (na + nb)) & fresh
 
 
+def _alike(a: str, b: str, percent: int) -> Column:
+    """No more bins differ than elements may.
+
+    With s elements in both sets together, linked ones share percent * s / (100 + percent) at least, so
+    (100 - percent) * s / (100 + percent) at most are in one of them only, and only those can make bins differ.
+    """
+    apart = sum((F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(WORDS)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
@@ -190,6 +214,8 @@ def _linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """id, mark, n, first of each row of (id, text); first: (id, mark) of the smallest row reachable by links."""
+    tables = Tables()
+    settle = tables.settle
     common = common_keys(windows(docs, width, percent, np.zeros(0, dtype=[("key", np.uint64), ("n", np.int64)])))
     found = settle(windows(docs, width, percent, common))
 
@@ -198,12 +224,16 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # Classes are numbered once and written: an id may stand for several texts, and so for several classes.
     classes = settle(classes.withColumn("id", F.monotonically_increasing_id()))
     own = found.join(classes.select(F.col("id").alias("class"), "first.id", "first.mark"), ["id", "mark"])
-    own = settle(own.select(F.col("class").alias("id"), "n", "keys").dropDuplicates(["id"]))
+    own = settle(own.select(F.col("class").alias("id"), "n", "keys", "sketch").dropDuplicates(["id"]))
+    rows = settle(found.select("id", "mark", *alike))
+    tables.drop(found)
 
     crowds = own.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     crowds = settle(crowds)
     held = settle(members(own, bit_table(crowds)).join(crowds, "key"))
     small, large = held.where(F.col("m") <= LARGE).drop("m"), held.where(F.col("m") > LARGE).drop("m")
+    large = settle(large.join(own.select("id", "sketch"), "id"))
+    tables.drop(own, crowds)
 
     reach = _meeting("x", "y", percent)
     near = _pairs(small.alias("x").join(small.alias("y"), reach & (F.col("x.id") < F.col("y.id"))), "x.id", "y.id")
@@ -211,31 +241,43 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     part = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
     chosen = large.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64("id", F.lit(1)), "id"))["id"].alias("id"))
     pivots = settle(large.join(chosen.select("key", "id"), ["key", "id"], "left_semi"))
-    balls = _pairs(large.alias("x").join(pivots.alias("y"), reach & (F.col("x.id") != F.col("y.id"))), "x.id", "y.id")
+    like = reach & _alike("x", "y", percent)
+    balls = _pairs(large.alias("x").join(pivots.alias("y"), like & (F.col("x.id") != F.col("y.id"))), "x.id", "y.id")
     pairs = settle(near.unionByName(balls).distinct())
+    tables.drop(held, pivots)
 
-    links = settle(_linked(pairs, settle(sets(docs, classes, pairs, width)), percent))
-
+    links = _checked(tables, docs, classes, pairs, width, percent)
     parts = components(links, "a", "b").withColumnRenamed("node", "id")
-    large = settle(large.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    bare, large = large, settle(large.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    tables.drop(bare)
     counts = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     most = settle(counts.groupBy("key").agg(F.max(F.struct("m", "component"))["component"].alias("most")))
     outside = large.join(most, "key").where("component != most")
     once = (F.col("y.component") == F.col("x.most")) | (F.col("x.id") < F.col("y.id"))
-    late = reach & (F.col("x.component") != F.col("y.component")) & once
+    late = like & (F.col("x.component") != F.col("y.component")) & once
     late = settle(_pairs(outside.alias("x").join(large.alias("y"), late), "x.id", "y.id").distinct())
+    tables.drop(large, most)
     if not late.isEmpty():
-        links = links.unionByName(settle(_linked(late, settle(sets(docs, classes, late, width)), percent)))
+        links = links.unionByName(_checked(tables, docs, classes, late, width, percent))
 
     parts = components(links, "a", "b").withColumnRenamed("node", "id")
     of = settle(classes.join(parts, "id", "left").select(*alike, "first", F.coalesce("component", "id").alias("component")))
+    tables.drop(classes)
     least = of.groupBy("component").agg(F.min("first").alias("least"))
     of = settle(of.join(least, "component").select(*alike, "least"))
-    rows = found.select("id", "mark", *alike).join(of, alike, "left")
+    rows = rows.join(of, alike, "left")
     itself = F.struct("id", "mark")
     return rows.select("id", "mark", "n", F.when(F.col("id").isNotNull(), F.coalesce("least", itself)).alias("first"))
 
 
+def _checked(tables: Tables, docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The linked ones of ``pairs``, which are dropped with their sets."""
+    whole = tables.settle(sets(docs, classes, pairs, width))
+    links = tables.settle(_linked(pairs, whole, percent))
+    tables.drop(pairs, whole)
+    return links
+
+
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
