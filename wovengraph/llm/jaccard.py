@@ -19,10 +19,10 @@ everything on a border. Regions are therefore made in two levels:
 A pair is taken up where its first common pivot stands early enough in both sets
 for the threshold, which also bounds sizes by the triangle inequality. Regions it
 shares later are passed over if the few pivots just before are common already, so
-rows carry a bounded list and never their whole window. In the regions of level 2,
-where many texts may be alike without being linked, rows also carry the parities of
-their sets in ``8 * 64`` bins: sets differ in at least as many elements as bins, and
-linked ones in few. That bound loses no link. What remains is compared with whole sets. Identical sets are one class from the start. Sets are compared by
+rows carry a bounded list and never their whole window. Texts may be
+alike without being linked, so the parities of sets in ``8 * 64`` bins are compared first,
+in the regions of level 2 before a pair becomes a row: sets differ in at least as many
+elements as bins, and linked ones in few. That bound loses no link. What remains is compared with whole sets. Identical sets are one class from the start. Sets are compared by
 64-bit hashes of their shingles.
 
 Most shingles open a region for one document only, and most texts are in no pair.
@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wovengraph.llm.common import Tables, components, mapped, settle
+from wovengraph.llm.common import Tables, components, mapped, settle, shuffles_dropped
 from wovengraph.llm.shingles import mixed, shingle_sets
 
 LARGE = 8
@@ -111,7 +111,8 @@ def sketches(every: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def common_keys(found: DataFrame) -> np.ndarray:
     """The shingles in the most windows (a list of fixed size: it only sets the order), sorted by key."""
     counts = found.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(ORDERED).toArrow()
+    with shuffles_dropped(found.sparkSession):
+        top = counts.where(F.col("n") > COMMON).orderBy(F.desc("n"), "key").limit(ORDERED).toArrow()
     out = np.zeros(len(top), dtype=[("key", np.uint64), ("n", np.int64)])
     out["key"], out["n"] = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     return np.sort(out, order="key")
@@ -154,7 +155,9 @@ def bit_table(crowds: DataFrame) -> np.ndarray:
             at = _places(pdf["key"])
             yield pd.DataFrame({"word": at >> 6, "bits": np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64)})
 
-    words = crowds.select("key").mapInPandas(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = crowds.select("key").mapInPandas(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    with shuffles_dropped(crowds.sparkSession):
+        words = words.toArrow()
     table = np.zeros(1 << (BITS - 6), dtype=np.uint64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return table
@@ -203,6 +206,12 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
+def _thinned(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches are alike."""
+    side = lambda name: marks.select(F.col("id").alias(name), F.struct("n", "sketch").alias(f"_{name}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_alike("_a", "_b", percent)).select("a", "b")
+
+
 def _linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets reach the threshold."""
     left = whole.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
@@ -232,7 +241,8 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     crowds = settle(crowds)
     held = settle(members(own, bit_table(crowds)).join(crowds, "key"))
     small, large = held.where(F.col("m") <= LARGE).drop("m"), held.where(F.col("m") > LARGE).drop("m")
-    large = settle(large.join(own.select("id", "sketch"), "id"))
+    marks = settle(own.select("id", "n", "sketch"))
+    large = settle(large.join(marks.select("id", "sketch"), "id"))
     tables.drop(own, crowds)
 
     reach = _meeting("x", "y", percent)
@@ -243,8 +253,9 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     pivots = settle(large.join(chosen.select("key", "id"), ["key", "id"], "left_semi"))
     like = reach & _alike("x", "y", percent)
     balls = _pairs(large.alias("x").join(pivots.alias("y"), like & (F.col("x.id") != F.col("y.id"))), "x.id", "y.id")
-    pairs = settle(near.unionByName(balls).distinct())
-    tables.drop(held, pivots)
+    # Few rows of small regions are in a pair, so their sketches come after.
+    pairs = settle(_thinned(near.distinct(), marks, percent).unionByName(balls).distinct())
+    tables.drop(held, pivots, marks)
 
     links = _checked(tables, docs, classes, pairs, width, percent)
     parts = components(links, "a", "b").withColumnRenamed("node", "id")
