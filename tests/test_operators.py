@@ -6,10 +6,12 @@ import random
 from datetime import date
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wovengraph.functions import dates, text
-from wovengraph.operators import access, closure, edits, fulltext, inference, integrity, markup, ordering, pattern, values, walks
+from wovengraph.operators import access, closure, edits, fulltext, inference, integrity, markup, ordering, pattern, values, views, walks
+from wovengraph.plans import catalog
 from wovengraph.sources import ingest, ntriples, sinks
 
 c = F.col
@@ -676,3 +678,19 @@ def test_namespaces_of_nested_declarations(spark):
     ]
     assert got[1]["attributes"] == {"{u}k": "1", "k": "2"} and got[0]["attributes"] == {}
     assert all(r["error"] and r["tag"] is None for r in got if r["doc"] != "a")
+
+
+def test_statements_divided_in_one_pass(spark):
+    rows = [("a", "type", "Part/x"), ("a", "label", "A"), ("b", "type", "Order"), ("b", "label", None), ("v", "type", "IntValue"), ("v", "asInt", "1"), ("v2", "type", "TextValue"), ("n", "label", "no type")]
+    triples = spark.createDataFrame(rows, "s string, p string, o string")
+    mains = spark.createDataFrame([("a",), ("a",), ("v2",)], "s string")
+    got = views.with_part(triples, mains)
+    want = {"main": [rows[0], rows[1]], "dependent": [rows[2], rows[3]], "value": rows[4:7]}
+    assert sorted(map(str, got.collect())) == sorted(str(Row(s=s, p=p, o=o, kind=k)) for k, of in want.items() for s, p, o in of)
+    parts = views.split_result(triples, mains)
+    assert {k: sorted(map(str, df.collect())) for k, df in parts.items()} == {k: sorted(str(Row(s=s, p=p, o=o)) for s, p, o in of) for k, of in want.items()}
+
+
+def test_split_result_counts_in_one_pass(spark):
+    plan = catalog.QUERIES["b06_split_result"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2

@@ -89,9 +89,8 @@ def _(g):
 )
 def _(g):
     mains = g.resources.where(c("cls").startswith("Part/")).select(c("iri").alias("s"))
-    parts = views.split_result(g.triples.of().select("s", "p", "o"), mains)
-    counted = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in parts.items()]
-    return counted[0].union(counted[1]).union(counted[2])
+    rows = views.with_part(g.triples.of().select("s", "p", "o"), mains)
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
