@@ -10,7 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wovengraph.functions import dates, text
-from wovengraph.operators import access, closure, edits, fulltext, inference, integrity, markup, ordering, pattern, values, views, walks
+from wovengraph.operators import access, closure, edits, fulltext, inference, integrity, markup, migrations, ordering, pattern, values, views, walks
 from wovengraph.plans import catalog
 from wovengraph.sources import ingest, ntriples, sinks
 
@@ -694,3 +694,19 @@ def test_statements_divided_in_one_pass(spark):
 def test_split_result_counts_in_one_pass(spark):
     plan = catalog.QUERIES["b06_split_result"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_value_projects_are_looked_up_once_for_all_parts(spark):
+    parts = [spark.createDataFrame(x, "s string, p string, o string") for x in (
+        [("r1", "type", "Thing"), ("r1", "project", "p1"), ("v1", "project", "p1")],
+        [("v1", "type", "TextValue"), ("v1", "type", "IntValue"), ("v2", "project", "p2")],
+        [("v2", "type", "LinkValue"), ("r2", "project", "p2"), ("r2", "project", "p3")],
+    )]
+    out = migrations.drop_value_projects(parts[0].union(parts[1]).union(parts[2]))
+    assert joins(out) == 1
+    assert rows(out.where("p = 'project'").select("s", "o")) == [("r1", "p1"), ("r2", "p2"), ("r2", "p3")]
+    assert out.where("p = 'type'").count() == 4

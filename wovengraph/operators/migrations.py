@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wovengraph.functions import dates
 from wovengraph.operators import access
+from wovengraph.operators.ordering import lacking
 from wovengraph.session import settle
 
 Step = Callable[[DataFrame], DataFrame]
@@ -96,7 +97,7 @@ DAY_NUMBER_NAMES = {"startJDC": "startJDN", "endJDC": "endJDN"}
 def drop_value_projects(triples: DataFrame) -> DataFrame:
     """Values do not name a project: their resource does."""
     values = triples.where((F.col("p") == "type") & F.col("o").endswith("Value")).select("s")
-    kept = triples.where("p = 'project'").join(values, "s", "left_anti")
+    kept = lacking(triples.where("p = 'project'"), values, ["s"])
     return triples.where("p <> 'project'").unionByName(kept)
 
 

@@ -157,6 +157,20 @@ def listed(
     return reduce(DataFrame.unionByName, out)
 
 
+def having(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys ``others`` holds.
+
+    Spark pushes a semi join into every part of a union, and each part then sorts all of ``others`` again. This one is done once.
+    """
+    return rows.join(others.select(*keys).distinct(), keys).select(*rows.columns)
+
+
+def lacking(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys ``others`` does not hold; as ``having``, without an anti join in every part of a union."""
+    marks = others.select(*keys).distinct().withColumn("_met", F.lit(True))
+    return rows.join(marks, keys, "left").where("_met IS NULL").select(*rows.columns)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of every group, by partial aggregation instead of a window."""
     rest = [c for c in df.columns if c not in keys]
