@@ -710,3 +710,25 @@ def test_value_projects_are_looked_up_once_for_all_parts(spark):
     assert joins(out) == 1
     assert rows(out.where("p = 'project'").select("s", "o")) == [("r1", "p1"), ("r2", "p2"), ("r2", "p3")]
     assert out.where("p = 'type'").count() == 4
+
+
+def test_token_index_reads_a_single_part_as_it_lies(spark, tmp_path):
+    from wovengraph.operators import tokenindex
+
+    schema = "token string, resource string, value string"
+    found = spark.createDataFrame([("red", "a", ""), ("red", "a", ""), ("hat", "b", "b/1")], schema)
+    index = tokenindex.TokenIndex(spark, str(tmp_path / "index"), 2).build(found)
+    plan = index.rows()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Repartition" not in plan
+    assert rows(index.rows()) == [("hat", "b", "b/1"), ("red", "a", "")]
+    index.change(found.where("token = 'hat'"), found.limit(0))
+    assert rows(index.rows()) == [("red", "a", "")]
+
+
+def test_index_entries_look_resources_up_once(spark):
+    from wovengraph.operators import tokenindex
+
+    part = lambda iri: spark.createDataFrame([(iri, "a", "TextValue", False, "x y")], "iri string, resource string, vtype string, is_deleted boolean, as_string string")
+    res = spark.createDataFrame([("a", "red", False), ("a", "red", False), ("b", "hat", True)], "iri string, label string, is_deleted boolean")
+    out = tokenindex.entries(res.distinct(), part("v1").union(part("v2")).union(part("v3")))
+    assert joins(out) == 1 and out.count() == 7

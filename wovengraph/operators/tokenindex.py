@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wovengraph.operators.fulltext import terms_of, tokens
+from wovengraph.operators.ordering import having
 
 ENTRY = ["token", "resource", "value"]
 _FILES = "version int, file string, low string, high string, entries long"
@@ -29,7 +30,7 @@ def entries(resources: DataFrame, values: DataFrame) -> DataFrame:
     live = resources.where(~F.col("is_deleted"))
     labels = live.select(F.col("iri").alias("resource"), F.lit("").alias("value"), F.col("label").alias("text"))
     texts = values.where((F.col("vtype") == "TextValue") & ~F.col("is_deleted")).select("resource", F.col("iri").alias("value"), F.col("as_string").alias("text"))
-    texts = texts.join(live.select(F.col("iri").alias("resource")), "resource", "left_semi")
+    texts = having(texts, live.select(F.col("iri").alias("resource")), ["resource"])
     return labels.unionByName(texts).select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"), "resource", "value")
 
 
@@ -50,7 +51,8 @@ class TokenIndex:
         part = f"{self.path}/rows/{version}"
         rows = rows.select(*ENTRY, "removed", F.lit(version).alias("version"))
         cut = rows.repartitionByRange(self.parts, *ENTRY) if self.parts else rows.repartitionByRange(*ENTRY)
-        cut.sortWithinPartitions(*ENTRY).write.parquet(part)
+        # Equal entries lie in one range, so they are found without moving them.
+        cut.dropDuplicates(ENTRY).sortWithinPartitions(*ENTRY).write.parquet(part)
         held = self.spark.read.schema(_ROWS).parquet(part).select("token", "version", F.col("_metadata.file_path").alias("file"))
         spans = held.groupBy("version", "file").agg(F.min("token").alias("low"), F.max("token").alias("high"), F.count(F.lit(1)).alias("entries"))
         spans.select("version", "file", "low", "high", "entries").coalesce(1).write.parquet(f"{self.path}/files/{version}")
@@ -63,7 +65,7 @@ class TokenIndex:
         return self.spark.read.schema("version int").parquet(f"{self.path}/newest").first()[0]
 
     def build(self, found: DataFrame) -> TokenIndex:
-        """The first part: all entries."""
+        """The first part: all entries, each once."""
         self._add(found.withColumn("removed", F.lit(False)), 0)
         return self
 
@@ -80,8 +82,9 @@ class TokenIndex:
         return last.where(~F.col("_gone")).select(*ENTRY)
 
     def rows(self) -> DataFrame:
-        """All current entries."""
-        return self._current(self.spark.read.schema(_ROWS).parquet(f"{self.path}/rows/*"))
+        """All current entries, each once. A single part has nothing to merge and is read as it lies."""
+        held = self.spark.read.schema(_ROWS).parquet(f"{self.path}/rows/*")
+        return self._current(held) if self.newest() else held.select(*ENTRY)
 
     def scan(self, spans: list[tuple[str, str]]) -> DataFrame:
         """Stored rows with a token in one of the ranges (both ends included), from the files that can hold them."""
