@@ -732,3 +732,21 @@ def test_index_entries_look_resources_up_once(spark):
     res = spark.createDataFrame([("a", "red", False), ("a", "red", False), ("b", "hat", True)], "iri string, label string, is_deleted boolean")
     out = tokenindex.entries(res.distinct(), part("v1").union(part("v2")).union(part("v3")))
     assert joins(out) == 1 and out.count() == 7
+
+
+def test_missing_properties_are_looked_up_once(spark):
+    batch = lambda *rows: spark.createDataFrame(rows, "client_id string, cls string")
+    resources = batch(("a", "Thing")).union(batch(("b", "Thing"))).union(batch(("c", "Other")))
+    needed = resources.join(spark.createDataFrame([("Thing", "name")], "cls string, prop string"), "cls")
+    held = spark.createDataFrame([("a", "name"), ("a", "name")], "client_id string, prop string")
+    left = ordering.lacking(needed, held, ["client_id", "prop"])
+    assert rows(left.select("client_id", "prop")) == [("b", "name")]
+    assert rows(ordering.having(needed, held, ["client_id", "prop"]).select("client_id")) == [("a",)]
+    links = spark.createDataFrame([], "client_id string, prop string, target_id string")
+    values = spark.createDataFrame([("a", "name", "TextValue")], "client_id string, prop string, vtype string")
+    cards = spark.createDataFrame([("Thing", "name", "1")], "cls string, prop string, card string")
+    wanted = spark.createDataFrame([("name", "TextValue")], "prop string, object_class string")
+    closure = spark.createDataFrame([("Thing", "Thing")], "node string, ancestor string")
+    out = integrity.ingest_problems(resources, values, links, cards, wanted, closure)
+    assert rows(out) == [("missing", "b", "name", "1")]
+    assert "LeftAnti" not in out.where("rule = 'missing'")._jdf.queryExecution().optimizedPlan().toString()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wovengraph.operators import aggregates
+from wovengraph.operators.ordering import lacking
 from wovengraph.session import settle
 
 COLUMNS = ["rule", "subject", "property", "detail"]
@@ -140,9 +141,9 @@ def ingest_problems(
     placed = counted.join(cards, ["cls", "prop"], "left")
     no_card = _report(placed.where("card IS NULL"), "no_cardinality", "client_id", "prop", "cls")
     many = _report(placed.where(F.col("card").isin("1", "0-1") & (F.col("n") > 1)), "too_many", "client_id", "prop", "n")
-    required = of.join(cards.where(F.col("card").isin("1", "1-n")), "cls").join(counted, ["client_id", "prop"], "left_anti")
-    lacking = _report(required, "missing", "client_id", "prop", "card")
-    return reduce(DataFrame.union, [wrong_type, unknown, wrong_target, no_card, many, lacking])
+    required = lacking(of.join(cards.where(F.col("card").isin("1", "1-n")), "cls"), counted, ["client_id", "prop"])
+    absent = _report(required, "missing", "client_id", "prop", "card")
+    return reduce(DataFrame.union, [wrong_type, unknown, wrong_target, no_card, many, absent])
 
 
 def _bounds(card: Column) -> tuple[Column, Column]:
