@@ -750,3 +750,33 @@ def test_missing_properties_are_looked_up_once(spark):
     out = integrity.ingest_problems(resources, values, links, cards, wanted, closure)
     assert rows(out) == [("missing", "b", "name", "1")]
     assert "LeftAnti" not in out.where("rule = 'missing'")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_requests_their_resource_rejects_meet_no_values(spark, profiles, monkeypatch):
+    res = [("r1", "C", False, "M KnownUser"), ("r2", "C", True, "M KnownUser"), ("r3", "C", False, "V KnownUser")]
+    res = spark.createDataFrame([(*r, "x", "p1") for r in res], "iri string, cls string, is_deleted boolean, permissions string, creator string, project string")
+    literals = "as_string string, as_int int, as_decimal decimal(18,2), as_boolean boolean, as_uri string, as_node string, start_jdn int, end_jdn int, prec string"
+    none = (None,) * 8
+    vals = spark.createDataFrame([("v1", "r1", "one", "T", 4, "a", *none, False), ("v2", "r1", "many", "T", 2, "b", *none, False)], f"iri string, resource string, prop string, vtype string, vorder int, {literals}, is_deleted boolean")
+    asked = [(1, "none", "many", "T", "w1", "x"), (2, "r2", "many", "T", "w2", "x"), (3, "r1", "odd", "T", "w3", "x"), (4, "r1", "many", "U", "w4", "x"), (5, "r3", "many", "T", "w5", "x"),
+             (6, "r1", "many", "T", "v1", "x"), (7, "r1", "many", "T", "w1", "y"), (8, "r1", "many", "T", "w8", "b"), (9, "r1", "one", "T", "w9", "z"), (10, "r1", "many", "T", "w10", "z"), (11, "r1", "many", "T", "w11", "z"), (12, "r1", "many", "T", None, "q")]
+    new = spark.createDataFrame([(*r, *none) for r in asked], f"seq long, resource string, prop string, vtype string, iri string, {literals}")
+    types = spark.createDataFrame([("one", "T"), ("many", "T")], "prop string, vtype string")
+    cards = spark.createDataFrame([("C", "one", "0-1"), ("C", "many", "0-n")], "cls string, prop string, card string")
+    held = []
+    monkeypatch.setattr(edits, "sifted", lambda rows, others, keys: held.append(others.count()) or ordering.sifted(rows, others, keys))
+    state, rejected = edits.replay_values(vals, res, new, types, cards, profiles, "m")
+    want = {1: "unknown resource", 2: "deleted resource", 3: "unknown property", 4: "wrong type", 5: "no right", 6: "IRI exists", 7: "IRI exists", 8: "same value", 9: "no more values allowed", 11: "same value"}
+    assert {r["seq"]: r["reason"] for r in rejected.collect()} == want and rejected.count() == len(want)
+    assert rows(state.where("iri LIKE 'w%'").select("iri", "vorder", "as_string")) == [("w10", 3, "z")]
+    assert held and set(held) == {6}
+
+
+def test_sifted_rows_are_all_that_can_meet(spark):
+    left = spark.range(20_000).select(F.when(c("id") % 5 > 0, c("id").cast("string")).alias("k"), (c("id") % 3).alias("n"))
+    right = spark.createDataFrame([("1", 1), (None, 0), ("12", 0), ("x", 2)], "k string, n long")
+    kept = ordering.sifted(left, right, ["k", "n"])
+    met = left.join(right, [left["k"].eqNullSafe(right["k"]), left["n"] == right["n"]], "left_semi")
+    assert met.exceptAll(kept).isEmpty() and met.count() <= kept.count() < met.count() + 50
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert ordering.sifted(left, right.limit(0), ["k", "n"]).isEmpty()

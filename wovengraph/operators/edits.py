@@ -6,11 +6,13 @@ cannot be applied come back in a second table with the reason.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wovengraph.operators.access import CODES, with_code
-from wovengraph.operators.ordering import numbered
+from wovengraph.operators.ordering import numbered, sifted
 from wovengraph.session import settle
 
 
@@ -71,26 +73,28 @@ def replay_values(
     """
     key = ["resource", "prop"]
     own = with_code(resources, profiles, user_id).select(F.col("iri").alias("resource"), "cls", F.col("is_deleted").alias("_gone"), F.col("code").alias("_code"))
-    live = values.where(~F.col("is_deleted"))
-    held = live.groupBy(*key).agg(F.count(F.lit(1)).alias("_live"), (F.max("vorder") + 1).alias("_next"))
-    same = live.select(*key, value_text().alias("_text"), F.lit(True).alias("_same")).distinct()
-    names = values.select("iri", F.lit(True).alias("_named")).distinct()
-    firsts = new.groupBy("iri").agg(F.min("seq").alias("_seq"))
     cards = cardinalities.select("cls", "prop", F.lit(True).alias("_known"), F.col("card").isin("1", "0-1").alias("_one"))
-    rows = new.withColumn("_text", value_text()).join(own, "resource", "left").join(cards, ["cls", "prop"], "left")
-    rows = rows.join(types.select("prop", F.col("vtype").alias("_vtype")), "prop", "left").join(names, "iri", "left").join(firsts, "iri")
-    rows = rows.join(held, key, "left").join(same, [*key, "_text"], "left")
+    rows = new.where("iri IS NOT NULL").withColumn("_text", value_text()).join(own, "resource", "left").join(cards, ["cls", "prop"], "left")
+    rows = rows.join(types.select("prop", F.col("vtype").alias("_vtype")), "prop", "left")
     told = (
         F.when(F.col("_gone").isNull(), "unknown resource")
         .when(F.col("_gone"), "deleted resource")
         .when(F.col("_known").isNull(), "unknown property")
         .when(~F.col("vtype").eqNullSafe(F.col("_vtype")), "wrong type")
         .when(F.coalesce(F.col("_code") < CODES["M"], F.lit(True)), "no right")
-        .when(F.col("_named").isNotNull() | (F.col("seq") != F.col("_seq")), "IRI exists")
-        .when(F.col("_same").isNotNull(), "same value")
     )
-    rows = settle(rows.withColumn("reason", told))
-    open_ = rows.where("reason IS NULL")
+    # Only requests that their resource admits are held against values, and only against those that one of them may name.
+    rows = settle(rows.select(*new.columns, "_text", "_one", told.alias("reason")))
+    firsts = rows.groupBy("iri").agg(F.min("seq").alias("_seq"))
+    admitted = rows.where("reason IS NULL").drop("reason")
+    live = sifted(values.where(~F.col("is_deleted")), admitted, key)
+    held = live.groupBy(*key).agg(F.count(F.lit(1)).alias("_live"), (F.max("vorder") + 1).alias("_next"))
+    same = live.select(*key, value_text().alias("_text"), F.lit(True).alias("_same")).distinct()
+    names = sifted(values.select("iri"), admitted, ["iri"]).select("iri", F.lit(True).alias("_named")).distinct()
+    tried = admitted.join(names, "iri", "left").join(firsts, "iri").join(held, key, "left").join(same, [*key, "_text"], "left")
+    known = F.when(F.col("_named").isNotNull() | (F.col("seq") != F.col("_seq")), "IRI exists").when(F.col("_same").isNotNull(), "same value")
+    tried = settle(tried.select(*admitted.columns, "_live", "_next", known.alias("reason")))
+    open_ = tried.where("reason IS NULL")
     # In order, a literal's first request decides: those after it are the same value, or as late as it was.
     leads = open_.groupBy(*key, "_text").agg(F.min("seq").alias("seq"), F.first("_one").alias("_one"), F.first("_live").alias("_live"))
     room = F.when(F.col("_one"), F.greatest(F.lit(0), 1 - F.coalesce("_live", F.lit(0))))
@@ -101,7 +105,7 @@ def replay_values(
     vorder = (F.coalesce("_next", F.lit(0)) + F.col("_n") - 1).cast("int")
     good = judged.where("reason IS NULL").withColumns({"vorder": vorder, "is_deleted": F.lit(False)})
     fresh = good.select(*[x for x in values.columns if x in good.columns])
-    rejected = rows.where("reason IS NOT NULL").select("seq", "iri", "reason").union(judged.where("reason IS NOT NULL").select("seq", "iri", "reason"))
+    rejected = reduce(DataFrame.union, [x.where("reason IS NOT NULL").select("seq", "iri", "reason") for x in (rows, tried, judged)])
     return values.unionByName(fresh, allowMissingColumns=True), rejected
 
 

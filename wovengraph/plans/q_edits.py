@@ -78,8 +78,8 @@ def _replayed(g, batches):
     types, cards, state = g.prop_constraints.select("prop", c("object_class").alias("vtype")), settle(_inherited(g)), g.vals_before
     extra = {x: F.lit(None).cast(t) for x, t in (("as_decimal", "decimal(18,2)"), ("as_uri", "string"), ("as_node", "string"), ("start_jdn", "int"), ("end_jdn", "int"), ("prec", "string"))}
     for test in batches:
+        # What a batch adds is written; the values before it are read where they lie.
         state, rejected = edits.replay_values(state, g.resources, g.value_requests.where(test).withColumns(extra), types, cards, profiles, "user/4")
-        state = settle(state)
     return state, rejected
 
 
