@@ -780,3 +780,20 @@ def test_sifted_rows_are_all_that_can_meet(spark):
     assert met.exceptAll(kept).isEmpty() and met.count() <= kept.count() < met.count() + 50
     assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
     assert ordering.sifted(left, right.limit(0), ["k", "n"]).isEmpty()
+
+
+def test_only_texts_of_later_parts_are_merged(spark, tmp_path):
+    from wovengraph.operators import tokenindex
+
+    schema = "token string, resource string, value string"
+    found = spark.createDataFrame([(t, f"r{k}", v) for k in range(200) for t in ("red", "hat") for v in ("", "v")] + [("red", None, "")], schema)
+    index = tokenindex.TokenIndex(spark, str(tmp_path / "index"), 2).build(found)
+    index.change(found.where("resource = 'r1' AND value = 'v'"), spark.createDataFrame([("cap", "r1", "v"), ("cap", "new", "v")], schema))
+    index.change(found.where("resource IS NULL"), found.limit(0))
+    merged = []
+    index._current, current = (lambda held: merged.append(held.count()) or current(held)), index._current
+    gone = spark.createDataFrame([("red", "r1", "v"), ("hat", "r1", "v"), ("red", None, "")], schema)
+    want = found.exceptAll(gone).union(spark.createDataFrame([("cap", "r1", "v"), ("cap", "new", "v")], schema))
+    got = index.rows()
+    assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+    assert 8 <= merged[0] < 30

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wovengraph.operators.fulltext import terms_of, tokens
-from wovengraph.operators.ordering import having
+from wovengraph.operators.ordering import having, marked
 
 ENTRY = ["token", "resource", "value"]
 _FILES = "version int, file string, low string, high string, entries long"
@@ -82,9 +82,16 @@ class TokenIndex:
         return last.where(~F.col("_gone")).select(*ENTRY)
 
     def rows(self) -> DataFrame:
-        """All current entries, each once. A single part has nothing to merge and is read as it lies."""
-        held = self.spark.read.schema(_ROWS).parquet(f"{self.path}/rows/*")
-        return self._current(held) if self.newest() else held.select(*ENTRY)
+        """All current entries, each once. A single part has nothing to merge and is read as it lies.
+
+        Of the first part only the texts that a later one may name are merged; the others stay where they are.
+        """
+        read, newest = self.spark.read.schema(_ROWS).parquet, self.newest()
+        if not newest:
+            return read(f"{self.path}/rows/*").select(*ENTRY)
+        later = read(*[f"{self.path}/rows/{version}" for version in range(1, newest + 1)])
+        first = marked(read(f"{self.path}/rows/0"), later, ["resource", "value"], "_later")
+        return first.where("NOT _later").select(*ENTRY).union(self._current(first.where("_later").drop("_later").union(later)))
 
     def scan(self, spans: list[tuple[str, str]]) -> DataFrame:
         """Stored rows with a token in one of the ranges (both ends included), from the files that can hold them."""

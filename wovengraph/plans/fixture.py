@@ -313,7 +313,8 @@ class Graph:
         def build():
             label = F.when(F.col("k") % 7 == 0, F.concat(F.lit("Renamed "), "label")).otherwise(F.col("label"))
             renamed = self.resources.where("k % 7 = 0")
-            gone = self.vals.join(self.resources.where("k % 11 = 0").select(F.col("iri").alias("resource")), "resource", "left_semi")
+            cleared = self.resources.where("k % 11 = 0").select(F.col("iri").alias("resource"))
+            gone = ordering.sifted(self.vals, cleared, ["resource"]).join(cleared, "resource", "left_semi")
             none = self.vals.limit(0)
             index = tokenindex.TokenIndex(self.spark, new_folder(self.spark)).build(tokenindex.entries(self.resources, self.vals))
             index.change(tokenindex.entries(renamed, none), tokenindex.entries(renamed.withColumn("label", label), none))
