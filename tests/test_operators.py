@@ -797,3 +797,39 @@ def test_only_texts_of_later_parts_are_merged(spark, tmp_path):
     got = index.rows()
     assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
     assert 8 <= merged[0] < 30
+
+
+@pytest.fixture(scope="module")
+def statement_tables(spark):
+    from wovengraph.sources import relational
+
+    res = spark.createDataFrame([(f"r{k}", "C", f"L{k}", "u", "p", k % 2 == 0) for k in range(6)] + [(None, "C", "x", "u", "p", False)], "iri string, cls string, label string, creator string, project string, is_deleted boolean")
+    val = [(f"r{k % 4}/v{k % 9}", f"r{k % 4}", "text" if k % 3 else None, "T", k % 2, "a" if k % 2 else None, k, None, "p") for k in range(30)]
+    val = spark.createDataFrame(val, "iri string, resource string, prop string, vtype string, vorder int, as_string string, as_int int, as_node string, project string").withColumn("as_decimal", F.lit(None).cast("decimal(18,2)"))
+    links = spark.createDataFrame([(f"l{k % 5}", f"r{k % 3}", "to", f"r{k % 6}", k % 2 == 0, "p") for k in range(12)], "link_value string, src string, prop string, dst string, is_deleted boolean, project string")
+    return relational.StatementTables(res, val, links)
+
+
+def test_statements_by_subject_are_the_same(statement_tables):
+    from wovengraph.sources import relational
+
+    one, other = statement_tables.of().select("s", "p", "o", "o_kind"), relational.flat(statement_tables.by_subject())
+    assert one.count() == other.count() and one.exceptAll(other).isEmpty()
+
+
+def test_subject_view_of_arrays(statement_tables, spark):
+    view = lambda df, n: sorted((r["s"] or "", r["part"], str(r["statements"])) for r in sinks.subject_view(df, part_rows=n).collect())
+    flat_rows = statement_tables.of().select("s", "p", "o")
+    for n in (3, 10_000):
+        assert view(statement_tables.by_subject(), n) == view(flat_rows, n)
+    plan = sinks.subject_view(statement_tables.by_subject())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_groups_are_counted_in_slots_first(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(ordering, "settle", lambda df: written.append(df.columns) or df)
+    df = spark.range(100).select((c("id") % 10).cast("string").alias("k"), c("id").alias("v"))
+    plain = rows(ordering.numbered(df, ["k"], ["v"]))
+    assert written[0] == ["_slot", "_n"]
+    assert rows(ordering.numbered(df, ["k"], ["v"], hot_rows=5, ranges=3).select("k", "v", "pos")) == plain

@@ -619,6 +619,6 @@ def _(g):
     """SELECT s, CAST(0 AS BIGINT) AS part, count(*) AS n, string_agg(DISTINCT p, ',' ORDER BY p) AS props FROM (SELECT DISTINCT s, p, o FROM triples) z GROUP BY s""",
 )
 def _(g):
-    rows = sinks.subject_view(_statements(g))
+    rows = sinks.subject_view(g.triples.by_subject())
     props = F.array_join(F.array_distinct(F.transform("statements", lambda x: x["p"])), ",")
     return rows.select("s", "part", F.size("statements").cast("long").alias("n"), props.alias("props"))

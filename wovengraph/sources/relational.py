@@ -77,28 +77,54 @@ class StatementTables:
             F.col("project").alias("graph"), F.col(subject).alias("s"), F.lit(prop).alias("p"), _text(obj).alias("o"), F.lit(kind).alias("o_kind")
         )
 
-    def _everything(self) -> DataFrame:
+    def _said(self) -> dict[str, list[tuple[str, Column, Column, str]]]:
+        """Of each table: (subject, property, object, kind) of every statement a row makes."""
         c = F.col
 
-        def statement(s: str, p: Column, o: Column, kind: str) -> Column:
-            return F.struct(c(s).alias("s"), p.alias("p"), _text(o).alias("o"), F.lit(kind).alias("o_kind"))
-
-        def facts(table: DataFrame, subject: str, types: Column) -> list[Column]:
-            own = [statement(subject, F.lit(p), o, k) for p, (t, _, o, k) in self._facts.items() if t is table]
-            return [statement(subject, F.lit("type"), types, "iri"), *own]
+        def facts(table: DataFrame, subject: str, types: Column) -> list[tuple[str, Column, Column, str]]:
+            own = [(subject, F.lit(p), _text(o), k) for p, (t, _, o, k) in self._facts.items() if t is table]
+            return [(subject, F.lit("type"), _text(types), "iri"), *own]
 
         (_, _, cls), (_, _, vtype), (_, _, link_type) = self._types
-        rows = {
+        return {
             "resources": facts(self.resources, "iri", cls),
-            "values": [*facts(self.values, "iri", vtype), statement("resource", c("prop"), c("iri"), "iri")],
+            "values": [*facts(self.values, "iri", vtype), ("resource", c("prop"), c("iri"), "iri")],
             "links": [
                 *facts(self.links, "link_value", link_type),
-                statement("src", F.concat("prop", F.lit("Value")), c("link_value"), "iri"),
-                statement("src", c("prop"), F.when(~c("is_deleted"), c("dst")), "iri"),
+                ("src", F.concat("prop", F.lit("Value")), c("link_value"), "iri"),
+                ("src", c("prop"), F.when(~c("is_deleted"), c("dst")), "iri"),
             ],
         }
+
+    def _everything(self) -> DataFrame:
+        c = F.col
+        statement = lambda s, p, o, kind: F.struct(c(s).alias("s"), p.alias("p"), _text(o).alias("o"), F.lit(kind).alias("o_kind"))
         parts = [
-            getattr(self, name).select(c("project").alias("graph"), F.inline(F.array(*statements)))
-            for name, statements in rows.items()
+            getattr(self, name).select(c("project").alias("graph"), F.inline(F.array(*[statement(*x) for x in said])))
+            for name, said in self._said().items()
         ]
         return reduce(DataFrame.union, parts).where(c("o").isNotNull()).select(*TRIPLE_COLUMNS)
+
+    def by_subject(self) -> DataFrame:
+        """The same statements as (s, p, o, o_kind) with arrays side by side: one row for what a table's row says of a subject.
+
+        Null objects are no statements. For what brings subjects together: fewer and shorter rows move.
+        """
+
+        def row(subject: str, said: list[tuple[str, Column, Column, str]]) -> Column:
+            _, props, objects, kinds = zip(*[x for x in said if x[0] == subject], strict=True)
+            lists = (F.array(*props).alias("p"), F.array(*objects).alias("o"), F.array(*map(F.lit, kinds)).alias("o_kind"))
+            return F.struct(F.col(subject).alias("s"), *lists)
+
+        parts = [
+            getattr(self, name).select(F.inline(F.array(*[row(subject, said) for subject in dict.fromkeys(x[0] for x in said)])))
+            for name, said in self._said().items()
+        ]
+        return reduce(DataFrame.union, parts)
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    """Statements (s, p, o, o_kind) of rows with arrays of them, as ``by_subject`` gives; other rows as they are."""
+    if not dict(rows.dtypes)["p"].startswith("array"):
+        return rows
+    return rows.select("s", F.inline(F.arrays_zip("p", "o", "o_kind"))).where(F.col("o").isNotNull())

@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wovengraph.operators.ordering import PART_ROWS, first_n, listed
+from wovengraph.operators.ordering import PART_ROWS, first_n, listed, parts_for, split
+from wovengraph.sources.relational import flat
 
 
 def subject_view(statements: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """All statements of each subject in order: (s, part, statements)."""
-    return listed(statements, ["s"], ["p", "o"], None, "statements", part_rows, distinct=True)
+    """All statements of each subject in order: (s, part, statements).
+
+    statements: (s, p, o), or arrays of p and o as ``StatementTables.by_subject`` gives. Such rows move as they are; each
+    subject's are put together where they meet, and cut into parts there. Subjects of very many rows are listed by statement.
+    """
+    if not dict(statements.dtypes)["p"].startswith("array"):
+        return listed(statements, ["s"], ["p", "o"], None, "statements", part_rows, distinct=True)
+    cold, hot, total = split(statements.select("s", "p", "o", "o_kind"), ["s"], part_rows)
+    said = F.filter(F.flatten(F.collect_list(F.arrays_zip("p", "o"))), lambda x: x["o"].isNotNull())
+    items = cold.repartition(parts_for(cold.sparkSession, total), "s").groupBy("s").agg(F.array_sort(F.array_distinct(said)).alias("_items"))
+    last = F.floor((F.size("_items") - 1) / part_rows).cast("long")
+    parts = items.where(F.size("_items") > 0).select("s", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"), "_items")
+    out = parts.select("s", "part", F.slice("_items", (F.col("part") * part_rows + 1).cast("int"), part_rows).alias("statements"))
+    return out if hot is None else out.unionByName(listed(flat(hot), ["s"], ["p", "o"], None, "statements", part_rows, distinct=True))
 
 
 def catalogue(projects: DataFrame, datasets: DataFrame, files: DataFrame, limit: int | None = None, part_rows: int = PART_ROWS) -> DataFrame:
