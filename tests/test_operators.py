@@ -833,3 +833,18 @@ def test_groups_are_counted_in_slots_first(spark, monkeypatch):
     plain = rows(ordering.numbered(df, ["k"], ["v"]))
     assert written[0] == ["_slot", "_n"]
     assert rows(ordering.numbered(df, ["k"], ["v"], hot_rows=5, ranges=3).select("k", "v", "pos")) == plain
+
+
+def test_inference_from_arrays_moves_them_once(statement_tables, spark):
+    pairs = lambda data: spark.createDataFrame(data, "prop string, cls string")
+    classes, props = (closure.ancestors(edges(spark, e)).select("node", "ancestor") for e in ([("C", "D"), ("T", "V")], [("to", "linked"), ("text", "held"), ("creator", "by")]))
+    domains, ranges = pairs([("linked", "D"), ("held", "D")]), pairs([("to", "C"), ("text", "T"), ("by", "U")])
+    by_subject = statement_tables.by_subject()
+    for axioms in (False, True):
+        got, want = (inference.infer(t, classes, props, domains, ranges, axioms) for t in (by_subject, statement_tables.of()))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    rules = inference.compile_rules(classes, props, domains, ranges)
+    assert inference.apply_rules(by_subject, rules)._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+    # What bears on nodes moves once: the repartition is the one that brings a node's rules together.
+    wide = inference._types(by_subject, inference.settle(rules))._jdf.queryExecution().executedPlan().toString()
+    assert wide.count("Exchange hashpartitioning") == 1
