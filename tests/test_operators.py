@@ -848,3 +848,21 @@ def test_inference_from_arrays_moves_them_once(statement_tables, spark):
     # What bears on nodes moves once: the repartition is the one that brings a node's rules together.
     wide = inference._types(by_subject, inference.settle(rules))._jdf.queryExecution().executedPlan().toString()
     assert wide.count("Exchange hashpartitioning") == 1
+
+
+def test_stated_statements_are_sifted_before_they_move(spark, monkeypatch):
+    seen = []
+
+    def sift(df, others, keys):
+        out = ordering.sifted(df, others, keys)
+        seen.append((df.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(inference, "sifted", sift)
+    table = lambda data: spark.createDataFrame([(s, p, o, "iri") for s, p, o in data], "s string, p string, o string, o_kind string")
+    classes, props = (closure.ancestors(edges(spark, e)).select("node", "ancestor") for e in ([("A", "B")], [("p", "q")]))
+    pairs = spark.createDataFrame([("q", "A")], "prop string, cls string")
+    old = [(f"n{k}", "p", f"n{k + 1}") for k in range(500)]
+    got = inference.infer_new(table([("n3", "p", "m"), ("n4", "type", "B")]), table(old), inference.compile_rules(classes, props, pairs, pairs))
+    assert rows(got.select("s", "p", "o")) == [("m", "type", "A"), ("m", "type", "B"), ("n3", "p", "m"), ("n3", "q", "m")]
+    assert seen[0][0] == 1000 and seen[0][1] < 20
