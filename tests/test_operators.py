@@ -839,6 +839,7 @@ def test_inference_from_arrays_moves_them_once(statement_tables, spark):
     pairs = lambda data: spark.createDataFrame(data, "prop string, cls string")
     classes, props = (closure.ancestors(edges(spark, e)).select("node", "ancestor") for e in ([("C", "D"), ("T", "V")], [("to", "linked"), ("text", "held"), ("creator", "by")]))
     domains, ranges = pairs([("linked", "D"), ("held", "D")]), pairs([("to", "C"), ("text", "T"), ("by", "U")])
+    classes = classes.union(spark.createDataFrame([("C", None)], "node string, ancestor string"))
     by_subject = statement_tables.by_subject()
     for axioms in (False, True):
         got, want = (inference.infer(t, classes, props, domains, ranges, axioms) for t in (by_subject, statement_tables.of()))
